@@ -67,45 +67,45 @@ def feature_stats(df: DataFrame, feature_cols: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
 
 
-def scale_exprs(stats_row: dict, feature_cols: list[str]):
-    """(x - mean) / std with zero std -> 0, from collected stats (one small row)."""
+def clean_stats(df: DataFrame, feature_cols: list[str]) -> dict:
+    """Mean and population std of the cleaned features (one small collected row)."""
+    aggs = []
+    for c in feature_cols:
+        x = finite_or_zero(c)
+        aggs += [F.avg(x).alias(f"{c}__m"), F.stddev_pop(x).alias(f"{c}__s")]
+    return df.agg(*aggs).first().asDict()
+
+
+def scale_exprs(stats_row: dict, feature_cols: list[str]) -> dict:
+    """(clean(x) - mean) / std per feature, zero or missing std -> 0."""
     out = {}
     for c in feature_cols:
         m, s = stats_row[f"{c}__m"], stats_row[f"{c}__s"]
         if s is None or s == 0 or s != s:
             out[c] = F.lit(0.0)
         else:
-            out[c] = (F.col(c) - F.lit(m)) / F.lit(s)
+            out[c] = (finite_or_zero(c) - F.lit(m)) / F.lit(s)
     return out
 
 
-def clean_stats(df: DataFrame, feature_cols: list[str]) -> dict:
-    """Mean and population std of the cleaned features (one small collected row)."""
-    aggs = []
-    for c in feature_cols:
-        aggs += [F.avg(c).alias(f"{c}__m"), F.stddev_pop(c).alias(f"{c}__s")]
-    return df.agg(*aggs).first().asDict()
-
-
 def feature_scaled(df: DataFrame, feature_cols: list[str], keep: list[str] | None = None) -> DataFrame:
-    """Cleaned features standardised with the population std."""
-    fm = feature_matrix(df, feature_cols, keep)
-    st = clean_stats(fm, feature_cols)
-    return fm.withColumns(scale_exprs(st, feature_cols))
+    """Cleaned features standardised with the population std (stats: one small row)."""
+    z = scale_exprs(clean_stats(df, feature_cols), feature_cols)
+    return df.select(*(keep or []), *[roundn(z[c], 6).alias(c) for c in feature_cols])
 
 
-def zsum_score(df: DataFrame, feature_cols: list[str], keep: list[str] | None = None) -> DataFrame:
+def zsum_score(df: DataFrame, feature_cols: list[str]) -> DataFrame:
     """Deterministic unusualness score: -(sum of squared z of the cleaned features), 6 places.
 
     Lower = more unusual, like the forest's score; used where an oracle must
-    reproduce the flag exactly.
+    reproduce the flag exactly. All input columns are kept.
     """
-    sc = feature_scaled(df, feature_cols, keep)
+    z = scale_exprs(clean_stats(df, feature_cols), feature_cols)
     total = None
     for c in feature_cols:
-        sq = F.col(c) * F.col(c)
+        sq = z[c] * z[c]
         total = sq if total is None else total + sq
-    return sc.withColumn("score", roundn(-total, 6))
+    return df.withColumn("score", roundn(-total, 6))
 
 
 def contamination_threshold(scored: DataFrame, contamination: float = 0.1, score_col: str = "score",

@@ -255,9 +255,16 @@ def q_column_profile(spark, d):
     return A.column_profile(ad_facts(spark, d))
 
 
+def _load_all() -> None:
+    # modules that register more queries (imported late: they use ``register``)
+    from adlens.plans import findings_queries  # noqa: F401
+
+
 def queries() -> dict[str, QueryFn]:
+    _load_all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load_all()
     return dict(ORACLE)
