@@ -6,8 +6,8 @@ Two zero modes:
   each metric is added only if its inputs exist (conditional projection).
 * ``guarded`` -- the lean pipeline's CTR and ROI: if the table total of the
   denominator is not positive the metric is 0.0 everywhere, else NaN becomes
-  0 (inf and null stay). The totals come from one aggregate that is joined
-  back as a one-row broadcast, i.e. a scalar subquery.
+  0 (inf and null stay). The totals are scalar subqueries (one partial
+  aggregate per task, one row out).
 
 All metrics are added in one ``withColumns`` projection.
 """
@@ -48,18 +48,12 @@ def row_metrics(df: DataFrame, zero_mode: str = "ieee") -> DataFrame:
 
 def guarded_metrics(df: DataFrame) -> DataFrame:
     """Lean CTR/ROI with a table-level guard (see module doc)."""
-    totals = df.agg(
-        F.sum("impressions").alias("__tot_impr"),
-        F.sum("spend").alias("__tot_spend"),
-    )
+    tot_impr = df.select(F.sum("impressions")).scalar()
+    tot_spend = df.select(F.sum("spend")).scalar()
     nan0 = lambda c: F.nanvl(c, F.lit(0.0))
     ctr = fdiv("clicks", "impressions") * 100
     roi = fdiv(F.col("revenue") - F.col("spend"), "spend") * 100
-    return (
-        df.crossJoin(F.broadcast(totals))
-        .withColumns({
-            "ctr": F.when(F.col("__tot_impr") > 0, round2(nan0(ctr))).otherwise(F.lit(0.0)),
-            "roi": F.when(F.col("__tot_spend") > 0, round2(nan0(roi))).otherwise(F.lit(0.0)),
-        })
-        .drop("__tot_impr", "__tot_spend")
-    )
+    return df.withColumns({
+        "ctr": F.when(tot_impr > 0, round2(nan0(ctr))).otherwise(F.lit(0.0)),
+        "roi": F.when(tot_spend > 0, round2(nan0(roi))).otherwise(F.lit(0.0)),
+    })

@@ -160,8 +160,9 @@ def recommendation_rows(texts: DataFrame, keys: list[str], text_col: str = "text
         [(i + 1, LEAN_PAD_RECOMMENDATIONS[i]) for i in range(n)], "pos int, default_text string"
     )
     lines = recommendation_lines(texts, keys, text_col)
-    base = texts.select(*keys).crossJoin(F.broadcast(pads))
-    return base.join(lines, keys + ["pos"], "left").select(
+    base = texts.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("pos")).join(
+        F.broadcast(pads), "pos")
+    return base.join(lines, [*keys, "pos"], "left").select(
         *keys, "pos", F.coalesce("recommendation", "default_text").alias("recommendation")
     )
 

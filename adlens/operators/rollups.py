@@ -90,18 +90,16 @@ def platform_rollup(df: DataFrame, wide: bool = False) -> DataFrame | None:
 def platform_share(df: DataFrame) -> DataFrame:
     """Percent of revenue and impressions per platform.
 
-    The total is a one-row aggregate of the grouped rows joined back as a
-    broadcast (a scalar subquery), not an unpartitioned window.
+    The totals are scalar subqueries over the grouped rows, not an
+    unpartitioned window.
     """
     g = df.groupBy("platform").agg(_sum("impressions").alias("impressions"), _sum("revenue").alias("revenue"))
-    tot = g.agg(F.sum("impressions").alias("__ti"), F.sum("revenue").alias("__tr"))
-    return (
-        g.crossJoin(F.broadcast(tot))
-        .select(
-            "platform", "impressions", "revenue",
-            roundn(safe_ratio("impressions", "__ti", 100.0), 4).alias("impressions_pct"),
-            roundn(safe_ratio("revenue", "__tr", 100.0), 4).alias("revenue_pct"),
-        )
+    ti = g.select(F.sum("impressions")).scalar()
+    tr = g.select(F.sum("revenue")).scalar()
+    return g.select(
+        "platform", "impressions", "revenue",
+        roundn(safe_ratio(F.col("impressions"), ti, 100.0), 4).alias("impressions_pct"),
+        roundn(safe_ratio(F.col("revenue"), tr, 100.0), 4).alias("revenue_pct"),
     )
 
 

@@ -27,10 +27,10 @@ def daily_roi(df: DataFrame, guarded: bool = True) -> DataFrame:
 
 
 def daily_vs_avg(df: DataFrame) -> DataFrame:
-    """Daily ROI beside its mean over all days (one-row aggregate joined back)."""
+    """Daily ROI beside its mean over all days (a scalar subquery over the daily rows)."""
     d = daily_roi(df)
-    avg = d.agg(roundn(F.avg("roi"), 6).alias("avg_roi"))
-    return d.crossJoin(F.broadcast(avg)).withColumn("above_avg", F.col("roi") > F.col("avg_roi"))
+    avg = d.select(roundn(F.avg("roi"), 6)).scalar()
+    return d.withColumn("avg_roi", avg).withColumn("above_avg", F.col("roi") > F.col("avg_roi"))
 
 
 def _pct_change(x, prev):
