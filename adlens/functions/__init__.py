@@ -7,5 +7,6 @@ from adlens.functions.numeric import (  # noqa: F401
     money_sum,
     round2,
     roundn,
+    snap_round,
     safe_ratio,
 )

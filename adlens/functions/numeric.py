@@ -47,6 +47,16 @@ def roundn(x, n: int) -> Column:
     return F.round(_c(x) * F.lit(s), 0) / F.lit(s)
 
 
+def snap_round(x, n: int) -> Column:
+    """Round to ``n`` places after snapping to ``n + 3``.
+
+    For statistics whose exact value can sit on a tie at ``n`` places (a mean
+    of values on a 0.01 grid): the snap removes last-bit noise of the
+    summation order, so both engines round the same number.
+    """
+    return roundn(roundn(x, n + 3), n)
+
+
 def round2(x) -> Column:
     return roundn(x, 2)
 

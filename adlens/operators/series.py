@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adlens.functions.numeric import fdiv, round2, roundn, safe_ratio
+from adlens.functions.numeric import fdiv, round2, roundn, safe_ratio, snap_round
 from adlens.operators.rollups import _sum, aggregate_by_date
 
 
@@ -29,7 +29,7 @@ def daily_roi(df: DataFrame, guarded: bool = True) -> DataFrame:
 def daily_vs_avg(df: DataFrame) -> DataFrame:
     """Daily ROI beside its mean over all days (a scalar subquery over the daily rows)."""
     d = daily_roi(df)
-    avg = d.select(roundn(F.avg("roi"), 6)).scalar()
+    avg = d.select(snap_round(F.avg("roi"), 6)).scalar()
     return d.withColumn("avg_roi", avg).withColumn("above_avg", F.col("roi") > F.col("avg_roi"))
 
 

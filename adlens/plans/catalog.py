@@ -181,7 +181,7 @@ def q_daily_roi(spark, d):
 
 @register("daily_vs_avg", facts_sql(
     "SELECT d.*, a.avg_roi, d.roi > a.avg_roi AS above_avg FROM dr d "
-    f"CROSS JOIN (SELECT {S.roundn('avg(roi)', 6)} AS avg_roi FROM dr) a", dr=_DAILY_ROI))
+    f"CROSS JOIN (SELECT {S.snap_round('avg(roi)', 6)} AS avg_roi FROM dr) a", dr=_DAILY_ROI))
 def q_daily_vs_avg(spark, d):
     return T.daily_vs_avg(ad_facts(spark, d))
 
@@ -236,7 +236,7 @@ def _profile_sql() -> str:
     for i, (c, t, num) in enumerate(_PROFILE_COLS):
         x = f"CAST({c} AS DOUBLE)"
         stats = (
-            f"{S.roundn(f'avg({x})', 6)}, min({x}), max({x}), {S.roundn(f'stddev_samp({x})', 6)}"
+            f"{S.snap_round(f'avg({x})', 6)}, min({x}), max({x}), {S.snap_round(f'stddev_samp({x})', 6)}"
             if num else "CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)"
         )
         parts.append(

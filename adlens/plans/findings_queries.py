@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from adlens.functions.numeric import roundn
+from adlens.functions.numeric import roundn, snap_round
 from adlens.functions.text import METRIC_DISPLAY_NAMES, NO_FINDINGS_SENTENCE
 from adlens.operators import explain as X
 from adlens.operators import report as R
+from adlens.operators.detect import detect
 from adlens.operators.features import (
     DEFAULT_FEATURES,
     feature_matrix,
@@ -126,11 +127,11 @@ def q_feature_matrix(spark, d):
 
 
 @register("feature_stats", S.with_ctes(
-    f"SELECT ordinal, metric, {S.roundn('mean', 6)} AS mean, {S.roundn('std', 6)} AS std, min, max FROM st",
+    f"SELECT ordinal, metric, {S.snap_round('mean', 6)} AS mean, {S.snap_round('std', 6)} AS std, min, max FROM st",
     ad_facts=S.AD_FACTS_SQL, m=S.METRICS_SQL, st=_stats_sql()))
 def q_feature_stats(spark, d):
     st = feature_stats(metric_facts(spark, d), FEATS)
-    return st.withColumns({"mean": roundn(F.col("mean"), 6), "std": roundn(F.col("std"), 6)})
+    return st.withColumns({"mean": snap_round(F.col("mean"), 6), "std": snap_round(F.col("std"), 6)})
 
 
 @register("feature_scaled", S.with_ctes(
@@ -258,6 +259,20 @@ def q_anomaly_context(spark, d):
     return _context(spark, d)
 
 
+@register("isolation_forest")
+def q_isolation_forest(spark, d):
+    # rows-only: another generator gives other trees, so only properties can be compared
+    return detect(metric_facts(spark, d), "iforest", FEATS, CONTAMINATION, n_trees=100).select(
+        *KEYS, "anomaly_score", "is_anomaly")
+
+
+@register("forest_findings")
+def q_forest_findings(spark, d):
+    fl = detect(metric_facts(spark, d), "iforest", FEATS, CONTAMINATION, n_trees=100)
+    return X.finding_text(X.explain_findings(fl, FEATS)).select(
+        "date", "campaign_name", "metric", "severity", "value", "description")
+
+
 @register("context_json")
 def q_context_json(spark, d):
     return _context(spark, d).select(F.to_json(F.struct("*")).alias("context"))

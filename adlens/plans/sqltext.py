@@ -30,6 +30,10 @@ def roundn(x: str, n: int) -> str:
     return f"(round(({x}) * {s!r}) / {s!r})"
 
 
+def snap_round(x: str, n: int) -> str:
+    return roundn(roundn(x, n + 3), n)
+
+
 def round2(x: str) -> str:
     return roundn(x, 2)
 
