@@ -257,7 +257,7 @@ def q_column_profile(spark, d):
 
 def _load_all() -> None:
     # modules that register more queries (imported late: they use ``register``)
-    from adlens.plans import findings_queries, normalize_queries  # noqa: F401
+    from adlens.plans import findings_queries, normalize_queries, stream_queries  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:
