@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from adlens.plans import sqltext as S
 from adlens.plans.catalog import register
+from adlens.operators.cooldown import cooldown_keep
+from adlens.sources.facts import table
 from adlens.streaming.daily import stream_daily
 
 
@@ -13,3 +15,20 @@ from adlens.streaming.daily import stream_daily
     f"{S.snap_round('sum(value)', 4)} AS value_sum FROM events GROUP BY CAST(ts AS DATE)"))
 def q_stream_daily(spark, d):
     return stream_daily(spark, d, "events.parquet")
+
+
+COOLDOWN_SECONDS = 6 * 3600
+
+
+@register("cooldown_dedup", (
+    "WITH RECURSIVE ev AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id "
+    "ORDER BY ts, event_id) AS rn FROM events), "
+    "nx AS (SELECT a.user_id, a.rn, min(b.rn) AS nxt FROM ev a JOIN ev b ON a.user_id = b.user_id "
+    f"AND b.ts >= a.ts + INTERVAL {COOLDOWN_SECONDS} SECOND GROUP BY a.user_id, a.rn), "
+    "kept(user_id, rn) AS (SELECT user_id, 1 FROM ev WHERE rn = 1 UNION ALL "
+    "SELECT k.user_id, n.nxt FROM kept k JOIN nx n ON n.user_id = k.user_id AND n.rn = k.rn) "
+    "SELECT e.user_id, e.event_id, e.ts FROM ev e JOIN kept k ON e.user_id = k.user_id AND e.rn = k.rn"))
+def q_cooldown_dedup(spark, d):
+    # per user, an event is kept if it comes 6 h or more after the user's last kept event
+    ev = table(spark, d, "events")
+    return cooldown_keep(ev, "user_id", "ts", COOLDOWN_SECONDS, "event_id").select("user_id", "event_id", "ts")
