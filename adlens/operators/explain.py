@@ -152,3 +152,14 @@ def overlay(daily: DataFrame, findings: DataFrame, metric: str) -> DataFrame:
     return daily.select("date", metric).join(marks, "date", "left").select(
         "date", metric, F.coalesce("__m", F.lit(False)).alias("is_marked")
     )
+
+
+def flagged_row_index(flagged: DataFrame, order_by: list[str]) -> DataFrame:
+    """0-based position of each flagged row among the flagged rows, in an explicit order.
+
+    The reference numbers flagged rows in input order, which a distributed
+    table does not have; the order is a parameter. Numbered by a distributed
+    sort plus per-partition offsets, not a single-partition window.
+    """
+    from adlens.operators.rowid import row_index
+    return row_index(flagged.where(F.col("is_anomaly")), "row_index", start=0, order_by=order_by)

@@ -118,9 +118,12 @@ def chart_series(df: DataFrame, top_k: int = 10) -> DataFrame:
 # --------------------------------------------------------------------------- model-response text
 
 LINE_MODES = {
-    # mode: (marker characters stripped from the left, min raw length, min trimmed length, keep k, shorten)
-    "lean": ("0123456789.-) *", 6, 1, 4, True),
-    "script": ("0123456789.-) ", 1, 11, 4, False),
+    # mode: (marker characters stripped from the left, min raw length, min trimmed length, keep k,
+    #        shorten, only lines starting with a digit / '-' / bullet)
+    "lean": ("0123456789.-) *", 6, 1, 4, True, False),
+    "script": ("0123456789.-) ", 1, 11, 4, False, False),
+    "quick": ("0123456789.-) ", 1, 1, 3, False, False),
+    "wide": ("0123456789.-\u2022) ", 1, 1, 5, False, True),
 }
 
 
@@ -134,16 +137,21 @@ def recommendation_lines(texts: DataFrame, keys: list[str], text_col: str = "tex
     """Lines of a model response turned into recommendations.
 
     Split on newline, drop blank lines and (lean) raw lines of 5 chars or
-    fewer, strip list markers, keep the first k per text, and shorten lines over
-    ``max_len`` at the last blank before ``max_len - 3`` plus '...'. The window
-    is partitioned by text, so its groups are the lines of one text.
+    fewer, strip list markers, keep the first k per text, and (lean) shorten
+    lines over ``max_len`` at the last blank before ``max_len - 3`` plus '...'.
+    The wide mode keeps only lines that start with a digit, '-' or a bullet
+    and drops lines left empty by the stripping. The window is partitioned by
+    text, so its groups are the lines of one text.
     """
-    marks, min_raw, min_trim, k, shorten = LINE_MODES[mode]
+    marks, min_raw, min_trim, k, shorten, lead_only = LINE_MODES[mode]
     lines = texts.select(*keys, F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "raw"))
     t = strip_ws(F.col("raw"))
     kept = lines.where((F.length(t) >= min_trim) & (F.length("raw") >= min_raw)).withColumn(
         "rec", F.regexp_replace(t, _lstrip_class(marks), "")
     )
+    if lead_only:
+        kept = kept.where(t.rlike("^[0-9\\-\u2022]")).withColumn("rec", strip_ws(F.col("rec"))) \
+            .where(F.length("rec") > 0)
     w = Window.partitionBy(*keys).orderBy("line_no")
     first = kept.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
     cut = F.substring("rec", 1, max_len - 3)

@@ -172,6 +172,18 @@ def q_row_alerts(spark, d):
     return X.row_alerts(flagged_facts(spark, d))
 
 
+_IDX_ORDER = ["date", "campaign_id", "l_orderkey", "l_linenumber", "impressions", "clicks", "spend", "revenue",
+              "score"]
+
+
+@register("flagged_row_index", flag_sql(
+    "SELECT l_orderkey, l_linenumber, date, campaign_id, score, row_number() OVER (ORDER BY "
+    + ", ".join(_IDX_ORDER) + ") - 1 AS row_index FROM fl WHERE is_anomaly"))
+def q_flagged_row_index(spark, d):
+    return X.flagged_row_index(flagged_facts(spark, d), _IDX_ORDER).select(
+        "l_orderkey", "l_linenumber", "date", "campaign_id", "score", "row_index")
+
+
 @register("anomaly_summary", findings_sql(
     "SELECT 'total' AS dimension, 'all' AS key, count(*) AS n FROM f "
     "UNION ALL SELECT 'severity', s.key, coalesce(c.n, 0) FROM (VALUES ('high'), ('medium'), ('low')) s(key) "
@@ -384,6 +396,40 @@ def q_recommendation_lines(spark, d):
     return R.recommendation_lines(conv, ["conv_id", "turn"], "text")
 
 
+_WIDE_MARKS = "regexp_replace(" + _strip_sql("raw") + ", '^[0-9\\.\\-\u2022\\) ]+', '')"
+_KEPT_WIDE = (
+    "SELECT conv_id, turn, line_no, " + _strip_sql(_WIDE_MARKS) + " AS rec FROM ln "
+    "WHERE regexp_matches(" + _strip_sql("raw") + ", '^[0-9\\-\u2022]')"
+)
+
+
+def _plain_kept(min_trim: int) -> str:
+    return (f"SELECT conv_id, turn, line_no, regexp_replace({_strip_sql('raw')}, '^[0-9\\.\\-\\) ]+', '') AS rec "
+            f"FROM ln WHERE length({_strip_sql('raw')}) >= {min_trim}")
+
+
+def _first_k(k: int, extra: str = "") -> str:
+    return ("SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, rec AS recommendation FROM (SELECT *, "
+            f"row_number() OVER (PARTITION BY conv_id, turn ORDER BY line_no) AS pos FROM kept {extra}) r "
+            f"WHERE pos <= {k}")
+
+
+def _lines_query(mode: str):
+    def q(spark, d):
+        conv = spark.read.parquet(f"{d}/conversations.parquet").where(F.col("role") == "assistant")
+        return R.recommendation_lines(conv, ["conv_id", "turn"], "text", mode=mode)
+    return q
+
+
+register("recommendation_lines_wide", S.with_ctes(
+    "SELECT * FROM fr", a=_ASSIST, ln=_LINES, kept=_KEPT_WIDE, fr=_first_k(5, "WHERE length(rec) > 0")))(
+    _lines_query("wide"))
+register("recommendation_lines_script", S.with_ctes(
+    "SELECT * FROM fr", a=_ASSIST, ln=_LINES, kept=_plain_kept(11), fr=_first_k(4)))(_lines_query("script"))
+register("recommendation_lines_quick", S.with_ctes(
+    "SELECT * FROM fr", a=_ASSIST, ln=_LINES, kept=_plain_kept(1), fr=_first_k(3)))(_lines_query("quick"))
+
+
 @register("recommendation_rows", S.with_ctes(
     "SELECT a.conv_id, a.turn, p.pos, coalesce(fr.recommendation, p.d) AS recommendation FROM a CROSS JOIN "
     "(VALUES (1, 'Optimize high-spend low-ROI campaigns'), (2, 'Scale top performers'), (3, 'Review anomalies'), "
