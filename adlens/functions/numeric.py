@@ -21,19 +21,14 @@ def fdiv(a, b) -> Column:
     """IEEE division: x/0 gives +inf, -inf or NaN like NumPy/Polars; nulls stay null.
 
     Spark 4 runs with ANSI on, where a plain ``/`` by zero raises, so the zero
-    branch is spelled out and the other branch uses ``try_divide``.
+    branch is spelled out (``a * inf`` is +inf, -inf, or NaN for 0 and NaN) and
+    the other branch uses ``try_divide``. Each input is referenced twice only:
+    these expressions are inlined into filters, where no common-subexpression
+    elimination happens, so their size matters.
     """
     a = _c(a).cast("double")
     b = _c(b).cast("double")
-    zero = (
-        F.when(F.isnan(a), F.lit(float("nan")))
-        .when(a > 0, F.lit(INF))
-        .when(a < 0, F.lit(-INF))
-        .otherwise(F.lit(float("nan")))
-    )
-    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(b == 0, zero).otherwise(
-        F.try_divide(a, b)
-    )
+    return F.when(b == 0, a * F.lit(INF)).otherwise(F.try_divide(a, b))
 
 
 def roundn(x, n: int) -> Column:
@@ -69,9 +64,12 @@ def safe_ratio(num, den, scale: float = 1.0) -> Column:
 
 
 def finite_or_zero(x) -> Column:
-    """null, NaN and +-inf become 0.0 (feature cleaning before the forest)."""
+    """null, NaN and +-inf become 0.0 (feature cleaning before the forest).
+
+    ``abs(x) < inf`` is false for NaN and +-inf and null for null.
+    """
     x = _c(x).cast("double")
-    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(INF)), F.lit(0.0)).otherwise(x)
+    return F.coalesce(F.when(F.abs(x) < F.lit(INF), x), F.lit(0.0))
 
 
 def is_finite(x) -> Column:

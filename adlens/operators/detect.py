@@ -7,6 +7,7 @@ Both add ``anomaly_score`` (below 0 = flagged) and ``is_anomaly``.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +21,13 @@ def _no_flags(df: DataFrame) -> DataFrame:
 
 def detect(df: DataFrame, method: str = "iforest", feature_cols: list[str] | None = None,
            contamination: float = 0.1, n_trees: int = 100, max_samples: int = 256, seed: int = 42,
-           scale: bool = False, guard: bool = True, exact: bool = True) -> DataFrame:
+           scale: bool = False, guard: bool = True, exact: bool = True, keep: list | None = None) -> DataFrame:
     """Score every row and flag about ``contamination`` of them.
 
     With ``guard`` (the lean pipeline's rule) fewer than 10 rows or a feature
     matrix without spread flags nothing. No features -> nothing flagged.
+    With ``keep`` (a list) the forest's scores are computed once and persisted;
+    the persisted frame is appended to ``keep`` for the caller to unpersist.
     """
     feats = feature_columns(df, feature_cols)
     if not feats or (guard and not guard_ok(df, feats)):
@@ -33,7 +36,14 @@ def detect(df: DataFrame, method: str = "iforest", feature_cols: list[str] | Non
         flagged = flag_by_contamination(zsum_score(df, feats), contamination, exact=exact)
         return flagged.withColumn("anomaly_score", F.col("score") - F.col("threshold"))
     if method == "iforest":
-        model = IsolationForest(feats, n_trees=n_trees, max_samples=max_samples, contamination=contamination,
-                                seed=seed, scale=scale, exact_offset=exact).fit(df)
-        return model.transform(df)
+        est = IsolationForest(feats, n_trees=n_trees, max_samples=max_samples, contamination=contamination,
+                              seed=seed, scale=scale, exact_offset=exact, fit_offset=keep is None)
+        model = est.fit(df)
+        if keep is None:  # nothing cached past this call: the offset pass and the output each score
+            return model.transform(df)
+        # score once: the persisted scores feed both the offset quantile and the flag
+        scored = df.withColumn("iso_score", model.score_column(df)).persist(StorageLevel.MEMORY_AND_DISK)
+        keep.append(scored)
+        model.offset = model.offset_from(scored.select((-F.col("iso_score")).alias("ns")), exact)
+        return model.flag(scored)
     raise ValueError(f"unknown method {method!r}; use 'iforest' or 'zsum'")

@@ -101,10 +101,10 @@ def zsum_score(df: DataFrame, feature_cols: list[str]) -> DataFrame:
     reproduce the flag exactly. All input columns are kept.
     """
     z = scale_exprs(clean_stats(df, feature_cols), feature_cols)
-    total = None
-    for c in feature_cols:
-        sq = z[c] * z[c]
-        total = sq if total is None else total + sq
+    # fold z*z left to right over an array: each z appears once in the plan
+    # (``z[c] * z[c]`` would copy it, and a filter on the score gets no
+    # common-subexpression elimination); same additions, same order
+    total = F.aggregate(F.array(*[z[c] for c in feature_cols]), F.lit(0.0), lambda acc, v: acc + v * v)
     return df.withColumn("score", roundn(-total, 6))
 
 

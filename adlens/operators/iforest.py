@@ -97,11 +97,16 @@ def _tree_builder(n_features: int, max_depth: int, seed: int):
     return build
 
 
+def _has_ckpt(df: DataFrame) -> bool:
+    return df.sparkSession.sparkContext.getCheckpointDir() is not None
+
+
 class IsolationForest:
     """Estimator: ``IsolationForest(feature_cols, n_trees=100).fit(df) -> IsolationForestModel``."""
 
     def __init__(self, feature_cols: list[str], n_trees: int = 100, max_samples: int = 256,
-                 contamination: float = 0.1, seed: int = 42, scale: bool = False, exact_offset: bool = True):
+                 contamination: float = 0.1, seed: int = 42, scale: bool = False, exact_offset: bool = True,
+                 fit_offset: bool = True):
         self.feature_cols = list(feature_cols)
         self.n_trees = n_trees
         self.max_samples = max_samples
@@ -109,6 +114,7 @@ class IsolationForest:
         self.seed = seed
         self.scale = scale
         self.exact_offset = exact_offset
+        self.fit_offset = fit_offset
 
     def _prepared(self, df: DataFrame, stats: dict | None) -> DataFrame:
         cols = []
@@ -130,28 +136,37 @@ class IsolationForest:
             stats = df.agg(*aggs).first().asDict()
         X = self._prepared(df, stats)
         fcols = [F.col(f"f{i}") for i in range(k)]
-        n = X.count()
-        psi = min(self.max_samples, n)
         T = self.n_trees
-        if n == 0:
+        cap = T * self.max_samples
+        order = ["h", *[f"f{i}" for i in range(k)]]
+        # one pass: the cap+1 rows of smallest hash (a bounded top-k, TakeOrderedAndProject);
+        # fewer than cap+1 rows back means the whole table is that small
+        top = X.withColumn("h", F.xxhash64(F.lit(self.seed), *fcols)).orderBy(*order).limit(cap + 1)
+        top = top.checkpoint(eager=True) if _has_ckpt(df) else top.persist(StorageLevel.MEMORY_AND_DISK)
+        n_top = top.count()
+        if n_top == 0:
             raise ValueError("cannot fit an isolation forest on an empty table")
-        if n > T * psi:
-            h = F.xxhash64(F.lit(self.seed), *fcols)
-            top = X.withColumn("h", h).orderBy("h", *fcols).limit(T * psi)
-            w = Window.orderBy("h", *[f"f{i}" for i in range(k)])
-            sample = top.withColumn("tree", ((F.row_number().over(w) - 1) % T).cast("int"))
+        if n_top > cap:
+            psi = self.max_samples
+            w = Window.orderBy(*order)  # over cap + 1 rows only
+            sample = (top.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= cap)
+                      .withColumn("tree", ((F.col("rk") - 1) % T).cast("int")).drop("rk"))
         else:
-            # n <= trees * psi here, so the n * trees candidate rows are bounded
-            rep = X.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(T - 1))))
+            # n <= trees * psi: every tree draws psi rows from the n (n * trees rows, bounded)
+            n = n_top
+            psi = min(self.max_samples, n)
+            rep = top.drop("h").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(T - 1))))
             rep = rep.withColumn("h", F.xxhash64(F.lit(self.seed), F.col("tree"), *fcols))
-            w = Window.partitionBy("tree").orderBy("h", *[f"f{i}" for i in range(k)])
+            w = Window.partitionBy("tree").orderBy(*order)
             sample = rep.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= psi).drop("rk")
         max_depth = int(math.ceil(math.log2(max(psi, 2))))
         nodes = sample.groupBy("tree").applyInPandas(_tree_builder(k, max_depth, self.seed), NODE_SCHEMA)
         node_pdf = nodes.toPandas()  # bounded: trees * (2 psi - 1) rows at most
+        top.unpersist()
         model = IsolationForestModel(self.feature_cols, node_pdf, psi, stats, offset=None,
                                      contamination=self.contamination)
-        model.offset = model.fit_offset(df, exact=self.exact_offset)
+        if self.fit_offset:
+            model.offset = model.fit_offset(df, exact=self.exact_offset)
         return model
 
 
@@ -218,21 +233,29 @@ class IsolationForestModel:
             prep.append(x.alias(f"f{i}"))
         return s_of(F.struct(*prep))
 
+    def score_column(self, df: DataFrame):
+        """s(x) in (0, 1]: higher = more isolated."""
+        return self._score_col(df)
+
+    def offset_from(self, neg_scores: DataFrame, exact: bool = True) -> float:
+        """The ``contamination`` quantile of -s(x) (a one-column frame ``ns``, persisted by the caller)."""
+        f = exact_quantile if exact else approx_quantile
+        return float(f(neg_scores, "ns", self.contamination))
+
     def fit_offset(self, df: DataFrame, exact: bool = True) -> float:
         neg = df.select((-self._score_col(df)).alias("ns")).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            q = exact_quantile(neg, "ns", self.contamination) if exact else approx_quantile(neg, "ns", self.contamination)
+            return self.offset_from(neg, exact)
         finally:
             neg.unpersist()
-        return float(q)
+
+    def flag(self, scored: DataFrame) -> DataFrame:
+        """anomaly_score and is_anomaly from an ``iso_score`` column."""
+        a = -F.col("iso_score") - F.lit(self.offset)
+        return scored.withColumns({"anomaly_score": a, "is_anomaly": a < 0})
 
     def transform(self, df: DataFrame) -> DataFrame:
-        s = self._score_col(df)
-        out = df.withColumn("iso_score", s)
-        return out.withColumns({
-            "anomaly_score": -F.col("iso_score") - F.lit(self.offset),
-            "is_anomaly": (-F.col("iso_score") - F.lit(self.offset)) < 0,
-        })
+        return self.flag(df.withColumn("iso_score", self._score_col(df)))
 
     # ---- persistence: the node table as Parquet plus one row of settings
     def save(self, spark: SparkSession, path: str) -> None:

@@ -48,8 +48,12 @@ def analyze(df: DataFrame, profile: str = "lean", method: str = "iforest", conta
     feats = feature_columns(facts, feature_cols) if profile == "wide" or feature_cols else \
         [c for c in ["impressions", "clicks", "spend", "revenue"] if c in facts.columns]
     trees = n_trees or (50 if profile == "lean" else 100)
+    kept: list = []
     scored = detect(facts, method, feats, contamination, n_trees=trees, seed=seed, scale=(profile == "wide"),
-                    guard=(profile == "lean")).persist(StorageLevel.MEMORY_AND_DISK)
+                    guard=(profile == "lean"), keep=kept)
+    if not kept:  # z-sum / guarded path: nothing cached yet
+        scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(scored)
     findings = X.finding_text(X.explain_findings(scored, feats))
     kpis = A.kpi_totals(facts)
     mapping = spark.createDataFrame(rep.to_rows(), "source_column string, field string, how string")
@@ -72,14 +76,15 @@ def analyze(df: DataFrame, profile: str = "lean", method: str = "iforest", conta
         "chart_series": R.chart_series(facts, 10),
         "recommendations": recs,
         "_facts": facts,
-        "_scored": scored,
+        "_cached": kept,
     }
 
 
-def release(tables: dict[str, DataFrame]) -> None:
-    for k in ("_scored", "_facts"):
-        if tables.get(k) is not None:
-            tables[k].unpersist()
+def release(tables: dict) -> None:
+    for df in tables.get("_cached", []):
+        df.unpersist()
+    if tables.get("_facts") is not None:
+        tables["_facts"].unpersist()
 
 
 def write_report(tables: dict[str, DataFrame], out_dir: str, report_id: str, run_ts: str | None = None) -> dict:
