@@ -28,3 +28,11 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert "campaign_name" in df.columns
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(ORACLES)))
+def test_rows_only_queries_run_with_stable_schema(spark, sf_small, name):
+    a = E.queries()[name](spark, sf_small)
+    b = E.queries()[name](spark, sf_small)
+    assert a.schema == b.schema
+    assert a.count() >= 0
