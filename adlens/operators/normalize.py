@@ -211,7 +211,14 @@ def plan_mapping(df: DataFrame, profile: str = "lean", custom_mapping: dict[str,
             taken.add(fld)
         else:
             unmapped.append(c)
-    facts = facts if facts is not None else infer_profile(df, cols, profile)
+    if facts is None:
+        # data facts only where a decision needs them: unmapped columns (N3/N4) and a
+        # text column mapped to date (N7); nothing to look at -> no job at all
+        need = list(unmapped)
+        need += [c for c, f in mapping.items() if f == "date" and isinstance(types[c], StringType)]
+        if "date" in cols and "date" not in mapping and isinstance(types["date"], StringType):
+            need.append("date")
+        facts = infer_profile(df, sorted(set(need), key=cols.index), profile) if need else {}
     for c in list(unmapped):                         # N3 + N4: fill gaps by type
         kind = classify(types[c], facts[c], profile)
         rep.inferred_types[c] = kind

@@ -67,8 +67,10 @@ def exact_quantile(df: DataFrame, col: str, q: float, buckets: int = 4096, final
     if c == f:
         return vf
     # the next rank: same value if enough ties, else the next larger value
-    le = vals.where(F.col("v") <= F.lit(vf)).count()
-    vc = vf if le > c else float(vals.where(F.col("v") > F.lit(vf)).agg(F.min("v")).first()[0])
+    # one pass: how many values are <= vf, and the next larger value
+    r = vals.agg(F.count_if(F.col("v") <= F.lit(vf)).alias("le"),
+                 F.min(F.when(F.col("v") > F.lit(vf), F.col("v"))).alias("nxt")).first()
+    vc = vf if r["le"] > c else float(r["nxt"])
     return vf + (vc - vf) * (rn - f)
 
 
