@@ -104,7 +104,10 @@ def zsum_score(df: DataFrame, feature_cols: list[str]) -> DataFrame:
     # fold z*z left to right over an array: each z appears once in the plan
     # (``z[c] * z[c]`` would copy it, and a filter on the score gets no
     # common-subexpression elimination); same additions, same order
-    total = F.aggregate(F.array(*[z[c] for c in feature_cols]), F.lit(0.0), lambda acc, v: acc + v * v)
+    total = None
+    for c in feature_cols:
+        sq = F.pow(z[c], F.lit(2.0))  # fdlibm pow returns x*x exactly for y = 2
+        total = sq if total is None else total + sq
     return df.withColumn("score", roundn(-total, 6))
 
 
