@@ -102,12 +102,13 @@ def anomaly_summary(findings: DataFrame) -> DataFrame:
     )
     key = F.when(F.col("gid") == 7, F.lit("all")).when(F.col("gid") == 3, F.col("severity")) \
         .when(F.col("gid") == 5, F.col("metric")).otherwise(F.col("campaign_name"))
-    long = g.select(dim.alias("dimension"), key.alias("key"), F.col("n"))
+    long = g.select(dim.alias("dimension"), key.alias("key"), F.col("n").cast("bigint").alias("n"))
     spark = findings.sparkSession
-    sev = spark.createDataFrame([("severity", s) for s in SEVERITIES] + [("total", "all")], "dimension string, key string")
-    fixed = sev.join(long, ["dimension", "key"], "left").select("dimension", "key", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
-    rest = long.where(F.col("dimension").isin("metric", "campaign")).select("dimension", "key", F.col("n").cast("bigint"))
-    return fixed.unionByName(rest)
+    zeros = spark.createDataFrame([("severity", s, 0) for s in SEVERITIES] + [("total", "all", 0)],
+                                  "dimension string, key string, n bigint")
+    # the findings are aggregated once; the fixed keys are added as zero rows and the
+    # (few hundred) summary rows summed again
+    return long.unionByName(zeros).groupBy("dimension", "key").agg(F.sum("n").cast("bigint").alias("n"))
 
 
 def top_findings(findings: DataFrame, k: int = 10, cut: int = 70) -> DataFrame:

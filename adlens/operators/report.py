@@ -66,9 +66,8 @@ def campaign_table(df: DataFrame, k: int = 8, name_len: int = 18) -> DataFrame:
 
 def summary_text(df: DataFrame, n_findings: DataFrame | None = None) -> DataFrame:
     """The no-model summary sentence and the status line."""
-    k = kpi_totals(df)
-    counts = df.agg(F.count(F.lit(1)).alias("records"), F.count_distinct("campaign_name").alias("campaigns"))
-    out = counts.crossJoin(k)
+    # one pass over the facts: totals, record count and campaign count together
+    out = kpi_totals(df, F.count(F.lit(1)).alias("records"), F.count_distinct("campaign_name").alias("campaigns"))
     if n_findings is not None:
         out = out.crossJoin(n_findings.agg(F.count(F.lit(1)).alias("findings")))
     else:

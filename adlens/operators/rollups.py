@@ -25,14 +25,17 @@ def _zero(col: str):
     return F.lit(0.0) if col in MONEY_METRICS else F.lit(0).cast("bigint")
 
 
-def kpi_totals(df: DataFrame) -> DataFrame:
-    """A1: grand totals (missing metric -> 0) and ratios from the totals."""
+def kpi_totals(df: DataFrame, *extra) -> DataFrame:
+    """A1: grand totals (missing metric -> 0) and ratios from the totals.
+
+    ``extra`` aggregate columns ride along in the same single pass.
+    """
     cols = set(df.columns)
     sums = [
         (_sum(m) if m in cols else _zero(m)).alias(m)
         for m in ["impressions", "clicks", "conversions", "revenue", "spend"]
     ]
-    t = df.agg(*sums).na.fill(0, INT_METRICS).na.fill(0.0, MONEY_METRICS)
+    t = df.agg(*sums, *extra).na.fill(0, INT_METRICS).na.fill(0.0, MONEY_METRICS)
     return t.withColumns({
         "roi": safe_ratio(F.col("revenue") - F.col("spend"), "spend", 100.0),
         "ctr": safe_ratio("clicks", "impressions", 100.0),

@@ -229,16 +229,16 @@ def q_affected_campaigns(spark, d):
 
 def _context(spark, d):
     facts = ad_facts(spark, d)
-    k = kpi_totals(facts)
+    # one pass over the facts for totals, counts and the period; one over the findings
+    k = kpi_totals(
+        facts, F.count(F.lit(1)).alias("total_records"), F.count_distinct("campaign_name").alias("campaign_count"),
+        F.concat_ws(" to ", F.min("date").cast("string"), F.max("date").cast("string")).alias("reporting_period"),
+    )
     f = findings(spark, d)
     fa = f.agg(F.count(F.lit(1)).alias("total_anomalies"),
                F.count_if(F.col("severity") == "high").alias("high_severity"),
                F.count_distinct("campaign_name").alias("affected_campaigns"))
-    base = facts.agg(
-        F.count(F.lit(1)).alias("total_records"), F.count_distinct("campaign_name").alias("campaign_count"),
-        F.concat_ws(" to ", F.min("date").cast("string"), F.max("date").cast("string")).alias("reporting_period"),
-    )
-    return base.crossJoin(k).crossJoin(fa).select(
+    return k.crossJoin(fa).select(
         "reporting_period", "total_records",
         F.col("impressions").alias("total_impressions"), F.col("clicks").alias("total_clicks"),
         F.col("conversions").alias("total_conversions"), F.col("spend").alias("total_spend"),
