@@ -88,14 +88,20 @@ def release(tables: dict) -> None:
 
 
 def write_report(tables: dict[str, DataFrame], out_dir: str, report_id: str, run_ts: str | None = None) -> dict:
-    """K1: one Parquet table per section under ``out_dir/<section>``, partitioned by report and run."""
+    """K1: one Parquet table per section under ``out_dir/<section>``, partitioned by report and run.
+
+    Written with dynamic partition overwrite: writing the same (report_id, run_ts)
+    again replaces that partition only, so a retried run (or a re-executed
+    stream batch, which uses its batch id as ``run_ts``) leaves one copy.
+    """
     run_ts = run_ts or _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S")
     counts = {}
     for name, df in tables.items():
         if df is None or name.startswith("_"):
             continue
         (df.withColumns({"report_id": F.lit(report_id), "run_ts": F.lit(run_ts)})
-         .write.mode("append").partitionBy("report_id", "run_ts").parquet(f"{out_dir.rstrip('/')}/{name}"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("report_id", "run_ts").parquet(f"{out_dir.rstrip('/')}/{name}"))
         counts[name] = None
     return {"report_id": report_id, "run_ts": run_ts, "sections": sorted(counts)}
 

@@ -7,7 +7,10 @@ read by the stream), filtered to the supported extensions. Each micro-batch
 runs the pipeline, so every file keeps its own format and inferred schema. A
 failure is caught per file and logged; the stream lives on.
 
-What the checkpoint gives: every path is taken once, across restarts, even if
+Batches are at-least-once; a re-executed batch writes the same partitions
+again (run id = batch id, dynamic partition overwrite), so reports and log
+rows are not duplicated. What the checkpoint gives: every path is taken once,
+across restarts, even if
 the file is later overwritten (stronger than the reference's 5 s per-path
 cooldown). Files must be moved into the folder complete (atomic rename); the
 reference's size-stable wait has no counterpart in the file source. Failed
@@ -65,12 +68,16 @@ def _handler(out_dir: str, profile: str, **kw):
         for p in paths:
             now = _dt.datetime.now(_dt.timezone.utc).isoformat(timespec="seconds")
             try:
-                res = process_file(spark, _local(p), out_dir, profile=profile, **kw)
+                # run id = batch id: a re-executed batch overwrites its own report partitions
+                res = process_file(spark, _local(p), out_dir, profile=profile, run_ts=f"batch{batch_id}", **kw)
                 log.append((p, batch_id, "ok", None, res["report_id"], now))
             except Exception as e:  # noqa: BLE001 - W5: one bad file must not stop the watcher
                 log.append((p, batch_id, "error", f"{type(e).__name__}: {str(e)[:2000]}", None, now))
         if log:
-            spark.createDataFrame(log, LOG_SCHEMA).write.mode("append").parquet(log_path)
+            # partitioned by batch and overwritten dynamically: at-least-once batches log once
+            (spark.createDataFrame(log, LOG_SCHEMA).withColumn("batch", F.col("batch_id"))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("batch").parquet(log_path))
 
     return each_batch
 
@@ -87,7 +94,7 @@ def watch_folder(spark: SparkSession, folder: str, out_dir: str, checkpoint: str
 
 
 def read_log(spark: SparkSession, out_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{out_dir.rstrip('/')}/_log")
+    return spark.read.parquet(f"{out_dir.rstrip('/')}/_log").drop("batch")
 
 
 def retry_failed(spark: SparkSession, out_dir: str, profile: str = "lean", **kw) -> list[tuple]:

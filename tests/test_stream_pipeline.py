@@ -56,3 +56,16 @@ def test_process_existing_backlog(spark, tmp_dir):
     write(f"{inbox}/z.parquet", "broken")
     res = {os.path.basename(p): s for p, s, _ in process_existing(spark, inbox, f"{tmp_dir}/o2", method="zsum")}
     assert res == {"a.csv": "ok", "z.parquet": "error"}
+
+
+def test_rerun_of_a_batch_is_idempotent(spark, tmp_dir):
+    from adlens.streaming.folder import _handler
+    inbox, out = f"{tmp_dir}/inbox3", f"{tmp_dir}/out3"
+    os.makedirs(inbox)
+    p = write(f"{inbox}/a.csv", HEADER + "\n" + "\n".join(ROWS) + "\n")
+    batch = spark.createDataFrame([("file:" + p,)], "path string")
+    h = _handler(out, "lean", method="zsum")
+    h(batch, 7)
+    h(batch, 7)  # the same batch executed again after a failure
+    assert read_log(spark, out).count() == 1
+    assert spark.read.parquet(f"{out}/kpis").count() == 1
