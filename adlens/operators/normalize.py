@@ -335,18 +335,20 @@ def parse_dates(df: DataFrame, cols: list[str], fmt: str = "yyyy-MM-dd") -> Data
 def map_columns_catalog(catalog: DataFrame, profile: str = "lean") -> DataFrame:
     """N1 + N2 over a schema catalog ``(feed, ordinal, column_name)`` for many feeds at once.
 
-    The pattern table is fixed (about 80 rows) and broadcast; each column takes
-    its first matching field, and per (feed, field) the lowest ordinal wins.
+    N1 is one CASE expression over the fixed patterns (first field with any hit,
+    no join); N2 keeps, per (feed, field), the column with the lowest ordinal --
+    a window over the columns of one feed, never a whole table.
     """
-    spark = catalog.sparkSession
-    pats = [(fi, pi, f, p) for fi, (f, ps) in enumerate(patterns(profile).items()) for pi, p in enumerate(ps)]
-    pt = spark.createDataFrame(pats, "field_order int, pattern_order int, field string, pattern string")
-    low = F.lower(F.trim(F.col("column_name")))
-    hits = catalog.join(F.broadcast(pt), F.regexp_like(low, F.col("pattern")))
-    best = hits.groupBy("feed", "ordinal", "column_name").agg(
-        F.min_by("field", F.col("field_order")).alias("field"))
     from pyspark.sql import Window
-    w = Window.partitionBy("feed", "field").orderBy("ordinal")
-    won = best.withColumn("__rk", F.row_number().over(w)).where("__rk = 1").drop("__rk")
-    return catalog.join(won.select("feed", "ordinal", "field"), ["feed", "ordinal"], "left").select(
-        "feed", "ordinal", "column_name", "field")
+    low = F.lower(F.trim(F.col("column_name")))
+    best = None
+    for fld, ps in patterns(profile).items():
+        hit = None
+        for p in ps:
+            h = low.rlike(p)
+            hit = h if hit is None else hit | h
+        best = F.when(hit, F.lit(fld)) if best is None else best.when(hit, F.lit(fld))
+    cand = catalog.withColumn("__best", best)
+    w = Window.partitionBy("feed", "__best").orderBy("ordinal")
+    won = F.when(F.col("__best").isNotNull() & (F.row_number().over(w) == 1), F.col("__best"))
+    return cand.select("feed", "ordinal", "column_name", won.alias("field"))
