@@ -38,6 +38,12 @@ def report_id_of(path: str) -> str:
     return re.sub(r"[^A-Za-z0-9_.-]", "_", stem) or "report"
 
 
+def load_and_normalize(spark: SparkSession, path: str, custom_mapping: dict | None = None, profile: str = "lean",
+                       **kw):
+    """Read any supported file and map it onto the canonical schema; returns (df, report)."""
+    return normalize(read_any(spark, path, profile=profile), profile, custom_mapping=custom_mapping, **kw)
+
+
 def analyze(df: DataFrame, profile: str = "lean", method: str = "iforest", contamination: float = 0.1,
             n_trees: int | None = None, feature_cols: list[str] | None = None, run_date=None,
             custom_mapping: dict | None = None, seed: int = 42, title_stem: str = "report") -> dict[str, DataFrame]:

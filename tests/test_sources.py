@@ -96,3 +96,15 @@ def test_folder_backlog_isolates_failures(spark, tmp_dir):
     res = {os.path.basename(p): (df, err) for p, df, err in read_folder(spark, d)}
     assert res["good.csv"][0].count() == 14 and res["good.json"][0].count() == 14
     assert res["bad.parquet"][0] is None and res["bad.parquet"][1]
+
+
+def test_load_and_normalize_and_conditional_metrics(spark, tmp_dir):
+    from adlens.operators.metrics import row_metrics
+    from adlens.plans.pipeline import load_and_normalize
+    recs = records()
+    p = write(f"{tmp_dir}/feed.ndjson", "\n".join(json.dumps(r) for r in recs))
+    df, rep = load_and_normalize(spark, p, custom_mapping={"country": "platform", "channel": "region"})
+    assert rep.how["country"] == "custom" and df.first().platform == "R0"
+    # A metric is added only when its inputs exist
+    part = spark.createDataFrame([(100, 5)], "impressions long, clicks long")
+    assert set(row_metrics(part).columns) == {"impressions", "clicks", "ctr"}
