@@ -69,3 +69,19 @@ def test_rerun_of_a_batch_is_idempotent(spark, tmp_dir):
     h(batch, 7)  # the same batch executed again after a failure
     assert read_log(spark, out).count() == 1
     assert spark.read.parquet(f"{out}/kpis").count() == 1
+
+
+def test_wide_profile_forest_pipeline(spark, tmp_dir):
+    from adlens.plans.pipeline import analyze, release
+    from adlens.sources.readers import read_any
+    rows = [HEADER] + [r for r in ROWS for _ in range(5)]
+    p = write(f"{tmp_dir}/wide.csv", "\n".join(rows) + "\n")
+    t = analyze(read_any(spark, p, profile="wide"), profile="wide", method="iforest", n_trees=20)
+    try:
+        assert t["_cached"][0].count() == 70                 # scores persisted once
+        flagged = t["alerts"].count()                         # one alert per flagged row
+        assert 0 < flagged <= 8
+        assert t["kpis"].first().impressions == 5 * sum(10000 + i for i in range(14))
+        assert t["findings_summary"].where("dimension = 'total'").count() == 1
+    finally:
+        release(t)
