@@ -182,35 +182,36 @@ class IsolationForestModel:
 
     # ---- arrays for vectorised scoring
     def _arrays(self):
+        """Flat arrays over all trees; leaves loop to themselves (split +inf), so a walk needs no masks."""
         nd = self.nodes
         trees = np.sort(nd["tree"].unique())
         base = nd.groupby("tree")["node"].count().reindex(trees).cumsum().shift(fill_value=0).to_numpy()
         off = dict(zip(trees, base))
         gofs = nd["tree"].map(off).to_numpy()
-        left = np.where(nd["left"] >= 0, nd["left"] + gofs, -1)
-        right = np.where(nd["right"] >= 0, nd["right"] + gofs, -1)
+        me = np.arange(len(nd), dtype=np.int64)
+        leaf = nd["feature"].to_numpy() < 0
+        left = np.where(leaf, me, nd["left"].to_numpy() + gofs)
+        right = np.where(leaf, me, nd["right"].to_numpy() + gofs)
         leafval = nd["depth"].to_numpy(dtype=float) + avg_path_length(nd["size"].to_numpy())
         roots = np.asarray([off[t] for t in trees], dtype=np.int64)
         depth = int(nd["depth"].max()) if len(nd) else 0
         return {
-            "feature": nd["feature"].to_numpy(dtype=np.int64), "split": nd["split"].to_numpy(dtype=float),
-            "left": left.astype(np.int64), "right": right.astype(np.int64), "leafval": leafval,
+            "feature": np.where(leaf, 0, nd["feature"].to_numpy()).astype(np.int64),
+            "split": np.where(leaf, np.inf, nd["split"].to_numpy(dtype=float)),
+            "child": np.stack([left, right], axis=1).astype(np.int64), "leafval": leafval,
             "roots": roots, "depth": depth, "cpsi": float(avg_path_length([self.psi])[0]),
         }
 
     @staticmethod
     def _score_block(X: np.ndarray, a: dict) -> np.ndarray:
+        """Walk every row down every tree at once, one level per step (rows x trees node matrix)."""
         m = X.shape[0]
         node = np.broadcast_to(a["roots"], (m, len(a["roots"]))).copy()
         rows = np.arange(m)[:, None]
+        feat, split, child = a["feature"], a["split"], a["child"]
         for _ in range(a["depth"]):
-            f = a["feature"][node]
-            internal = f >= 0
-            if not internal.any():
-                break
-            x = X[rows, np.where(internal, f, 0)]
-            nxt = np.where(x <= a["split"][node], a["left"][node], a["right"][node])
-            node = np.where(internal, nxt, node)
+            go_right = X[rows, feat[node]] > split[node]   # features are finite; leaves compare with +inf
+            node = child[node, go_right.astype(np.intp)]
         eh = a["leafval"][node].mean(axis=1)
         return np.power(2.0, -eh / a["cpsi"]) if a["cpsi"] > 0 else np.ones(m)
 
