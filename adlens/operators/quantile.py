@@ -51,14 +51,24 @@ def _kth(df: DataFrame, col: str, k: int, lo: float, hi: float, below: int, buck
             raise ValueError("rank outside the column")
 
 
-def exact_quantile(df: DataFrame, col: str, q: float, buckets: int = 4096, final_rows: int = 50_000) -> float | None:
-    """Continuous quantile ``q`` of the non-null, non-NaN values of ``col``."""
+def exact_quantile(df: DataFrame, col: str, q: float, buckets: int = 4096, final_rows: int = 50_000,
+                   rows_per_task: int = 20_000_000) -> float | None:
+    """Continuous quantile ``q`` of the non-null, non-NaN values of ``col``.
+
+    Each histogram pass emits at most ``buckets`` partial rows per task, so the
+    column is first coalesced (narrow, no shuffle) to about ``rows_per_task``
+    values per task: on a huge table that bounds each pass's shuffle by
+    ``buckets * n / rows_per_task`` rows instead of ``buckets`` per input split.
+    """
     x = F.col(col).cast("double")
     vals = df.select(x.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     st = vals.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     n = st["n"]
     if n == 0:
         return None
+    want = max(1, math.ceil(n / rows_per_task))
+    if vals.rdd.getNumPartitions() > want:
+        vals = vals.coalesce(want)
     rn = (n - 1) * q
     f = math.floor(rn)
     c = math.ceil(rn)
