@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from adlens.operators.normalize import infer_column_types, normalize, parse_dates
+from adlens.operators.rollups import campaign_summary
+from adlens.plans import sqltext as S
 from adlens.plans.catalog import register
-from adlens.sources.facts import table
+from adlens.sources.facts import events_funnel, table
 
 _TAIL = "'Unknown' AS region, 'Unknown' AS platform, event_type, props FROM events"
 
@@ -67,3 +69,26 @@ def q_infer_column_types(spark, d):
 def q_parse_dates(spark, d):
     ev = table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
     return parse_dates(ev, ["day"])
+
+
+_FUNNEL_SQL = (
+    "SELECT CAST(ts AS DATE) AS date, concat('user_bucket_', CAST(user_id % 10 AS VARCHAR)) AS campaign_name, "
+    "count_if(event_type = 'view') AS impressions, count_if(event_type = 'click') AS clicks, "
+    "count_if(event_type = 'purchase') AS conversions, "
+    "coalesce(sum(CASE WHEN event_type = 'click' THEN value END), 0.0) AS spend, "
+    "coalesce(sum(CASE WHEN event_type = 'purchase' THEN value END), 0.0) AS revenue "
+    "FROM events GROUP BY 1, 2"
+)
+
+
+@register("funnel_summary", S.with_ctes(
+    "SELECT campaign_name, impressions, clicks, conversions, spend, revenue, "
+    f"{S.round2(S.safe_ratio('clicks', 'impressions', 100.0))} AS ctr, "
+    f"{S.roundn(S.safe_ratio('revenue - spend', 'spend', 100.0), 1)} AS roi "
+    f"FROM (SELECT campaign_name, coalesce({S.isum('impressions')}, 0) AS impressions, "
+    f"coalesce({S.isum('clicks')}, 0) AS clicks, coalesce({S.isum('conversions')}, 0) AS conversions, "
+    f"coalesce({S.money_sum('spend')}, 0.0) AS spend, coalesce({S.money_sum('revenue')}, 0.0) AS revenue "
+    "FROM fn GROUP BY campaign_name) g", fn=_FUNNEL_SQL))
+def q_funnel_summary(spark, d):
+    # the ad rollup over a second derived fact source: daily funnel per user bucket from events
+    return campaign_summary(events_funnel(spark, d))
