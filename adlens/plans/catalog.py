@@ -230,9 +230,9 @@ _PROFILE_COLS = [
 ]
 
 
-def _profile_sql() -> str:
+def _profile_sql(cols=None, source: str = "ad_facts", wrap=None) -> str:
     parts = []
-    for i, (c, t, num) in enumerate(_PROFILE_COLS):
+    for i, (c, t, num) in enumerate(cols or _PROFILE_COLS):
         x = f"CAST({c} AS DOUBLE)"
         stats = (
             f"{S.snap_round(f'avg({x})', 6)}, min({x}), max({x}), {S.snap_round(f'stddev_samp({x})', 6)}"
@@ -240,13 +240,12 @@ def _profile_sql() -> str:
         )
         parts.append(
             f"SELECT {i} AS ordinal, '{c}' AS column_name, '{t}' AS dtype, count(*) AS row_count, "
-            f"count_if({c} IS NULL) AS null_count, {stats} FROM ad_facts"
+            f"count_if({c} IS NULL) AS null_count, {stats} FROM {source}"
         )
     body = "\nUNION ALL\n".join(parts)
-    return facts_sql(
-        "SELECT ordinal, column_name, dtype, row_count, null_count, c5 AS mean, c6 AS min, c7 AS max, c8 AS std "
-        f"FROM ({body}) p(ordinal, column_name, dtype, row_count, null_count, c5, c6, c7, c8)"
-    )
+    sql = ("SELECT ordinal, column_name, dtype, row_count, null_count, c5 AS mean, c6 AS min, c7 AS max, c8 AS std "
+           f"FROM ({body}) p(ordinal, column_name, dtype, row_count, null_count, c5, c6, c7, c8)")
+    return (wrap or facts_sql)(sql)
 
 
 @register("column_profile", _profile_sql())
@@ -254,6 +253,18 @@ def q_column_profile(spark, d):
     return A.column_profile(ad_facts(spark, d))
 
 
+_EVENT_COLS = [
+    ("event_id", "bigint", True), ("ts", "timestamp_ntz", False), ("user_id", "bigint", True),
+    ("event_type", "string", False), ("value", "double", True), ("props", "string", False),
+]
+
+
+@register("events_profile", _profile_sql(_EVENT_COLS, "events", wrap=lambda q: q))
+def q_events_profile(spark, d):
+    # S11 on a second table: the profile is generic over any schema
+    return A.column_profile(spark.read.parquet(f"{d}/events.parquet"))
+
+
 def _load_all() -> None:
     # modules that register more queries (imported late: they use ``register``)
     from adlens.plans import findings_queries, normalize_queries, stream_queries  # noqa: F401
