@@ -4,7 +4,8 @@ fit:
   * features are cleaned (null/NaN/inf -> 0) and optionally standardised;
   * sampling does not depend on partitioning: rows are ranked by
     ``xxhash64(seed, features)``; when n > trees * psi the first trees * psi rows
-    (a bounded top-k) are dealt round-robin to the trees, else every tree takes
+    (found among the rows below a hash cut, never by a global top-k merged in
+    one task) are dealt round-robin to the trees, else every tree takes
     the psi rows of smallest ``xxhash64(seed, tree, features)`` (n * trees rows,
     bounded because n <= trees * psi). Rows with equal hash have equal features,
     so ties cannot change a tree;
@@ -97,6 +98,13 @@ def _tree_builder(n_features: int, max_depth: int, seed: int):
     return build
 
 
+def _hash_cut(frac: float) -> int | None:
+    """int64 threshold below which a uniform 64-bit hash falls with probability ``frac`` (None = keep all)."""
+    if frac >= 1.0:
+        return None
+    return int(-(2**63) + frac * 2**64)
+
+
 def _has_ckpt(df: DataFrame) -> bool:
     return df.sparkSession.sparkContext.getCheckpointDir() is not None
 
@@ -139,9 +147,25 @@ class IsolationForest:
         T = self.n_trees
         cap = T * self.max_samples
         order = ["h", *[f"f{i}" for i in range(k)]]
-        # one pass: the cap+1 rows of smallest hash (a bounded top-k, TakeOrderedAndProject);
-        # fewer than cap+1 rows back means the whole table is that small
-        top = X.withColumn("h", F.xxhash64(F.lit(self.seed), *fcols)).orderBy(*order).limit(cap + 1)
+        # the cap rows of smallest (hash, features). A plain orderBy().limit(cap) would send
+        # cap rows from every input split to one merge task; instead the hash (uniform over
+        # int64) is first cut at a threshold expected to keep ~2*cap rows -- a distributed
+        # filter -- and only those candidates are ordered. Same rows as a global sort.
+        h = F.xxhash64(F.lit(self.seed), *fcols)
+        n = X.count()
+        if n <= cap:
+            cand = X.withColumn("h", h)
+        else:
+            frac = min(1.0, 2.0 * cap / n)
+            while True:
+                tau = _hash_cut(frac)
+                cand = X.withColumn("h", h).where(F.col("h") < F.lit(tau)) if tau is not None else X.withColumn("h", h)
+                cand = cand.checkpoint(eager=True) if _has_ckpt(df) else cand.persist(StorageLevel.MEMORY_AND_DISK)
+                if tau is None or cand.count() >= cap + 1:
+                    break
+                cand.unpersist()
+                frac = min(1.0, frac * 2)
+        top = cand.orderBy(*order).limit(cap + 1)  # candidates only: about 2*cap rows in all
         top = top.checkpoint(eager=True) if _has_ckpt(df) else top.persist(StorageLevel.MEMORY_AND_DISK)
         n_top = top.count()
         if n_top == 0:
@@ -163,6 +187,7 @@ class IsolationForest:
         nodes = sample.groupBy("tree").applyInPandas(_tree_builder(k, max_depth, self.seed), NODE_SCHEMA)
         node_pdf = nodes.toPandas()  # bounded: trees * (2 psi - 1) rows at most
         top.unpersist()
+        cand.unpersist()
         model = IsolationForestModel(self.feature_cols, node_pdf, psi, stats, offset=None,
                                      contamination=self.contamination)
         if self.fit_offset:
