@@ -136,22 +136,27 @@ def _json_is_array(spark: SparkSession, path: str) -> bool:
 
 
 def read_any(spark: SparkSession, path: str, fmt: str | None = None, profile: str = "lean",
-             table: str | None = None, **opts) -> DataFrame:
-    """Read by extension (or ``fmt``); missing -> FileNotFoundError, empty -> ValueError."""
+             table: str | None = None, schema=None, **opts) -> DataFrame:
+    """Read by extension (or ``fmt``); missing -> FileNotFoundError, empty -> ValueError.
+
+    Text formats infer their schema, which is a full pass over the input; for
+    very large CSV/JSON pass ``schema`` (DDL or StructType) or ``samplingRatio``.
+    """
     allowed = LEAN_FORMATS if profile == "lean" else WIDE_FORMATS
     ext = (fmt or path.rstrip("/").rsplit(".", 1)[-1]).lower()
     kind = allowed.get(ext)
     if kind is None:
         raise ValueError(f"Unsupported file type: {ext}. Supported: {', '.join(sorted(allowed))}")
+    reader = spark.read.schema(schema) if schema is not None else spark.read
     try:
         if kind == "csv":
-            df = spark.read.options(header=True, inferSchema=True, **opts).csv(path)
+            df = reader.options(header=True, inferSchema=schema is None, **opts).csv(path)
         elif kind == "parquet":
-            df = spark.read.options(**opts).parquet(path)
+            df = reader.options(**opts).parquet(path)
         elif kind == "ndjson":
-            df = spark.read.options(multiLine=False, **opts).json(path)
+            df = reader.options(multiLine=False, **opts).json(path)
         elif kind == "json":
-            df = spark.read.options(multiLine=_json_is_array(spark, path), **opts).json(path)
+            df = reader.options(multiLine=_json_is_array(spark, path), **opts).json(path)
         else:
             if "://" not in path and not os.path.exists(path):
                 raise FileNotFoundError(f"Can't find the file: {path}")

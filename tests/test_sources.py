@@ -38,6 +38,8 @@ def test_csv_types_and_totals(spark, tmp_dir):
     assert df.count() == 14
     meta = load_metadata(df, p, "csv")
     assert meta["rows"] == 14 and meta["columns"] == 10
+    fixed = read_any(spark, p, schema=", ".join(f"{c} {'date' if c == 'date' else 'string'}" for c in HEADER.split(",")))
+    assert dict(fixed.dtypes)["impressions"] == "string"  # an explicit schema skips inference
 
 
 def test_json_array_and_lines(spark, tmp_dir):
