@@ -70,3 +70,11 @@ def test_zsum_flag_share(spark, sf_small):
     k = out.where("is_anomaly").count()
     assert 0 < k <= math.ceil(0.1 * n)
     assert out.where(F.col("is_anomaly") != (F.col("anomaly_score") < 0)).count() == 0
+
+
+def test_sketch_threshold_path(spark, sf_small):
+    df = metric_facts(spark, sf_small)
+    n = df.count()
+    for method in ("zsum", "iforest"):
+        k = detect(df, method, FEATS, exact=False, n_trees=20).where("is_anomaly").count()
+        assert 0.08 * n <= k <= 0.12 * n, (method, k)
