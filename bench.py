@@ -86,6 +86,8 @@ def main() -> None:
         "metric": "total_query_seconds", "value": total, "unit": "sec", "queries": out,
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "rows": rows, "cpus": cpus,
         "repeats": repeats,
+        "rows_per_sec": {k: round(rows / out[k]) for k in ("row_metrics", "forest_score", "full_report")
+                         if out.get(k)},
     }))
     spark.stop()
 
