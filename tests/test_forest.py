@@ -78,3 +78,12 @@ def test_sketch_threshold_path(spark, sf_small):
     for method in ("zsum", "iforest"):
         k = detect(df, method, FEATS, exact=False, n_trees=20).where("is_anomaly").count()
         assert 0.08 * n <= k <= 0.12 * n, (method, k)
+
+
+def test_same_model_with_and_without_checkpoint_folder(spark, sf_small, monkeypatch):
+    import adlens.operators.iforest as I
+    df = metric_facts(spark, sf_small)
+    a = IsolationForest(FEATS, n_trees=20, seed=3).fit(df)
+    monkeypatch.setattr(I, "_has_ckpt", lambda _df: False)   # persist instead of checkpoint
+    b = IsolationForest(FEATS, n_trees=20, seed=3).fit(df)
+    assert a.nodes.equals(b.nodes) and a.offset == b.offset
