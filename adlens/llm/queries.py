@@ -5,10 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import langid, licenses, quality
+from .ann import nearest
 from .common import table
+from .decontaminate import contamination
+from .packing import pack
+from .simhash import simhash_groups
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .token_records import token_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +26,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -43,6 +55,117 @@ FROM d JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+ORACLES["op3_decontamination"] = r"""
+WITH low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+it AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i + 1 : i + least(10, len(w))], ' ') AS k
+      FROM it, unnest(range(0, len(w) - least(10, len(w)) + 1)) AS u(i) WHERE len(w) > 0),
+size AS (SELECT DISTINCT n FROM g),
+win AS (SELECT doc_id, i, n, array_to_string(w[i + 1 : i + n], ' ') AS k FROM low, size, unnest(range(0, len(w) - n + 1)) AS u(i) WHERE len(w) >= n),
+hit AS (SELECT win.doc_id, win.i, win.n, g.item FROM win JOIN g USING (n, k)),
+cov AS (SELECT doc_id, count(DISTINCT i + j) AS c FROM hit, unnest(range(0, n)) AS v(j) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS c, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT low.doc_id, CAST(len(low.w) AS BIGINT) AS n_words, CAST(coalesce(cov.c, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.c, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items.s, '')) AS items_sha256, coalesce(cov.c, 0) > 0 AS contaminated
+FROM low LEFT JOIN cov USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def fold(n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(fold(4) != 2))
+    return langid.predict(docs, model, more={"held_out": fold(4) == 2}).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
+@query
+def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_records(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score_documents(docs, table(spark, sf_dir, "labels"), fold(5) != 0, fold(5) == 1)
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), with_ids=False)
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source / thousands / hundreds / file. A text that opens with a licence line is
+    its directory's licence file."""
+    docs = table(spark, sf_dir, "documents")
+    opens = F.coalesce(F.col("text").rlike(r"(?i)^[^\n]*licen[cs]ed? "), F.lit(False))
+    path = F.concat_ws("/", "source", F.expr("cast(doc_id div 1000 as string)"), F.expr("cast(doc_id div 100 as string)"),
+                       F.concat(F.when(opens, "LICENSE-").otherwise("file-"), F.col("doc_id").cast("string")))
+    return licenses.scan_licenses(docs.withColumn("path", path), F.col("path").contains("/LICENSE-"))
+
+
+_NOTICES = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(licenses.TEMPLATES))
+ORACLES["op9_license_scan"] = r"""
+WITH t AS (SELECT * FROM (VALUES """ + _NOTICES + r""") AS v(t, name, text)),
+tt AS (SELECT t, name, w AS term, count(*) AS n FROM (SELECT t, name, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM t) GROUP BY ALL),
+f AS (SELECT doc_id, text, concat_ws('/', source, CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 100 AS VARCHAR),
+             CASE WHEN coalesce(regexp_matches(text, '(?i)^[^
+]*licen[cs]ed? '), false) THEN 'LICENSE-' ELSE 'file-' END || doc_id) AS path FROM documents),
+ln AS (SELECT doc_id, l, x FROM (SELECT doc_id, generate_subscripts(ls, 1) AS l, unnest(ls) AS x FROM
+       (SELECT doc_id, regexp_split_to_array(text, '
+?
+') AS ls FROM f))
+       WHERE regexp_matches(x, '(?i)licen[cs]|copyright|spdx|permission is hereby|redistribut|public domain')),
+c AS (SELECT doc_id, l, w AS term, count(*) AS n FROM (SELECT doc_id, l, unnest(regexp_extract_all(lower(x), '[a-z0-9]+')) AS w FROM ln) GROUP BY ALL),
+nf AS (SELECT count(DISTINCT doc_id) AS n_files FROM c),
+idf AS (SELECT term, ln((1.0 + n_files) / (1.0 + coalesce(df, 0))) + 1 AS idf, known FROM
+        (SELECT term, bool_or(known) AS known FROM (SELECT DISTINCT term, true AS known FROM tt UNION ALL SELECT DISTINCT term, false FROM c) GROUP BY term)
+        LEFT JOIN (SELECT term, count(DISTINCT doc_id) AS df FROM c WHERE term IN (SELECT term FROM tt) GROUP BY term) USING (term), nf),
+tw AS (SELECT t, name, term, n * idf AS w FROM tt JOIN idf USING (term)),
+tn AS (SELECT t, sqrt(sum(w * w)) AS t_norm FROM tw GROUP BY t),
+cw AS (SELECT doc_id, l, term, n * idf AS w FROM c JOIN idf USING (term)),
+cn AS (SELECT doc_id, l, sqrt(sum(w * w)) AS norm FROM cw GROUP BY ALL),
+dot AS (SELECT doc_id, l, t, name, sum(cw.w * tw.w / t_norm) AS dot FROM cw JOIN tw USING (term) JOIN tn USING (t) GROUP BY ALL),
+best AS (SELECT doc_id, name AS own_license, score AS own_score FROM
+         (SELECT doc_id, name, round(dot / norm, 6) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY round(dot / norm, 6) DESC, name) AS r
+          FROM dot JOIN cn USING (doc_id, l)) WHERE r = 1 AND score >= 0.6),
+a AS (SELECT f.doc_id, path, own_license, own_score FROM f LEFT JOIN best USING (doc_id)),
+dir AS (SELECT d, own_license AS dl FROM (SELECT regexp_replace(path, '/[^/]*$', '') AS d, own_license,
+        row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY own_score DESC, own_license) AS r
+        FROM a WHERE path LIKE '%/LICENSE-%' AND own_license IS NOT NULL) WHERE r = 1),
+up AS (SELECT doc_id, n, array_to_string(string_split(path, '/')[1 : n], '/') AS d FROM a, unnest(range(0, len(string_split(path, '/')))) AS u(n) WHERE own_license IS NULL),
+near AS (SELECT doc_id, d, dl FROM (SELECT doc_id, up.d, dl, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) AS r FROM up JOIN dir USING (d)) WHERE r = 1)
+SELECT a.doc_id, path, own_license, own_score, coalesce(own_license, dl) AS license, d AS inherited_from FROM a LEFT JOIN near USING (doc_id)
+"""
+
+
 @query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
