@@ -4,8 +4,9 @@ Method: a broadcast hash set of normalised test n-grams. Every window of every d
 in the set; a hit is verified word by word against the item's window. Then the covered words are cut out, or
 the documents go as a whole. DataFrame functions only: no Python runs on the executors.
 
-The set is broadcast only if its measured size is below ``broadcast_bytes``; beyond that the windows of both
-sides meet in a shuffled join instead, with the same result.
+The set goes to every task as part of the plan, and the windows' words as a broadcast table, only if they hold at
+most ``set_windows`` windows and ``broadcast_bytes`` bytes; beyond that the hashes of both sides meet in a shuffled
+join instead and hits are verified in a second one, with the same result.
 
 Defined cases: null, empty and word-free texts have no words and no hit; a null or word-free item has no window;
 items that repeat an id are one item; items with equal windows are all counted; a repeated document row is
@@ -36,40 +37,53 @@ def windows(items: DataFrame, item_col: str, text_col: str, window: int) -> Data
     return w.select("item", n.alias("len"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n))).alias("grams"))
 
 
-def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int, broadcast_bytes: int) -> tuple[DataFrame, DataFrame, bool]:
-    """(found, grams, small): ``found`` has for each document a row with pos -1 and n_words, and a row for each hit window."""
+def candidates(size: int, known: list[int], at: str) -> Column:
+    """Positions (pos, len, g) of windows of ``size`` words whose hash is one of ``known``; ``at``: the word hashes."""
+    key = f"xxhash64(slice({at}, i + 1, {size}))"
+    places = f"filter(sequence(0, size({at}) - {size}), i -> {key} in ({', '.join(map(str, known))}))"
+    return F.expr(f"transform(if(size({at}) >= {size}, {places}, array()), i -> struct(int(i) as pos, {size} as len, {key} as g))")
+
+
+def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int, set_windows: int, broadcast_bytes: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(found, grams, small): ``found`` has for each document a row with n_words, and a row (pos, len, g, g2) for each hit window."""
+    word_hash = lambda w: F.transform(w, lambda x: F.xxhash64(x))
     grams = materialize(
         windows(items, item_col, item_text, window).groupBy("grams", "len").agg(F.collect_set("item").alias("items"))
-        .withColumn("g", F.xxhash64("grams")), "grams")
-    size = grams.agg(F.sum(F.length(F.array_join("grams", " ")) + 8 * F.size("grams") + F.length(F.array_join("items", " ")) + 64)).first()[0] or 0
+        .withColumn("g", F.xxhash64(word_hash("grams"))), "grams")
+    n, size = grams.agg(F.count(F.lit(1)), F.sum(F.length(F.array_join("grams", " ")) + 8 * F.size("grams") + F.length(F.array_join("items", " ")) + 64)).first()
+    small = n <= set_windows and (size or 0) <= broadcast_bytes
     lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())  # at most ``window`` values
     own = docs.select(id_key(F.col(id_col), F.col(text_col)).alias("did"), text_key(F.col(text_col)).alias("h"), words(F.col(text_col)).alias("w"))
-    marker = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("g")))
-    each = [
-        F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.struct(
-            (i - 1).alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.slice("w", i, n)).alias("g"))))
-        .otherwise(F.array().cast("array<struct<pos:int,len:int,g:bigint>>")) for n in lengths]
-    hashed = own.select("did", "h", "w", F.concat(marker, *each).alias("x"))
-    known = grams.select("g", F.col("len").alias("g_len"), "grams")
-    if size <= broadcast_bytes:
-        flat = hashed.select("did", "h", "w", F.inline("x"))
-        at = flat.join(F.broadcast(known), (flat["g"] == known["g"]) & (flat["len"] == known["g_len"]) & (F.slice("w", F.greatest(F.col("pos") + 1, F.lit(1)), F.col("len")) == known["grams"]), "left")
-        found = at.filter((F.col("pos") < 0) | F.col("grams").isNotNull()).select("did", "h", F.size("w").alias("n_words"), "pos", flat["len"], known["g"], "grams")
-        # equal hashes of different windows are settled by the words, so (g, len, grams) names the window
-        return materialize(found.select("did", "h", F.when(F.col("pos") < 0, F.col("n_words")).alias("n_words"), "pos", "len", "g", F.xxhash64(F.lit(7), "grams").alias("g2")), "hits"), grams, True
-    flat = hashed.select("did", "h", F.size("w").alias("n_words"), "w", F.inline("x"))
-    flat = flat.select("did", "h", F.when(F.col("pos") < 0, F.col("n_words")).alias("n_words"), "pos", "len", "g", F.slice("w", F.greatest(F.col("pos") + 1, F.lit(1)), F.col("len")).alias("own"))
-    inner = flat.filter("pos >= 0").join(known, "g").filter("len = g_len and own = grams")
-    found = inner.select("did", "h", "n_words", "pos", "len", "g", F.xxhash64(F.lit(7), "grams").alias("g2")).unionByName(
-        flat.filter("pos < 0").select("did", "h", "n_words", "pos", "len", "g", F.lit(None).cast("long").alias("g2")))
-    return materialize(found, "hits"), grams, False
+    hashed = own.select("did", "h", "w", word_hash("w").alias("wh"))
+    known = grams.select(F.col("g").alias("of"), F.col("len").alias("of_len"), "grams", F.xxhash64(F.lit(7), "grams").alias("g2"))
+    own_words = F.slice("w", F.col("pos") + 1, F.col("len"))
+    nothing = F.array().cast("array<struct<pos:int,len:int,g:bigint>>")
+    if small:
+        by_len = {k: [r["g"] for r in grams.filter(F.col("len") == k).select("g").distinct().collect()] for k in lengths}
+        at = hashed.select("did", "h", "w", F.concat(nothing, *[candidates(k, g, "wh") for k, g in by_len.items()]).alias("x"))
+        one = at.select("did", "h", F.size("w").alias("n_words"), "x", F.when(F.size("x") > 0, F.col("w")).alias("w"))
+        one = materialize(one, "looked_up")
+        test = one.filter("size(x) > 0").select("did", "h", "w", F.inline("x"))
+        sure = test.join(F.broadcast(known), (F.col("g") == F.col("of")) & (F.col("len") == F.col("of_len")) & (own_words == F.col("grams")))
+        counts = one.select("did", "h", "n_words")
+    else:
+        each = [F.expr(f"transform(if(size(wh) >= {k}, sequence(0, size(wh) - {k}), array()), i -> struct(int(i) as pos, {k} as len, xxhash64(slice(wh, i + 1, {k})) as g))") for k in lengths]
+        every = hashed.select("did", "h", F.concat(nothing, *each).alias("x")).select("did", "h", F.inline("x"))
+        maybe = materialize(every.join(known.select("of").distinct(), F.col("g") == F.col("of"), "left_semi"), "maybe")
+        test = maybe.groupBy("did", "h").agg(F.collect_set(F.struct("pos", "len", "g")).alias("x"))
+        test = own.join(test, ["did", "h"]).select("did", "h", "w", F.inline("x"))
+        sure = test.join(known, F.col("g") == F.col("of")).filter((F.col("len") == F.col("of_len")) & (own_words == F.col("grams")))
+        counts = own.select("did", "h", F.size("w").alias("n_words"))
+    sure = sure.select("did", "h", F.lit(None).cast("int").alias("n_words"), "pos", "len", "g", "g2")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("pos", "int"), ("len", "int"), ("g", "long"), ("g2", "long"))]
+    return materialize(sure.unionByName(counts.select("did", "h", "n_words", *none)), "hits"), grams, small
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                  item_text: str = "text", window: int = WINDOW, broadcast_bytes: int = 64 << 20) -> DataFrame:
+                  item_text: str = "text", window: int = WINDOW, set_windows: int = 50_000, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the hit word spans."""
-    found, grams, small = hits(docs, items, id_col, text_col, item_col, item_text, window, broadcast_bytes)
-    hit = found.filter("pos >= 0").distinct()
+    found, grams, small = hits(docs, items, id_col, text_col, item_col, item_text, window, set_windows, broadcast_bytes)
+    hit = found.filter("pos is not null").select("did", "h", "pos", "len", "g", "g2").distinct()
     named = grams.select("g", F.xxhash64(F.lit(7), "grams").alias("g2"), F.explode("items").alias("item"))
     named = F.broadcast(named) if small else named
     which = (hit.select("did", "h", "g", "g2").distinct().join(named, ["g", "g2"]).groupBy("did", "h")
@@ -80,7 +94,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         "p", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
         lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["pos"], s["to"]))).alias("n"), F.greatest(s["to"], x["end"]).alias("to")))
     marks = places.join(which, ["did", "h"]).select("did", "h", "items", F.col("p").alias("spans"), covered["n"].alias("n_hit"))
-    sizes = found.filter("pos < 0").groupBy("did", "h").agg(F.max("n_words").alias("n_words"))
+    sizes = found.filter("pos is null").groupBy("did", "h").agg(F.max("n_words").alias("n_words"))
     facts = materialize(sizes.join(marks, ["did", "h"], "left"), "facts")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), id_key(F.col(id_col), F.col(text_col)).alias("did"), text_key(F.col(text_col)).alias("h"))
     none = F.array().cast("array<string>")

@@ -180,3 +180,10 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
     fields = "".join(f", `{n}` {t}" for n, t in own.select(*extra).dtypes) if extra else ""
     return own.mapInArrow(run, f"doc_id long, lang_pred string, score double, accepted boolean{fields}")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language the model accepts, all columns as they were."""
+    inner = {f"c{i}": F.col(c) for i, c in enumerate(docs.columns)}  # whatever the columns are called
+    kept = predict(docs, model, id_col, text_col, inner).filter("accepted")
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import arrow_rows, buffers
 from .repeats import keyed, merge, repeated_spans
@@ -77,3 +78,30 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = keyed(docs, id_col, text_col, docs[id_col].cast("long").alias("doc_id"))
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
     return own.join(spans, ["did", "h"], "left").select("doc_id", "body", "spans").mapInArrow(_cut(with_text), ddl)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """``docs`` with repeated words cut out of their texts, all other columns as they were.
+
+    Texts that lose nothing stay as they are, white space included; of the others the kept words remain, joined by
+    one space, which may be none.
+    """
+    names = docs.columns
+    inner = {c: f"c{i}" for i, c in enumerate(names)}  # whatever the columns are called
+    spans = repeated_words(docs, id_col, text_col, window)
+    own = keyed(docs, id_col, text_col, *[docs[c].alias(inner[c]) for c in names if c != text_col])
+    rest = [inner[c] for c in names if c != text_col]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = buffers(batch.column("body"))
+            texts = []
+            for row, spans in enumerate(batch.column("spans").to_pylist()):
+                text = raw[offsets[row] : offsets[row + 1]].tobytes()
+                texts.append((b" ".join(kept_words(text.split(), merge(spans))) if spans else text).decode())
+            got = pa.array([t if ok else None for t, ok in zip(texts, batch.column("body").is_valid().to_pylist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([got, *[batch.column(c) for c in rest]], names=["t", *rest])
+
+    joined = own.join(spans, ["did", "h"], "left").select("body", "spans", *rest)
+    ddl = ", ".join(["t string", *[f"{inner[c]} {t}" for c, t in docs.dtypes if c != text_col]])
+    return joined.mapInArrow(cut, ddl).select(*[F.col("t" if c == text_col else inner[c]).alias(c) for c in names])
