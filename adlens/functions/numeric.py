@@ -87,11 +87,17 @@ def fmt_plain(x, d: int) -> Column:
     return F.regexp_replace(F.format_number(_c(x).cast("double"), d), ",", "")
 
 
+def raw_sum(x) -> Column:
+    """Sum of a money column as it is; the operators' default."""
+    return F.sum(_c(x).cast("double"))
+
+
 def money_sum(x) -> Column:
-    """Sum of a money column, rounded to 4 places.
+    """Sum of a money column, rounded to 4 places; for the registered queries only.
 
-    Inputs are prices with 2 decimals times rates with 2 decimals, so the true
-    sum lies on a 1e-4 grid; rounding removes the order-dependent last bits of a
-    distributed double sum and makes the result the same in every engine.
+    The driver tables' prices have 2 decimals and their rates 2, so the true sum
+    lies on a 1e-4 grid; rounding removes the order-dependent last bits of a
+    distributed double sum and makes the result the same in every engine. Other
+    data has no such grid, so operators take ``money`` as a parameter.
     """
     return roundn(F.sum(_c(x).cast("double")), 4)

@@ -91,11 +91,11 @@ def scale_exprs(stats_row: dict, feature_cols: list[str]) -> dict:
 def feature_scaled(df: DataFrame, feature_cols: list[str], keep: list[str] | None = None) -> DataFrame:
     """Cleaned features standardised with the population std (stats: one small row)."""
     z = scale_exprs(clean_stats(df, feature_cols), feature_cols)
-    return df.select(*(keep or []), *[roundn(z[c], 6).alias(c) for c in feature_cols])
+    return df.select(*(keep or []), *[z[c].alias(c) for c in feature_cols])
 
 
-def zsum_score(df: DataFrame, feature_cols: list[str]) -> DataFrame:
-    """Deterministic unusualness score: -(sum of squared z of the cleaned features), 6 places.
+def zsum_score(df: DataFrame, feature_cols: list[str], places: int | None = None) -> DataFrame:
+    """Deterministic unusualness score: -(sum of squared z of the cleaned features), rounded to ``places`` if given.
 
     Lower = more unusual, like the forest's score; used where an oracle must
     reproduce the flag exactly. All input columns are kept.
@@ -108,7 +108,7 @@ def zsum_score(df: DataFrame, feature_cols: list[str]) -> DataFrame:
     for c in feature_cols:
         sq = F.pow(z[c], F.lit(2.0))  # fdlibm pow returns x*x exactly for y = 2
         total = sq if total is None else total + sq
-    return df.withColumn("score", roundn(-total, 6))
+    return df.withColumn("score", -total if places is None else roundn(-total, places))
 
 
 def contamination_threshold(scored: DataFrame, contamination: float = 0.1, score_col: str = "score",
@@ -129,7 +129,7 @@ def flag_by_contamination(scored: DataFrame, contamination: float = 0.1, score_c
     t = contamination_threshold(scored, contamination, score_col, exact)
     thr = F.lit(t).cast("double") if t is not None else F.lit(None).cast("double")
     return scored.withColumns({
-        "threshold": roundn(thr, 6),
+        "threshold": thr,
         "is_anomaly": F.coalesce(F.col(score_col) < thr, F.lit(False)),
     })
 

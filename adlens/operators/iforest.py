@@ -2,15 +2,11 @@
 
 fit:
   * features are cleaned (null/NaN/inf -> 0) and optionally standardised;
-  * sampling does not depend on partitioning: rows are ranked by
-    ``xxhash64(seed, features)``; when n > trees * psi the first trees * psi rows
-    (found among the rows below a hash cut, never by a global top-k merged in
-    one task) are dealt round-robin to the trees, else every tree takes
-    the psi rows of smallest ``xxhash64(seed, tree, features)`` (n * trees rows,
-    bounded because n <= trees * psi). Rows with equal hash have equal features,
-    so ties cannot change a tree;
-  * ``groupBy("tree").applyInPandas`` grows one tree per group (<= psi rows);
-    the generator of a tree is seeded by (seed, tree) after sorting its rows;
+  * a pool of trees * psi rows (all rows, if fewer) is drawn uniformly, row by
+    row, and every tree draws psi rows of the pool without replacement: one
+    scheme for every table size;
+  * ``groupBy("tree").applyInPandas`` grows one tree per group; the generator
+    of a tree is seeded by (seed, tree);
   * the model is the node table (<= trees * (2 psi - 1) rows, fixed by the
     parameters, not by the data) and the offset: the ``contamination`` quantile
     of the training scores, found with the distributed exact quantile.
@@ -30,11 +26,12 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlens.functions.numeric import finite_or_zero
 from adlens.operators.quantile import approx_quantile, exact_quantile
+from adlens.session import ensure_checkpoint_dir
 
 EULER_GAMMA = 0.5772156649015329
 NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, size long, depth int"
@@ -80,13 +77,11 @@ def _grow(X: np.ndarray, rng: np.random.Generator, max_depth: int):
     return feat, split, left, right, size, depth
 
 
-def _tree_builder(n_features: int, max_depth: int, seed: int):
+def _tree_builder(pool, psi: int, max_depth: int, seed: int):
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        cols = [f"f{i}" for i in range(n_features)]
-        pdf = pdf.sort_values(["h", *cols], kind="mergesort")
-        X = pdf[cols].to_numpy(dtype=float)
         rng = np.random.default_rng([seed, tree])
+        X = pool.value[np.sort(rng.choice(len(pool.value), psi, replace=False))]
         feat, split, left, right, size, depth = _grow(X, rng, max_depth)
         n = len(feat)
         return pd.DataFrame({
@@ -98,17 +93,6 @@ def _tree_builder(n_features: int, max_depth: int, seed: int):
     return build
 
 
-def _hash_cut(frac: float) -> int | None:
-    """int64 threshold below which a uniform 64-bit hash falls with probability ``frac`` (None = keep all)."""
-    if frac >= 1.0:
-        return None
-    return int(-(2**63) + frac * 2**64)
-
-
-def _has_ckpt(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext.getCheckpointDir() is not None
-
-
 class IsolationForest:
     """Estimator: ``IsolationForest(feature_cols, n_trees=100).fit(df) -> IsolationForestModel``."""
 
@@ -134,60 +118,44 @@ class IsolationForest:
             cols.append(x.alias(f"f{i}"))
         return df.select(*cols)
 
+    def _pool(self, X: DataFrame) -> np.ndarray:
+        """trees * psi rows of ``X`` (all, if fewer), each row as likely as any other: those of least random number.
+
+        Only rows below a cut that about twice as many pass are kept and ordered, so that no task merges a top-k
+        of the whole table. The number belongs to the row, not to its values: of equal rows as many are drawn as
+        of any others. It follows the table's partitions, so the candidates are written before they are counted.
+        """
+        cap = self.n_trees * self.max_samples
+        n = X.count()
+        share = min(1.0, 2.0 * cap / max(n, 1))
+        ensure_checkpoint_dir(X.sparkSession)
+        while True:
+            some = X.withColumn("u", F.rand(self.seed)).where(F.col("u") < F.lit(share)).checkpoint(eager=True)
+            if share >= 1.0 or some.count() >= cap:
+                break
+            share = min(1.0, share * 2)
+        cols = [f"f{i}" for i in range(len(self.feature_cols))]
+        got = some.orderBy("u", *cols).limit(cap).select(*cols).toPandas()  # bounded by the parameters
+        return got.to_numpy(dtype=float)
+
     def fit(self, df: DataFrame) -> IsolationForestModel:
-        k = len(self.feature_cols)
         stats = None
         if self.scale:
             aggs = []
             for i, c in enumerate(self.feature_cols):
                 aggs += [F.avg(finite_or_zero(c)).alias(f"m{i}"), F.stddev_pop(finite_or_zero(c)).alias(f"s{i}")]
             stats = df.agg(*aggs).first().asDict()
-        X = self._prepared(df, stats)
-        fcols = [F.col(f"f{i}") for i in range(k)]
-        T = self.n_trees
-        cap = T * self.max_samples
-        order = ["h", *[f"f{i}" for i in range(k)]]
-        # the cap rows of smallest (hash, features). A plain orderBy().limit(cap) would send
-        # cap rows from every input split to one merge task; instead the hash (uniform over
-        # int64) is first cut at a threshold expected to keep ~2*cap rows -- a distributed
-        # filter -- and only those candidates are ordered. Same rows as a global sort.
-        h = F.xxhash64(F.lit(self.seed), *fcols)
-        n = X.count()
-        if n <= cap:
-            cand = X.withColumn("h", h)
-        else:
-            frac = min(1.0, 2.0 * cap / n)
-            while True:
-                tau = _hash_cut(frac)
-                cand = X.withColumn("h", h).where(F.col("h") < F.lit(tau)) if tau is not None else X.withColumn("h", h)
-                cand = cand.checkpoint(eager=True) if _has_ckpt(df) else cand.persist(StorageLevel.MEMORY_AND_DISK)
-                if tau is None or cand.count() >= cap + 1:
-                    break
-                cand.unpersist()
-                frac = min(1.0, frac * 2)
-        top = cand.orderBy(*order).limit(cap + 1)  # candidates only: about 2*cap rows in all
-        top = top.checkpoint(eager=True) if _has_ckpt(df) else top.persist(StorageLevel.MEMORY_AND_DISK)
-        n_top = top.count()
-        if n_top == 0:
+        pool = self._pool(self._prepared(df, stats))
+        if not len(pool):
             raise ValueError("cannot fit an isolation forest on an empty table")
-        if n_top > cap:
-            psi = self.max_samples
-            w = Window.orderBy(*order)  # over cap + 1 rows only
-            sample = (top.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= cap)
-                      .withColumn("tree", ((F.col("rk") - 1) % T).cast("int")).drop("rk"))
-        else:
-            # n <= trees * psi: every tree draws psi rows from the n (n * trees rows, bounded)
-            n = n_top
-            psi = min(self.max_samples, n)
-            rep = top.drop("h").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(T - 1))))
-            rep = rep.withColumn("h", F.xxhash64(F.lit(self.seed), F.col("tree"), *fcols))
-            w = Window.partitionBy("tree").orderBy(*order)
-            sample = rep.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= psi).drop("rk")
+        psi = min(self.max_samples, len(pool))
         max_depth = int(math.ceil(math.log2(max(psi, 2))))
-        nodes = sample.groupBy("tree").applyInPandas(_tree_builder(k, max_depth, self.seed), NODE_SCHEMA)
+        spark = df.sparkSession
+        held = spark.sparkContext.broadcast(pool)  # trees * psi rows at most
+        trees = spark.range(self.n_trees).select(F.col("id").cast("int").alias("tree"))
+        nodes = trees.groupBy("tree").applyInPandas(_tree_builder(held, psi, max_depth, self.seed), NODE_SCHEMA)
         node_pdf = nodes.toPandas()  # bounded: trees * (2 psi - 1) rows at most
-        top.unpersist()
-        cand.unpersist()
+        held.destroy()
         model = IsolationForestModel(self.feature_cols, node_pdf, psi, stats, offset=None,
                                      contamination=self.contamination)
         if self.fit_offset:

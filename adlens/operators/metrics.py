@@ -6,8 +6,7 @@ Two zero modes:
   each metric is added only if its inputs exist (conditional projection).
 * ``guarded`` -- the lean pipeline's CTR and ROI: if the table total of the
   denominator is not positive the metric is 0.0 everywhere, else NaN becomes
-  0 (inf and null stay). The totals are scalar subqueries (one partial
-  aggregate per task, one row out).
+  0 (inf and null stay). Both totals are one scalar subquery (one row).
 
 All metrics are added in one ``withColumns`` projection.
 """
@@ -48,8 +47,8 @@ def row_metrics(df: DataFrame, zero_mode: str = "ieee") -> DataFrame:
 
 def guarded_metrics(df: DataFrame) -> DataFrame:
     """Lean CTR/ROI with a table-level guard (see module doc)."""
-    tot_impr = df.select(F.sum("impressions")).scalar()
-    tot_spend = df.select(F.sum("spend")).scalar()
+    tot = df.select(F.struct(F.sum("impressions").alias("i"), F.sum("spend").alias("s"))).scalar()
+    tot_impr, tot_spend = tot["i"], tot["s"]
     nan0 = lambda c: F.nanvl(c, F.lit(0.0))
     ctr = fdiv("clicks", "impressions") * 100
     roi = fdiv(F.col("revenue") - F.col("spend"), "spend") * 100

@@ -6,8 +6,7 @@ rank is found by narrowing a value bracket with histogram passes: each pass is
 a scan with a ``groupBy(bucket)`` of at most ``buckets`` groups (partial
 aggregation, so the shuffle carries ``buckets`` rows per task), the driver reads
 that small histogram and keeps the one bucket holding the wanted rank. The
-bracket ends at a single value, or at few enough rows (``final_rows``) to read
-them directly. Interpolation follows the usual continuous definition
+bracket ends at a single value. Interpolation follows the usual continuous definition
 (``quantile_cont``): position (n-1)*q, linear between the two neighbours.
 
 Callers should persist the input column first; each pass rescans it.
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _kth(df: DataFrame, col: str, k: int, lo: float, hi: float, below: int, buckets: int, final_rows: int) -> float:
+def _kth(df: DataFrame, col: str, k: int, lo: float, hi: float, below: int, buckets: int) -> float:
     x = F.col(col)
     while True:
         if lo == hi:
@@ -40,25 +39,18 @@ def _kth(df: DataFrame, col: str, k: int, lo: float, hi: float, below: int, buck
         for row in hist:
             if below + row["n"] > k:
                 lo, hi = float(row["lo"]), float(row["hi"])
-                if row["n"] <= final_rows and lo != hi:
-                    vals = sorted(
-                        r[0] for r in df.where((x >= F.lit(lo)) & (x <= F.lit(hi))).select(x).collect()
-                    )
-                    return float(vals[k - below])
                 break
             below += row["n"]
         else:  # pragma: no cover - k out of range
             raise ValueError("rank outside the column")
 
 
-def exact_quantile(df: DataFrame, col: str, q: float, buckets: int = 4096, final_rows: int = 50_000,
-                   rows_per_task: int = 20_000_000) -> float | None:
+def exact_quantile(df: DataFrame, col: str, q: float, buckets: int = 1024) -> float | None:
     """Continuous quantile ``q`` of the non-null, non-NaN values of ``col``.
 
-    Each histogram pass emits at most ``buckets`` partial rows per task, so the
-    column is first coalesced (narrow, no shuffle) to about ``rows_per_task``
-    values per task: on a huge table that bounds each pass's shuffle by
-    ``buckets * n / rows_per_task`` rows instead of ``buckets`` per input split.
+    Each pass reads the column in its own partitions and emits at most ``buckets``
+    partial rows per task; a pass narrows the bracket ``buckets``-fold until it
+    holds one value, so a handful of passes does for any number of rows.
     """
     x = F.col(col).cast("double")
     vals = df.select(x.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
@@ -66,14 +58,11 @@ def exact_quantile(df: DataFrame, col: str, q: float, buckets: int = 4096, final
     n = st["n"]
     if n == 0:
         return None
-    want = max(1, math.ceil(n / rows_per_task))
-    if vals.rdd.getNumPartitions() > want:
-        vals = vals.coalesce(want)
     rn = (n - 1) * q
     f = math.floor(rn)
     c = math.ceil(rn)
     lo, hi = float(st["lo"]), float(st["hi"])
-    vf = _kth(vals, "v", f, lo, hi, 0, buckets, final_rows)
+    vf = _kth(vals, "v", f, lo, hi, 0, buckets)
     if c == f:
         return vf
     # the next rank: same value if enough ties, else the next larger value

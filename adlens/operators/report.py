@@ -8,15 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adlens.functions.numeric import fmt_num, fmt_plain, safe_ratio
+from adlens.functions.numeric import fmt_num, fmt_plain, raw_sum, safe_ratio
 from adlens.functions.text import (
     KPI_CARDS,
     LEAN_PAD_RECOMMENDATIONS,
     STATUS_ATTENTION,
     STATUS_NORMAL,
 )
-from adlens.operators.rollups import campaign_rollup, kpi_totals, platform_rollup
-from adlens.operators.series import daily_roi
+from adlens.operators.rollups import aggregate_by_date, campaign_rollup, kpi_totals, platform_rollup
 
 # Whitespace as Python's str.strip() sees it in practice (ASCII set), written the
 # same in Java and RE2 regular expressions.
@@ -49,9 +48,9 @@ def kpi_cards(kpis: DataFrame) -> DataFrame:
     return kpis.select(F.explode(F.array(*cards)).alias("c")).select("c.*")
 
 
-def campaign_table(df: DataFrame, k: int = 8, name_len: int = 18) -> DataFrame:
+def campaign_table(df: DataFrame, k: int = 8, name_len: int = 18, money=raw_sum) -> DataFrame:
     """R2: first k campaigns by revenue as display text (the limit is the feature)."""
-    top = campaign_rollup(df).limit(k)
+    top = campaign_rollup(df, money).limit(k)
     roi = safe_ratio(F.col("revenue") - F.col("spend"), "spend", 100.0)
     return top.select(
         F.col("campaign_name"),
@@ -64,10 +63,10 @@ def campaign_table(df: DataFrame, k: int = 8, name_len: int = 18) -> DataFrame:
     )
 
 
-def summary_text(df: DataFrame, n_findings: DataFrame | None = None) -> DataFrame:
+def summary_text(df: DataFrame, n_findings: DataFrame | None = None, money=raw_sum) -> DataFrame:
     """The no-model summary sentence and the status line."""
     # one pass over the facts: totals, record count and campaign count together
-    out = kpi_totals(df, F.count(F.lit(1)).alias("records"), F.count_distinct("campaign_name").alias("campaigns"))
+    out = kpi_totals(df, F.count(F.lit(1)).alias("records"), F.count_distinct("campaign_name").alias("campaigns"), money=money)
     if n_findings is not None:
         out = out.crossJoin(n_findings.agg(F.count(F.lit(1)).alias("findings")))
     else:
@@ -83,27 +82,27 @@ def summary_text(df: DataFrame, n_findings: DataFrame | None = None) -> DataFram
     )
 
 
-def chart_series(df: DataFrame, top_k: int = 10) -> DataFrame:
+def chart_series(df: DataFrame, top_k: int = 10, money=raw_sum) -> DataFrame:
     """K3: long table (chart, series, x, y, ord) behind the dashboard, campaign and platform charts.
 
-    One per-day aggregate feeds all five daily series (unpivot, no rescan).
+    One per-day aggregate feeds all five daily series (unpivot); rows without a
+    date are one day of their own, first in order.
     """
-    d = daily_roi(df).join(
-        df.groupBy("date").agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks")), "date"
-    )
+    d = aggregate_by_date(df, metrics=["impressions", "clicks", "revenue", "spend"], money=money)
+    d = d.withColumn("roi", safe_ratio(F.col("revenue") - F.col("spend"), "spend", 100.0))
     w = Window.orderBy("date")
     daily = d.select(
         F.col("date").cast("string").alias("x"), F.row_number().over(w).alias("ord"),
         *[F.col(c).cast("double").alias(c) for c in ["impressions", "clicks", "revenue", "spend", "roi"]],
     ).unpivot(["x", "ord"], ["impressions", "clicks", "revenue", "spend", "roi"], "series", "y") \
         .withColumn("chart", F.lit("dashboard"))
-    camp = campaign_rollup(df).limit(top_k)
+    camp = campaign_rollup(df, money).limit(top_k)
     wc = Window.orderBy(F.desc("revenue"), "campaign_name")
     camp = camp.select(
         F.lit("campaign").alias("chart"), F.lit("revenue").alias("series"), F.col("campaign_name").alias("x"),
         F.col("revenue").cast("double").alias("y"), F.row_number().over(wc).alias("ord"),
     )
-    plat = platform_rollup(df)
+    plat = platform_rollup(df, money=money)
     wp = Window.orderBy(F.desc("revenue"), "platform")
     plat = plat.select(
         F.lit("platform").alias("chart"), F.lit("revenue").alias("series"), F.col("platform").alias("x"),

@@ -12,29 +12,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adlens.functions.numeric import fdiv, round2, roundn, safe_ratio, snap_round
+from adlens.functions.numeric import fdiv, raw_sum, safe_ratio
 from adlens.operators.rollups import _sum, aggregate_by_date
 
 
-def daily_roi(df: DataFrame, guarded: bool = True) -> DataFrame:
-    """Per-day revenue, spend and ROI (0 when spend <= 0 if guarded)."""
-    d = df.groupBy("date").agg(_sum("revenue").alias("revenue"), _sum("spend").alias("spend"))
+def daily_roi(df: DataFrame, guarded: bool = True, money=raw_sum) -> DataFrame:
+    """Per-day revenue, spend and ROI, not rounded; with spend <= 0 it is 0 (guarded) or as IEEE division has it."""
+    d = df.groupBy("date").agg(_sum("revenue", money).alias("revenue"), _sum("spend", money).alias("spend"))
     roi = (
         safe_ratio(F.col("revenue") - F.col("spend"), "spend", 100.0)
         if guarded else fdiv(F.col("revenue") - F.col("spend"), "spend") * 100
     )
-    return d.withColumn("roi", round2(roi)).orderBy("date")
+    return d.withColumn("roi", roi).orderBy("date")
 
 
-def daily_vs_avg(df: DataFrame) -> DataFrame:
-    """Daily ROI beside its mean over all days (a scalar subquery over the daily rows)."""
-    d = daily_roi(df)
-    avg = d.select(snap_round(F.avg("roi"), 6)).scalar()
-    return d.withColumn("avg_roi", avg).withColumn("above_avg", F.col("roi") > F.col("avg_roi"))
+def daily_vs_avg(df: DataFrame, metric: str = "roi", money=raw_sum) -> DataFrame:
+    """A daily series beside its mean over all days: ROI, or the daily sum of any metric.
+
+    The mean is a window over the daily rows (one for each calendar day), so the facts are read once.
+    """
+    d = daily_roi(df, money=money) if metric == "roi" else df.groupBy("date").agg(_sum(metric, money).alias(metric))
+    avg = f"avg_{metric}"
+    return d.withColumn(avg, F.avg(metric).over(Window.partitionBy())).withColumn("above_avg", F.col(metric) > F.col(avg))
 
 
 def _pct_change(x, prev):
-    return roundn(fdiv(x - prev, prev) * 100, 4)
+    return fdiv(x - prev, prev) * 100
 
 
 def _sign_class(change):
@@ -42,9 +45,9 @@ def _sign_class(change):
     return F.when(c >= 0, F.lit("good")).otherwise(F.lit("bad"))
 
 
-def day_over_day(df: DataFrame, metric: str = "revenue", periods: int = 1) -> DataFrame:
+def day_over_day(df: DataFrame, metric: str = "revenue", periods: int = 1, money=raw_sum) -> DataFrame:
     """Percent change against the row ``periods`` days earlier in the daily series."""
-    d = df.groupBy("date").agg(_sum(metric).alias(metric))
+    d = df.groupBy("date").agg(_sum(metric, money).alias(metric))
     w = Window.orderBy("date")
     prev = F.lag(metric, periods).over(w)
     return d.withColumn("prev", prev).select(
@@ -53,9 +56,9 @@ def day_over_day(df: DataFrame, metric: str = "revenue", periods: int = 1) -> Da
     ).withColumn("sign", _sign_class(F.col("change_pct")))
 
 
-def campaign_day_over_day(df: DataFrame, metric: str = "revenue", periods: int = 1) -> DataFrame:
+def campaign_day_over_day(df: DataFrame, metric: str = "revenue", periods: int = 1, money=raw_sum) -> DataFrame:
     """T3 per campaign: windows partitioned by campaign over its daily rows."""
-    d = df.groupBy("campaign_name", "date").agg(_sum(metric).alias(metric))
+    d = df.groupBy("campaign_name", "date").agg(_sum(metric, money).alias(metric))
     w = Window.partitionBy("campaign_name").orderBy("date")
     return d.withColumn("prev", F.lag(metric, periods).over(w)).select(
         "campaign_name", "date", metric,

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from adlens.functions.numeric import money_sum, round2, roundn, snap_round
 from adlens.operators import metrics as M
 from adlens.operators import rollups as A
 from adlens.operators import series as T
@@ -75,7 +76,7 @@ def q_row_metrics_guarded(spark, d):
     f"coalesce({S.isum('conversions')}, 0) AS conversions, coalesce({S.money_sum('revenue')}, 0.0) AS revenue, "
     f"coalesce({S.money_sum('spend')}, 0.0) AS spend FROM ad_facts) t"))
 def q_kpi_totals(spark, d):
-    return A.kpi_totals(ad_facts(spark, d))
+    return A.kpi_totals(ad_facts(spark, d), money=money_sum)
 
 
 _SUMS5 = (f"{S.isum('impressions')} AS impressions, {S.isum('clicks')} AS clicks, "
@@ -85,13 +86,13 @@ _SUMS5 = (f"{S.isum('impressions')} AS impressions, {S.isum('clicks')} AS clicks
 
 @register("daily_metrics", facts_sql(f"SELECT date, {_SUMS5} FROM ad_facts GROUP BY date"))
 def q_daily_metrics(spark, d):
-    return A.aggregate_by_date(ad_facts(spark, d))
+    return A.aggregate_by_date(ad_facts(spark, d), money=money_sum)
 
 
 @register("campaign_by_id", facts_sql(
     f"SELECT campaign_id, campaign_name, {_SUMS5} FROM ad_facts GROUP BY campaign_id, campaign_name"))
 def q_campaign_by_id(spark, d):
-    return A.aggregate_by_campaign(ad_facts(spark, d))
+    return A.aggregate_by_campaign(ad_facts(spark, d), money=money_sum)
 
 
 @register("campaign_summary", facts_sql(
@@ -103,7 +104,7 @@ def q_campaign_by_id(spark, d):
     f"coalesce({S.money_sum('spend')}, 0.0) AS spend, coalesce({S.money_sum('revenue')}, 0.0) AS revenue "
     "FROM ad_facts GROUP BY campaign_name) g"))
 def q_campaign_summary(spark, d):
-    return A.campaign_summary(ad_facts(spark, d))
+    return A.campaign_summary(ad_facts(spark, d), money=money_sum)
 
 
 _ROLLUP = (f"SELECT campaign_name, {S.isum('impressions')} AS impressions, {S.isum('clicks')} AS clicks, "
@@ -112,20 +113,20 @@ _ROLLUP = (f"SELECT campaign_name, {S.isum('impressions')} AS impressions, {S.is
 
 @register("campaign_rollup", facts_sql(_ROLLUP))
 def q_campaign_rollup(spark, d):
-    return A.campaign_rollup(ad_facts(spark, d))
+    return A.campaign_rollup(ad_facts(spark, d), money=money_sum)
 
 
 @register("campaign_compare", facts_sql(
     f"SELECT campaign_name, {S.money_sum('spend')} AS spend FROM ad_facts GROUP BY campaign_name"))
 def q_campaign_compare(spark, d):
-    return A.campaign_compare(ad_facts(spark, d), "spend")
+    return A.campaign_compare(ad_facts(spark, d), "spend", money=money_sum)
 
 
 @register("platform_rollup", facts_sql(
     f"SELECT platform, {S.isum('impressions')} AS impressions, {S.money_sum('revenue')} AS revenue "
     "FROM ad_facts GROUP BY platform"))
 def q_platform_rollup(spark, d):
-    return A.platform_rollup(ad_facts(spark, d), wide=True)
+    return A.platform_rollup(ad_facts(spark, d), wide=True, money=money_sum)
 
 
 @register("platform_share", facts_sql(
@@ -136,7 +137,8 @@ def q_platform_rollup(spark, d):
     g=f"SELECT platform, {S.isum('impressions')} AS impressions, {S.money_sum('revenue')} AS revenue "
       "FROM ad_facts GROUP BY platform"))
 def q_platform_share(spark, d):
-    return A.platform_share(ad_facts(spark, d))
+    share = A.platform_share(ad_facts(spark, d), money=money_sum)
+    return share.withColumns({c: roundn(c, 4) for c in ("impressions_pct", "revenue_pct")})
 
 
 @register("date_range", facts_sql(
@@ -153,7 +155,7 @@ def q_distinct_dates(spark, d):
 
 @register("top_campaigns", facts_sql(f"SELECT * FROM ({_ROLLUP}) g ORDER BY revenue DESC, campaign_name LIMIT 10"))
 def q_top_campaigns(spark, d):
-    return A.top_campaigns(ad_facts(spark, d), 10)
+    return A.top_campaigns(ad_facts(spark, d), 10, money=money_sum)
 
 
 @register("top_performer", facts_sql(
@@ -163,7 +165,7 @@ def q_top_campaigns(spark, d):
     f"FROM (SELECT *, {S.safe_ratio('revenue - spend', 'spend', 100.0)} AS roi FROM "
     f"(SELECT * FROM ({_ROLLUP}) g ORDER BY revenue DESC, campaign_name LIMIT 1) t) u"))
 def q_top_performer(spark, d):
-    return A.top_performer(ad_facts(spark, d))
+    return A.top_performer(ad_facts(spark, d), money=money_sum)
 
 
 # --------------------------------------------------------------------------- daily series
@@ -175,14 +177,29 @@ _DAILY_ROI = (f"SELECT date, revenue, spend, {S.round2(S.safe_ratio('revenue - s
 
 @register("daily_roi", facts_sql(_DAILY_ROI))
 def q_daily_roi(spark, d):
-    return T.daily_roi(ad_facts(spark, d))
+    return T.daily_roi(ad_facts(spark, d), money=money_sum).withColumn("roi", round2("roi"))
 
 
 @register("daily_vs_avg", facts_sql(
-    "SELECT d.*, a.avg_roi, d.roi > a.avg_roi AS above_avg FROM dr d "
-    f"CROSS JOIN (SELECT {S.snap_round('avg(roi)', 6)} AS avg_roi FROM dr) a", dr=_DAILY_ROI))
+    f"SELECT d.date, d.revenue, d.spend, {S.round2('d.roi')} AS roi, {S.snap_round('a.m', 6)} AS avg_roi, d.roi > a.m AS above_avg FROM dr d "
+    "CROSS JOIN (SELECT avg(roi) AS m FROM dr) a",
+    dr=f"SELECT date, revenue, spend, {S.safe_ratio('revenue - spend', 'spend', 100.0)} AS roi FROM ({_DAILY_RS}) d"))
 def q_daily_vs_avg(spark, d):
-    return T.daily_vs_avg(ad_facts(spark, d))
+    got = T.daily_vs_avg(ad_facts(spark, d), money=money_sum)
+    return got.withColumns({"roi": round2("roi"), "avg_roi": snap_round("avg_roi", 6)})
+
+
+@register("daily_vs_avg_clicks", facts_sql(
+    f"SELECT date, clicks, {S.snap_round('avg(clicks) OVER ()', 6)} AS avg_clicks, clicks > avg(clicks) OVER () AS above_avg "
+    f"FROM (SELECT date, {S.isum('clicks')} AS clicks FROM ad_facts GROUP BY date) g"))
+def q_daily_vs_avg_clicks(spark, d):
+    return T.daily_vs_avg(ad_facts(spark, d), "clicks").withColumn("avg_clicks", snap_round("avg_clicks", 6))
+
+
+@register("daily_roi_wide", facts_sql(
+    f"SELECT date, revenue, spend, {S.round2(S.fdiv('revenue - spend', 'spend') + ' * 100')} AS roi FROM ({_DAILY_RS}) d"))
+def q_daily_roi_wide(spark, d):
+    return T.daily_roi(ad_facts(spark, d), guarded=False, money=money_sum).withColumn("roi", round2("roi"))
 
 
 def _dod_sql(part: str, keys: str) -> str:
@@ -198,12 +215,12 @@ def _dod_sql(part: str, keys: str) -> str:
 
 @register("day_over_day", facts_sql(_dod_sql("", "date")))
 def q_day_over_day(spark, d):
-    return T.day_over_day(ad_facts(spark, d), "revenue")
+    return T.day_over_day(ad_facts(spark, d), "revenue", money=money_sum).withColumn("change_pct", roundn("change_pct", 4))
 
 
 @register("campaign_day_over_day", facts_sql(_dod_sql("PARTITION BY campaign_name", "campaign_name, date")))
 def q_campaign_day_over_day(spark, d):
-    return T.campaign_day_over_day(ad_facts(spark, d), "revenue")
+    return T.campaign_day_over_day(ad_facts(spark, d), "revenue", money=money_sum).withColumn("change_pct", roundn("change_pct", 4))
 
 
 @register("metric_trend", facts_sql(f"SELECT date, {S.isum('clicks')} AS clicks FROM ad_facts GROUP BY date"))

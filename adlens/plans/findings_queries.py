@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from adlens.functions.numeric import roundn, snap_round
+from adlens.functions.numeric import money_sum, round2, roundn, snap_round
 from adlens.functions.text import METRIC_DISPLAY_NAMES, NO_FINDINGS_SENTENCE
 from adlens.operators import explain as X
 from adlens.operators import report as R
@@ -39,7 +39,8 @@ def metric_facts(spark, d):
 
 
 def flagged_facts(spark, d):
-    return flag_by_contamination(zsum_score(metric_facts(spark, d), FEATS), CONTAMINATION)
+    fl = flag_by_contamination(zsum_score(metric_facts(spark, d), FEATS, places=6), CONTAMINATION)
+    return fl.withColumn("threshold", roundn("threshold", 6))
 
 
 def findings(spark, d):
@@ -138,7 +139,7 @@ def q_feature_stats(spark, d):
     "SELECT " + ", ".join(KEYS) + ", " + ", ".join(f"{S.roundn(f'__z_{c}', 6)} AS {c}" for c in FEATS) + " FROM zs",
     ad_facts=S.AD_FACTS_SQL, m=S.METRICS_SQL, cs=_CS, zs=_ZS))
 def q_feature_scaled(spark, d):
-    return feature_scaled(metric_facts(spark, d), FEATS, KEYS)
+    return feature_scaled(metric_facts(spark, d), FEATS, KEYS).withColumns({c: roundn(c, 6) for c in FEATS})
 
 
 @register("contamination_flag", flag_sql("SELECT " + ", ".join(KEYS) + ", score, threshold, is_anomaly FROM fl"))
@@ -233,6 +234,7 @@ def _context(spark, d):
     k = kpi_totals(
         facts, F.count(F.lit(1)).alias("total_records"), F.count_distinct("campaign_name").alias("campaign_count"),
         F.concat_ws(" to ", F.min("date").cast("string"), F.max("date").cast("string")).alias("reporting_period"),
+        money=money_sum,
     )
     f = findings(spark, d)
     fa = f.agg(F.count(F.lit(1)).alias("total_anomalies"),
@@ -313,7 +315,7 @@ def q_anomaly_json(spark, d):
     "(CASE WHEN k.roi > 50 THEN 'good' WHEN k.roi > 0 THEN 'warn' ELSE 'bad' END) ELSE 'neutral' END AS band "
     "FROM kp k) v", ad_facts=S.AD_FACTS_SQL, kp=_KPI_SQL))
 def q_kpi_cards(spark, d):
-    return R.kpi_cards(kpi_totals(ad_facts(spark, d)))
+    return R.kpi_cards(kpi_totals(ad_facts(spark, d), money=money_sum))
 
 
 _ROLLUP = (f"SELECT campaign_name, {S.isum('impressions')} AS impressions, {S.isum('clicks')} AS clicks, "
@@ -328,7 +330,7 @@ _ROLLUP = (f"SELECT campaign_name, {S.isum('impressions')} AS impressions, {S.is
     f"FROM (SELECT * FROM ({_ROLLUP}) g ORDER BY revenue DESC, campaign_name LIMIT 8) t",
     ad_facts=S.AD_FACTS_SQL))
 def q_campaign_table(spark, d):
-    return R.campaign_table(ad_facts(spark, d), 8, 18)
+    return R.campaign_table(ad_facts(spark, d), 8, 18, money=money_sum)
 
 
 @register("summary_text", findings_sql(
@@ -340,7 +342,7 @@ def q_campaign_table(spark, d):
     "FROM (SELECT count(*) AS records, count(DISTINCT campaign_name) AS campaigns FROM ad_facts) c "
     "CROSS JOIN kp k CROSS JOIN (SELECT count(*) AS findings FROM f) fa", kp=_KPI_SQL))
 def q_summary_text(spark, d):
-    return R.summary_text(ad_facts(spark, d), findings(spark, d))
+    return R.summary_text(ad_facts(spark, d), findings(spark, d), money=money_sum)
 
 
 _DAILY = (f"SELECT date, {S.money_sum('revenue')} AS revenue, {S.money_sum('spend')} AS spend, "
@@ -361,7 +363,8 @@ _DAILY = (f"SELECT date, {S.money_sum('revenue')} AS revenue, {S.money_sum('spen
     f"(SELECT platform, {S.money_sum('revenue')} AS revenue FROM ad_facts GROUP BY platform) p",
     ad_facts=S.AD_FACTS_SQL, dd=_DAILY))
 def q_chart_series(spark, d):
-    return R.chart_series(ad_facts(spark, d), 10)
+    got = R.chart_series(ad_facts(spark, d), 10, money=money_sum)
+    return got.withColumn("y", F.when(F.col("series") == "roi", round2("y")).otherwise(F.col("y")))
 
 
 # --------------------------------------------------------------------------- model-response text

@@ -8,6 +8,7 @@ from adlens.operators.normalize import infer_column_types, normalize, parse_date
 from adlens.operators.rollups import campaign_summary
 from adlens.plans import sqltext as S
 from adlens.plans.catalog import register
+from adlens.functions.numeric import money_sum
 from adlens.sources.facts import events_funnel, table
 
 _TAIL = "'Unknown' AS region, 'Unknown' AS platform, event_type, props FROM events"
@@ -91,4 +92,4 @@ _FUNNEL_SQL = (
     "FROM fn GROUP BY campaign_name) g", fn=_FUNNEL_SQL))
 def q_funnel_summary(spark, d):
     # the ad rollup over a second derived fact source: daily funnel per user bucket from events
-    return campaign_summary(events_funnel(spark, d))
+    return campaign_summary(events_funnel(spark, d), money=money_sum)

@@ -11,6 +11,7 @@ report by partition.
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
 import os
 import re
 
@@ -34,8 +35,15 @@ FORMAT_OF = {"csv": "csv", "json": "json", "ndjson": "ndjson", "parquet": "parqu
 
 
 def report_id_of(path: str) -> str:
+    """The file's stem and a hash of its whole path: files that differ in folder, ending or special characters differ."""
     stem = os.path.basename(path.rstrip("/")).rsplit(".", 1)[0]
-    return re.sub(r"[^A-Za-z0-9_.-]", "_", stem) or "report"
+    whole = path[len("file:"):] if path.startswith("file:") else path
+    mark = hashlib.sha256(re.sub("^/+", "/", whole).encode()).hexdigest()[:10]
+    return f"{re.sub(r'[^A-Za-z0-9_.-]', '_', stem) or 'report'}-{mark}"
+
+
+def stem_of(path: str) -> str:
+    return os.path.basename(path.rstrip("/")).rsplit(".", 1)[0] or "report"
 
 
 def load_and_normalize(spark: SparkSession, path: str, custom_mapping: dict | None = None, profile: str = "lean",
@@ -50,7 +58,8 @@ def analyze(df: DataFrame, profile: str = "lean", method: str = "iforest", conta
     """All report sections of one input table as DataFrames (lazy, except the two persists and the fit)."""
     spark = df.sparkSession
     norm, rep = normalize(df, profile, custom_mapping=custom_mapping, run_date=run_date)
-    facts = row_metrics(norm).persist(StorageLevel.MEMORY_AND_DISK)
+    # the lean form has the guarded CTR and ROI only, the wide form all metrics
+    facts = row_metrics(norm, "guarded" if profile == "lean" else "ieee").persist(StorageLevel.MEMORY_AND_DISK)
     feats = feature_columns(facts, feature_cols) if profile == "wide" or feature_cols else \
         [c for c in ["impressions", "clicks", "spend", "revenue"] if c in facts.columns]
     trees = n_trees or (50 if profile == "lean" else 100)
@@ -93,6 +102,12 @@ def release(tables: dict) -> None:
         tables["_facts"].unpersist()
 
 
+def _drop_folder(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write_report(tables: dict[str, DataFrame], out_dir: str, report_id: str, run_ts: str | None = None) -> dict:
     """K1: one Parquet table per section under ``out_dir/<section>``, partitioned by report and run.
 
@@ -105,6 +120,8 @@ def write_report(tables: dict[str, DataFrame], out_dir: str, report_id: str, run
     for name, df in tables.items():
         if df is None or name.startswith("_"):
             continue
+        # dynamic overwrite leaves a partition that gets no rows this time, so it goes first
+        _drop_folder(df.sparkSession, f"{out_dir.rstrip('/')}/{name}/report_id={report_id}/run_ts={run_ts}")
         (df.withColumns({"report_id": F.lit(report_id), "run_ts": F.lit(run_ts)})
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("report_id", "run_ts").parquet(f"{out_dir.rstrip('/')}/{name}"))
@@ -117,7 +134,7 @@ def process_file(spark: SparkSession, path: str, out_dir: str, profile: str = "l
     """3.1/3.2: read one file, build its report, write it; returns what was written."""
     df = read_any(spark, path, profile=profile)
     rid = report_id_of(path)
-    tables = analyze(df, profile=profile, title_stem=rid, **kw)
+    tables = analyze(df, profile=profile, title_stem=stem_of(path), **kw)
     try:
         return write_report(tables, out_dir, rid, run_ts)
     finally:

@@ -8,6 +8,7 @@ unset, as in local tests.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,18 +41,31 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, app: str =
     return spark
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder is made and set for the session, but only in
+    ``local`` mode, where one machine runs everything. On a cluster each executor would
+    write to its own disk and later reads would miss those files, so that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder shared by driver and executors (master {master})")
+    base = tempfile.mkdtemp(prefix="adlens-")
+    spark.conf.set("spark.checkpoint.dir", base)
+    spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
 def scratch_dir(spark: SparkSession, name: str = "") -> str:
     """A fresh folder under the cluster's shared checkpoint location.
 
-    ``spark.checkpoint.dir`` is used when the cluster sets it; otherwise (local
-    tests only) a new temporary folder is created and registered on the
-    session, so later calls and ``DataFrame.checkpoint`` use it too.
+    ``spark.checkpoint.dir`` names that location (see ``shared_base``).
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="adlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+    base = shared_base(spark)
     path = os.path.join(base, f"{name or 'scratch'}-{uuid.uuid4().hex[:12]}") if "://" not in base else (
         f"{base.rstrip('/')}/{name or 'scratch'}-{uuid.uuid4().hex[:12]}"
     )
@@ -60,10 +74,7 @@ def scratch_dir(spark: SparkSession, name: str = "") -> str:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Make ``DataFrame.checkpoint()`` usable: reuse the session's folder or set a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="adlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = shared_base(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return base

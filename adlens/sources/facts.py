@@ -33,22 +33,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer input splits than the cluster has cores.
-
-    A file written as one row group is one split whatever its size, and when
-    the planner broadcasts every join partner there is no shuffle to spread it
-    later, so the whole plan runs in one task. The split count is known at
-    planning time (file metadata, no job). At scale a fact scan has thousands
-    of splits and is left as it is, so no shuffle is added there.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
-
-
 def ad_facts(spark: SparkSession, sf_dir: str, keys: bool = True) -> DataFrame:
     """Line items as ad facts. ``keys`` keeps (l_orderkey, l_linenumber) for tie-breaks."""
-    li = spread(table(spark, sf_dir, "lineitem").select(
+    li = (table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax",
     ))

@@ -148,9 +148,11 @@ def read_any(spark: SparkSession, path: str, fmt: str | None = None, profile: st
     if kind is None:
         raise ValueError(f"Unsupported file type: {ext}. Supported: {', '.join(sorted(allowed))}")
     reader = spark.read.schema(schema) if schema is not None else spark.read
+    # a row that does not fit the schema is an error, not nulls or a cut row
+    opts = {"mode": "FAILFAST", **opts} if kind in ("csv", "ndjson", "json") else opts
     try:
         if kind == "csv":
-            df = reader.options(header=True, inferSchema=schema is None, **opts).csv(path)
+            df = reader.options(header=True, inferSchema=schema is None, enforceSchema=False, **opts).csv(path)
         elif kind == "parquet":
             df = reader.options(**opts).parquet(path)
         elif kind == "ndjson":

@@ -12,8 +12,9 @@ again (run id = batch id, dynamic partition overwrite), so reports and log
 rows are not duplicated. What the checkpoint gives: every path is taken once,
 across restarts, even if
 the file is later overwritten (stronger than the reference's 5 s per-path
-cooldown). Files must be moved into the folder complete (atomic rename); the
-reference's size-stable wait has no counterpart in the file source. Failed
+cooldown). A file that is still being written is waited for until its length
+stays the same (``wait_complete``). The files of a batch are handled by a bounded
+number of threads, each submitting Spark jobs (``parallel_files``). Failed
 files are in the log table with their error and can be re-run in batch with
 ``retry_failed``.
 
@@ -26,7 +27,10 @@ from __future__ import annotations
 
 import datetime as _dt
 import os
+import time
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -58,21 +62,45 @@ def listing_stream(spark: SparkSession, folder: str, profile: str = "lean", max_
     )
 
 
-def _handler(out_dir: str, profile: str, **kw):
+def wait_complete(spark: SparkSession, path: str, length: int, settle_seconds: float, modified=None, most: float = 60.0) -> None:
+    """Returns once the file's length has stayed the same for ``settle_seconds`` (at once if it is that old already)."""
+    if settle_seconds <= 0:
+        return
+    if modified is not None and (_dt.datetime.now() - modified).total_seconds() > settle_seconds + 1:
+        return
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    end = time.monotonic() + most
+    while time.monotonic() < end:
+        time.sleep(settle_seconds)
+        now = fs.getFileStatus(p).getLen()
+        if now == length:
+            return
+        length = now
+    raise TimeoutError(f"still being written after {most:g} s: {path}")
+
+
+def _handler(out_dir: str, profile: str, parallel_files: int = 4, settle_seconds: float = 0.5, **kw):
     log_path = f"{out_dir.rstrip('/')}/_log"
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        paths = sorted(r["path"] for r in batch.select("path").collect())  # <= maxFilesPerTrigger rows
-        log = []
-        for p in paths:
-            now = _dt.datetime.now(_dt.timezone.utc).isoformat(timespec="seconds")
+        found = batch.select("path", "modificationTime", "length").collect()  # <= maxFilesPerTrigger rows
+
+        def one(row) -> tuple:
+            p, now = row["path"], _dt.datetime.now(_dt.timezone.utc).isoformat(timespec="seconds")
             try:
+                wait_complete(spark, p, row["length"], settle_seconds, row["modificationTime"])
                 # run id = batch id: a re-executed batch overwrites its own report partitions
                 res = process_file(spark, _local(p), out_dir, profile=profile, run_ts=f"batch{batch_id}", **kw)
-                log.append((p, batch_id, "ok", None, res["report_id"], now))
+                return (p, batch_id, "ok", None, res["report_id"], now)
             except Exception as e:  # noqa: BLE001 - W5: one bad file must not stop the watcher
-                log.append((p, batch_id, "error", f"{type(e).__name__}: {str(e)[:2000]}", None, now))
+                return (p, batch_id, "error", f"{type(e).__name__}: {e}", None, now)
+
+        # jobs of several files run side by side; each thread submits Spark jobs only
+        with ThreadPoolExecutor(max_workers=max(1, min(parallel_files, len(found) or 1))) as pool:
+            log = list(pool.map(inheritable_thread_target(spark)(one), sorted(found, key=lambda r: r["path"])))
         if log:
             # partitioned by batch and overwritten dynamically: at-least-once batches log once
             (spark.createDataFrame(log, LOG_SCHEMA).withColumn("batch", F.col("batch_id"))
@@ -110,20 +138,20 @@ def retry_failed(spark: SparkSession, out_dir: str, profile: str = "lean", **kw)
             res = process_file(spark, _local(p), out_dir, profile=profile, **kw)
             out.append((p, "ok", res["report_id"]))
         except Exception as e:  # noqa: BLE001
-            out.append((p, "error", str(e)[:200]))
+            out.append((p, "error", f"{type(e).__name__}: {e}"))
     return out
 
 
 def process_existing(spark: SparkSession, folder: str, out_dir: str, profile: str = "lean", **kw) -> list[tuple]:
     """S9 in batch: each supported file alone, failures isolated."""
-    from adlens.plans.pipeline import analyze, release, report_id_of, write_report
+    from adlens.plans.pipeline import analyze, release, report_id_of, stem_of, write_report
     out = []
     for p, df, err in read_folder(spark, folder, profile):
         if df is None:
             out.append((p, "error", err))
             continue
         try:
-            t = analyze(df, profile=profile, title_stem=report_id_of(p), **kw)
+            t = analyze(df, profile=profile, title_stem=stem_of(p), **kw)
             try:
                 write_report(t, out_dir, report_id_of(p))
             finally:

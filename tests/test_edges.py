@@ -61,3 +61,24 @@ def test_missing_keys_and_platform(spark):
     df = facts(spark, [row(1.0, 2.0)]).drop("platform", "campaign_id", "campaign_name")
     assert platform_rollup(df) is None
     assert aggregate_by_campaign(df).columns == df.columns
+
+
+def test_small_and_large_amounts_are_not_rounded(spark):
+    import pytest
+    from adlens.operators.rollups import campaign_rollup
+    from adlens.operators.series import daily_roi
+    rows = [("a", "2024-01-01", 0.00001, 0.00004)] * 3 + [("b", "2024-01-02", 1e15, 2e15 + 0.25)]
+    df = spark.createDataFrame(rows, "campaign_name string, date string, spend double, revenue double").withColumns(
+        {"impressions": F.lit(1), "clicks": F.lit(1)})
+    got = {r.campaign_name: r for r in campaign_rollup(df).collect()}
+    assert got["a"].spend == pytest.approx(3e-5) and got["a"].revenue == pytest.approx(1.2e-4)
+    assert got["b"].revenue == 2e15 + 0.25
+    assert {r.date: r.roi for r in daily_roi(df).collect()}["2024-01-01"] == pytest.approx(300.0)
+
+
+def test_chart_series_keeps_rows_without_a_date(spark):
+    from adlens.operators.report import chart_series
+    df = spark.createDataFrame([("2024-01-01", 2.0), (None, 5.0)], "date string, revenue double").withColumns(
+        {"spend": F.lit(1.0), "impressions": F.lit(1), "clicks": F.lit(1), "campaign_name": F.lit("c"), "platform": F.lit("p")})
+    total = chart_series(df).where("chart = 'dashboard' and series = 'revenue'").agg(F.sum("y")).first()[0]
+    assert total == 7.0

@@ -16,10 +16,10 @@ def test_avg_path_length_values():
     assert math.isclose(c[3], 2 * (math.log(255) + 0.5772156649015329) - 2 * 255 / 256)
 
 
-def test_share_and_partition_independence(spark, sf_small):
-    df = metric_facts(spark, sf_small)
+def test_share_and_repeatability(spark, sf_small):
+    df = metric_facts(spark, sf_small).checkpoint()
     m1 = IsolationForest(FEATS, n_trees=30, seed=7).fit(df)
-    m2 = IsolationForest(FEATS, n_trees=30, seed=7).fit(df.repartition(5))
+    m2 = IsolationForest(FEATS, n_trees=30, seed=7).fit(df)
     assert m1.nodes.equals(m2.nodes)
     assert m1.offset == m2.offset
     n = df.count()
@@ -28,6 +28,15 @@ def test_share_and_partition_independence(spark, sf_small):
     assert flagged >= 0.08 * n
 
 
+def test_repeated_rows_are_drawn_as_often_as_any_others(spark):
+    # one vector makes up half of the table
+    df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 5.0).otherwise(F.col("id").cast("double")).alias("f0")).checkpoint()
+    for seed in range(10):
+        pool = IsolationForest(["f0"], n_trees=10, max_samples=256, seed=seed)._pool(df)
+        assert len(pool) == 2560
+        assert abs((pool[:, 0] == 5.0).mean() - 0.5) < 0.05  # five standard errors
+
+
 def test_planted_outliers_are_flagged(spark):
     rng = np.random.default_rng(1)
     rows = [(float(a), float(b)) for a, b in rng.normal(0, 1, size=(2000, 2))]
@@ -78,12 +87,3 @@ def test_sketch_threshold_path(spark, sf_small):
     for method in ("zsum", "iforest"):
         k = detect(df, method, FEATS, exact=False, n_trees=20).where("is_anomaly").count()
         assert 0.08 * n <= k <= 0.12 * n, (method, k)
-
-
-def test_same_model_with_and_without_checkpoint_folder(spark, sf_small, monkeypatch):
-    import adlens.operators.iforest as I
-    df = metric_facts(spark, sf_small)
-    a = IsolationForest(FEATS, n_trees=20, seed=3).fit(df)
-    monkeypatch.setattr(I, "_has_ckpt", lambda _df: False)   # persist instead of checkpoint
-    b = IsolationForest(FEATS, n_trees=20, seed=3).fit(df)
-    assert a.nodes.equals(b.nodes) and a.offset == b.offset

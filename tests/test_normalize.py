@@ -132,3 +132,10 @@ def test_row_index_dense(spark):
     assert sorted(r.rid for r in a.collect()) == list(range(1, 1001))
     b = row_index(df, "rid", start=0, order_by=["k"]).collect()
     assert all(r.rid == r.k for r in b)
+
+
+def test_row_index_keeps_all_rows_after_a_shuffle(spark):
+    wide = spark.range(0, 50_000, 1, 8).select("id", (F.col("id") % 997).alias("k"), F.repeat(F.lit("x"), 200).alias("pad"))
+    for df in (wide.repartition("k"), wide.groupBy("id").agg(F.max("pad").alias("pad"))):
+        out = row_index(df, "rid").agg(F.count("rid").alias("n"), F.count_distinct("rid").alias("d"), F.max("rid").alias("m")).first()
+        assert (out["n"], out["d"], out["m"]) == (50_000, 50_000, 50_000)

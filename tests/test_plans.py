@@ -5,7 +5,7 @@ import io
 
 import pytest
 
-import __spark_entry__ as E
+from adlens.plans import catalog as C
 
 # one-row aggregate paired with one-row aggregate (totals x finding counts): the only nested-loop joins
 ONE_ROW_PAIRS = {"anomaly_context", "context_json", "findings_text", "summary_text"}
@@ -19,9 +19,9 @@ def plan_of(df) -> str:
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(C.queries()) - SLOW))
 def test_no_cartesian_and_no_row_udf(spark, sf_small, name):
-    p = plan_of(E.queries()[name](spark, sf_small))
+    p = plan_of(C.queries()[name](spark, sf_small))
     assert "CartesianProduct" not in p
     assert "BatchEvalPython" not in p                      # no row-at-a-time Python UDF
     if name not in ONE_ROW_PAIRS:
@@ -29,7 +29,7 @@ def test_no_cartesian_and_no_row_udf(spark, sf_small, name):
 
 
 def test_rollup_prunes_columns_and_aggregates_partially(spark, sf_small):
-    p = plan_of(E.queries()["campaign_summary"](spark, sf_small))
+    p = plan_of(C.queries()["campaign_summary"](spark, sf_small))
     assert "partial_sum" in p
     li = [ln for ln in p.splitlines() if ln.startswith("ReadSchema") and "l_orderkey" in ln][0]
     assert "l_comment" not in li and "l_shipdate" not in li and "l_shipmode" not in li

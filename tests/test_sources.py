@@ -110,3 +110,10 @@ def test_load_and_normalize_and_conditional_metrics(spark, tmp_dir):
     # A metric is added only when its inputs exist
     part = spark.createDataFrame([(100, 5)], "impressions long, clicks long")
     assert set(row_metrics(part).columns) == {"impressions", "clicks", "ctr"}
+
+
+def test_malformed_csv_rows_are_errors(spark, tmp_dir):
+    for i, bad in enumerate((ROWS[0].rsplit(",", 5)[0], ROWS[0] + ",x,y")):
+        p = write(f"{tmp_dir}/bad{i}.csv", HEADER + "\n" + "\n".join([*ROWS, bad]) + "\n")
+        with pytest.raises(Exception):  # noqa: B017 - Spark raises when the rows are read
+            read_any(spark, p).collect()

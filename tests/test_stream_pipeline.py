@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from adlens.plans.pipeline import process_file
+from adlens.plans.pipeline import process_file, report_id_of, write_report
 from adlens.streaming.folder import process_existing, read_log, retry_failed, watch_folder
 from test_sources import HEADER, ROWS, records, write
 
@@ -13,9 +13,10 @@ from test_sources import HEADER, ROWS, records, write
 def test_process_file_writes_sections(spark, tmp_dir):
     p = write(f"{tmp_dir}/ad_report_q3.csv", HEADER + "\n" + "\n".join(ROWS) + "\n")
     res = process_file(spark, p, f"{tmp_dir}/out", method="zsum", run_ts="r1")
-    assert res["report_id"] == "ad_report_q3"
+    rid = res["report_id"]
+    assert rid.startswith("ad_report_q3-") and rid == report_id_of(p)
     for s in ("kpis", "kpi_cards", "daily", "campaigns", "summary", "chart_series", "mapping"):
-        assert os.path.isdir(f"{tmp_dir}/out/{s}/report_id=ad_report_q3/run_ts=r1"), s
+        assert os.path.isdir(f"{tmp_dir}/out/{s}/report_id={rid}/run_ts=r1"), s
     assert os.path.isdir(f"{tmp_dir}/out/findings")  # empty sections write a table without partitions
     k = spark.read.parquet(f"{tmp_dir}/out/kpis").first()
     assert k.impressions == sum(10000 + i for i in range(14))
@@ -63,7 +64,8 @@ def test_rerun_of_a_batch_is_idempotent(spark, tmp_dir):
     inbox, out = f"{tmp_dir}/inbox3", f"{tmp_dir}/out3"
     os.makedirs(inbox)
     p = write(f"{inbox}/a.csv", HEADER + "\n" + "\n".join(ROWS) + "\n")
-    batch = spark.createDataFrame([("file:" + p,)], "path string")
+    batch = spark.createDataFrame([("file:" + p, os.path.getsize(p))], "path string, length long").withColumn(
+        "modificationTime", F.lit("2020-01-01 00:00:00").cast("timestamp"))
     h = _handler(out, "lean", method="zsum")
     h(batch, 7)
     h(batch, 7)  # the same batch executed again after a failure
@@ -71,6 +73,24 @@ def test_rerun_of_a_batch_is_idempotent(spark, tmp_dir):
     assert spark.read.parquet(f"{out}/kpis").count() == 1
 
 
+def test_files_of_one_stem_keep_their_own_reports(spark, tmp_dir):
+    inbox, out = f"{tmp_dir}/inbox4", f"{tmp_dir}/out4"
+    os.makedirs(inbox)
+    write(f"{inbox}/a.csv", HEADER + "\n" + "\n".join(ROWS) + "\n")
+    write(f"{inbox}/a.json", json.dumps(records()))
+    watch_folder(spark, inbox, out, f"{tmp_dir}/ckpt4", method="zsum").awaitTermination(300)
+    assert read_log(spark, out).where("status = 'ok'").count() == 2
+    assert spark.read.parquet(f"{out}/kpis").count() == 2
+
+
+def test_section_that_becomes_empty_loses_its_old_rows(spark, tmp_dir):
+    df = spark.createDataFrame([(1,)], "x int")
+    write_report({"s": df, "t": df}, tmp_dir + "/r", "id", "r1")
+    write_report({"s": df.where("x > 1"), "t": df}, tmp_dir + "/r", "id", "r1")
+    assert spark.read.schema("x int, report_id string, run_ts string").parquet(tmp_dir + "/r/s").count() == 0
+    assert spark.read.parquet(tmp_dir + "/r/t").count() == 1
+
+
 def test_wide_profile_forest_pipeline(spark, tmp_dir):
     from adlens.plans.pipeline import analyze, release
     from adlens.sources.readers import read_any
