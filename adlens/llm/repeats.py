@@ -164,7 +164,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, words: bool, window: int, k: int, repeated: Callable,
-                   hot_strings: int = 200, bucket_bytes: int = 1 << 20) -> DataFrame:
+                   hot_strings: int = 4000, bucket_bytes: int = 1 << 20) -> DataFrame:
     """One row (did, h, spans) for each document with a repeated window; spans of symbols, overlapping and unordered.
 
     did and h are ``id_key`` and ``text_key`` of the row. A repeated row counts as one more document.
