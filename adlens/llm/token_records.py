@@ -2,7 +2,8 @@
 
 File format, integers little-endian. A record is
     uint64 length | uint32 masked checksum of the length's 8 bytes | data | uint32 masked checksum of data
-and data is uint8 (1: the document has an id) | int64 document id | uint32 token ids, the end id last.
+and data is uint8 flags | int64 document id | token ids, the end id last. Flag 1: the document has an id. Flag 2: token
+ids are uint32; without it all of the record's ids are below 65536 and are uint16.
 A masked checksum is rotr(crc32, 15) + 0xA282EAD8 modulo 2**32, so that checksums of data that hold checksums
 stay useful. Beside each data file lies ``.idx``: the uint64 offset of each record and the data file's length, so
 that any record can be read by itself, in any order.
@@ -42,13 +43,17 @@ def masked(data: bytes) -> int:
 
 
 def record(doc_id: int | None, ids: bytes) -> bytes:
-    data = (b"\0" + bytes(8) if doc_id is None else b"\1" + doc_id.to_bytes(8, "little", signed=True)) + ids
+    """``ids``: little-endian unsigned 32-bit integers."""
+    wide = np.frombuffer(ids, "<u4")
+    large = len(wide) > 0 and int(wide.max()) > 0xFFFF
+    flags = (doc_id is not None) + 2 * large
+    data = b"".join((bytes([flags]), (doc_id or 0).to_bytes(8, "little", signed=True), ids if large else wide.astype("<u2").tobytes()))
     size = len(data).to_bytes(8, "little")
     return b"".join((size, masked(size).to_bytes(4, "little"), data, masked(data).to_bytes(4, "little")))
 
 
 def read_record(f, at: int | None = None) -> tuple[int | None, bytes] | None:
-    """(document id, ids as bytes) of the record at an offset or at the file's place; None at the end."""
+    """(document id, ids as unsigned 32-bit bytes) of the record at an offset or at the file's place; None at the end."""
     if at is not None:
         f.seek(at)
     head = f.read(12)
@@ -60,7 +65,8 @@ def read_record(f, at: int | None = None) -> tuple[int | None, bytes] | None:
     body = f.read(n + 4)
     if len(body) < n + 4 or masked(body[:n]) != int.from_bytes(body[n:], "little"):
         raise ValueError("damaged record")
-    return int.from_bytes(body[1:9], "little", signed=True) if body[0] else None, body[9:n]
+    ids = body[9:n] if body[0] & 2 else np.frombuffer(body, "<u2", (n - 9) // 2, 9).astype("<u4").tobytes()
+    return int.from_bytes(body[1:9], "little", signed=True) if body[0] & 1 else None, ids
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
