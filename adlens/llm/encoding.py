@@ -11,12 +11,14 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
+from array import array
 
 import numpy as np
 
 #: Entries of a worker's cache; beyond that it starts anew.
 CACHE_ENTRIES = 800_000
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+MARKS = frozenset(".,!?;:")
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -52,27 +54,40 @@ class Encoder:
             self.kind = "other"
         self.cache: dict[str, bytes] = {}  # word kind: parts; byte kind: parts after a blank
         self.heads: dict[str, bytes] = {}  # byte kind: parts as they stand
+        self.pieces: dict[str, bytes] = {}  # pre-tokens
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def part(self, part: str) -> bytes:
-        """Ids of a part that isn't in the cache."""
-        if part and max(part) >= "ɐ":  # leave newer scripts' letter tables to the library
-            return self.whole(part)
+    def piece(self, piece: str) -> bytes:
+        """Ids of one pre-token, by the library's model."""
+        got = self.pieces.get(piece)
+        if got is None:
+            if len(self.pieces) >= CACHE_ENTRIES:
+                self.pieces.clear()
+            name = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
+            got = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(name)]).tobytes()
+        return got
+
+    def part(self, part: str, before: str = "") -> bytes:
+        """Ids of ``before`` and a part that isn't in the cache."""
+        if part and not part.isascii() and max(part) >= "\u0250":  # leave newer scripts' letter tables to the library
+            return self.whole(before + part)
         if self.kind == "word":
-            part = unicodedata.normalize("NFC", part)
-            part = part.lower() if part.isascii() else "".join(c.lower() for c in part)
-        tokenize, letters = self.model.tokenize, self.letters
-        ids = [t.id for piece in self.pattern.findall(part) for t in tokenize(piece.encode().decode("latin-1").translate(letters))]
-        return np.array(ids, np.uint32).tobytes()
+            part = part.lower() if part.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", part))
+        # most parts are a word, or a word and a mark
+        if part.isalpha():
+            return self.piece(before + part)
+        if part[-1:] in MARKS and part[:-1].isalpha():
+            return self.piece(before + part[:-1]) + self.piece(part[-1])
+        return b"".join([self.piece(x) for x in self.pattern.findall(before + part)])
 
     def look(self, cache: dict[str, bytes], part: str, before: str = "") -> bytes:
         got = cache.get(part)
         if got is None:
             if len(cache) >= CACHE_ENTRIES:
                 cache.clear()
-            got = cache[part] = self.part(before + part)
+            got = cache[part] = self.part(part, before)
         return got
 
     def __call__(self, text: str) -> bytes:
