@@ -62,6 +62,64 @@ KPI_CARDS = [
 ]
 
 
+# ---- fixed values: KPI card labels and subtitles of each form ({ctr}: the click rate) ----
+CARD_FORMS = {
+    "lean": [("IMPRESSIONS", "Total ad views"), ("CLICKS", "CTR: {ctr}%"), ("CONVERSIONS", "Completed actions"),
+             ("REVENUE", "Total earnings"), ("AD SPEND", "Investment"), ("ROI", "Return on investment")],
+    "slides": [("IMPRESSIONS", "Total ad views delivered"), ("CLICKS", "Click-through rate: {ctr}%"),
+               ("CONVERSIONS", "Completed actions"), ("REVENUE", "Total earnings generated"),
+               ("AD SPEND", "Marketing investment"), ("ROI", "Return on investment")],
+    "wide": [("Total Impressions", None), ("Total Clicks", None), ("Total Conversions", None), ("Total Revenue", None),
+             ("Total Spend", None), ("Overall ROI", None)],
+    "script": [("Impressions", None), ("Clicks", None), ("Conversions", None), ("Revenue", None), ("Spend", None),
+               ("ROI", None)],
+}
+
+# ---- fixed values: header of the alert lines, around the count ----
+ALERT_HEADER = ("ANOMALIES DETECTED: ", " unusual patterns identified")
+
+# ---- fixed values: the wide page's recommendations ----
+WIDE_PAGE_RECOMMENDATIONS = [
+    "Review campaigns with detected anomalies for potential optimization",
+    "Monitor underperforming campaigns closely over the next week",
+    "Consider A/B testing ad creatives for campaigns with declining CTR",
+    "Analyze high-performing campaigns to replicate success factors",
+    "Review budget allocation based on ROI performance",
+]
+
+# ---- fixed values: the wide summaries (the status line without its marks, which text sinks drop) ----
+SUMMARY_OVERVIEW = """## Performance Overview
+
+This automated report provides an analysis of your advertising campaign performance.
+
+**Key Metrics:**
+- Total Impressions: {impressions}
+- Total Clicks: {clicks}
+- Total Conversions: {conversions}
+- Total Revenue: {revenue}
+- Total Spend: {spend}
+- Overall ROI: {roi}
+
+**Summary:**
+The campaigns generated {revenue} in revenue against {spend} in ad spend, 
+resulting in a {roi} return on investment.
+
+Please review the detailed charts and anomaly analysis below for more insights.
+"""
+SUMMARY_STATUS = """## Executive Summary
+
+This report covers the performance analysis of your advertising campaigns.
+
+**Key Metrics:**
+- Total records analyzed: {records}
+- Anomalies detected: {findings}
+
+**Status:** {status}
+
+Please review the detailed charts and anomaly analysis below for more information.
+"""
+
+
 def display_name(metric: Column) -> Column:
     """Metric -> display text; unknown metrics keep their name."""
     m = F.create_map(*[F.lit(x) for kv in METRIC_DISPLAY_NAMES.items() for x in kv])

@@ -289,7 +289,8 @@ def q_forest_findings(spark, d):
 
 @register("context_json")
 def q_context_json(spark, d):
-    return _context(spark, d).select(F.to_json(F.struct("*")).alias("context"))
+    from adlens.plans.report_queries import _document
+    return _document(spark, d)
 
 
 @register("anomaly_json")

@@ -19,8 +19,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.functions.text import LEAN_DEFAULT_RECOMMENDATIONS, report_title
+from adlens.functions.text import LEAN_DEFAULT_RECOMMENDATIONS, WIDE_PAGE_RECOMMENDATIONS, report_title
 from adlens.operators import explain as X
+from adlens.operators import forms as O
 from adlens.operators import report as R
 from adlens.operators import rollups as A
 from adlens.operators import series as T
@@ -72,22 +73,26 @@ def analyze(df: DataFrame, profile: str = "lean", method: str = "iforest", conta
     findings = X.finding_text(X.explain_findings(scored, feats))
     kpis = A.kpi_totals(facts)
     mapping = spark.createDataFrame(rep.to_rows(), "source_column string, field string, how string")
-    recs = spark.createDataFrame(list(enumerate(LEAN_DEFAULT_RECOMMENDATIONS, start=1)), "pos int, recommendation string")
+    wide = profile == "wide"
+    lines = WIDE_PAGE_RECOMMENDATIONS if wide else LEAN_DEFAULT_RECOMMENDATIONS
+    recs = spark.createDataFrame(list(enumerate(lines, start=1)), "pos int, recommendation string")
     title = spark.range(1).select(report_title(F.lit(title_stem)).alias("title"))
     return {
         "mapping": mapping,
         "title": title,
         "kpis": kpis,
-        "kpi_cards": R.kpi_cards(kpis),
-        "daily": T.daily_roi(facts),
+        "kpi_cards": O.kpi_cards(kpis, "wide" if wide else "lean"),
+        "daily": T.daily_roi(facts, guarded=not wide),
         "campaigns": A.campaign_summary(facts),
-        "campaign_table": R.campaign_table(facts, 8, 18),
+        "campaign_table": O.campaign_table(facts, "wide" if wide else "lean"),
         "platforms": A.platform_share(facts) if "platform" in facts.columns else None,
         "alerts": X.row_alerts(scored.where("is_anomaly")),
         "findings": findings,
         "findings_summary": X.anomaly_summary(findings),
-        "findings_text": X.findings_text(findings, 5),
-        "summary": R.summary_text(facts, findings),
+        "alert_lines": O.alert_lines(findings, "wide" if wide else "lean"),
+        "findings_text": O.findings_short(findings, 5) if wide else X.findings_text(findings, 5),
+        "summary": O.overview_text(kpis) if wide else R.summary_text(facts, findings),
+        "status": O.status_text(facts, findings),
         "chart_series": R.chart_series(facts, 10),
         "recommendations": recs,
         "_facts": facts,
