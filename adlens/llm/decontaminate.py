@@ -34,12 +34,18 @@ def windows(items: DataFrame, item_col: str, text_col: str, window: int) -> Data
     """(item, len, grams): one row for each window of each item, ``grams`` its words."""
     w = items.select(F.col(item_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).filter("size(w) > 0")
     n = F.least(F.size("w"), F.lit(window))
-    return w.select("item", n.alias("len"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n))).alias("grams"))
+    return w.select("item", n.alias("len"), F.explode_outer(F.transform(
+        F.sequence(F.lit(0), F.size("w") - n), lambda i: F.transform(F.sequence(i, i + n - 1), lambda j: F.get("w", j)))).alias("grams"))
+
+
+def window_key(words_at: str, size: int, first: str = "0") -> str:
+    """SQL of the hash of ``size`` word hashes from a place; elements are read one by one, as slices copy the whole array."""
+    return "xxhash64(" + ", ".join(f"{words_at}[{first} + {k}]" for k in range(size)) + ")"
 
 
 def candidates(size: int, known: list[int], at: str) -> Column:
     """Positions (pos, len, g) of windows of ``size`` words whose hash is one of ``known``; ``at``: the word hashes."""
-    key = f"xxhash64(slice({at}, i + 1, {size}))"
+    key = window_key(at, size, "i")
     places = f"filter(sequence(0, size({at}) - {size}), i -> {key} in ({', '.join(map(str, known))}))"
     return F.expr(f"transform(if(size({at}) >= {size}, {places}, array()), i -> struct(int(i) as pos, {size} as len, {key} as g))")
 
@@ -49,14 +55,15 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col
     word_hash = lambda w: F.transform(w, lambda x: F.xxhash64(x))
     grams = materialize(
         windows(items, item_col, item_text, window).groupBy("grams", "len").agg(F.collect_set("item").alias("items"))
-        .withColumn("g", F.xxhash64(word_hash("grams"))), "grams")
+        .withColumn("wh", word_hash("grams"))
+        .withColumn("g", F.expr("CASE len " + " ".join(f"WHEN {k} THEN {window_key('wh', k)}" for k in range(1, window + 1)) + " END")).drop("wh"), "grams")
     n, size = grams.agg(F.count(F.lit(1)), F.sum(F.length(F.array_join("grams", " ")) + 8 * F.size("grams") + F.length(F.array_join("items", " ")) + 64)).first()
     small = n <= set_windows and (size or 0) <= broadcast_bytes
     lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())  # at most ``window`` values
     own = docs.select(id_key(F.col(id_col), F.col(text_col)).alias("did"), text_key(F.col(text_col)).alias("h"), words(F.col(text_col)).alias("w"))
     hashed = own.select("did", "h", "w", word_hash("w").alias("wh"))
     known = grams.select(F.col("g").alias("of"), F.col("len").alias("of_len"), "grams", F.xxhash64(F.lit(7), "grams").alias("g2"))
-    own_words = F.slice("w", F.col("pos") + 1, F.col("len"))
+    same_words = F.forall(F.sequence(F.lit(0), F.col("len") - 1), lambda k: F.get("w", F.col("pos") + k) == F.get("grams", k))
     nothing = F.array().cast("array<struct<pos:int,len:int,g:bigint>>")
     if small:
         by_len = {k: [r["g"] for r in grams.filter(F.col("len") == k).select("g").distinct().collect()] for k in lengths}
@@ -64,15 +71,17 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col
         one = at.select("did", "h", F.size("w").alias("n_words"), "x", F.when(F.size("x") > 0, F.col("w")).alias("w"))
         one = materialize(one, "looked_up")
         test = one.filter("size(x) > 0").select("did", "h", "w", F.inline("x"))
-        sure = test.join(F.broadcast(known), (F.col("g") == F.col("of")) & (F.col("len") == F.col("of_len")) & (own_words == F.col("grams")))
+        sure = test.join(F.broadcast(known), (F.col("g") == F.col("of")) & (F.col("len") == F.col("of_len")) & same_words)
         counts = one.select("did", "h", "n_words")
     else:
-        each = [F.expr(f"transform(if(size(wh) >= {k}, sequence(0, size(wh) - {k}), array()), i -> struct(int(i) as pos, {k} as len, xxhash64(slice(wh, i + 1, {k})) as g))") for k in lengths]
-        every = hashed.select("did", "h", F.concat(nothing, *each).alias("x")).select("did", "h", F.inline("x"))
+        each = [F.expr(f"transform(if(size(wh) >= {k}, sequence(0, size(wh) - {k}), array()), i -> struct(int(i) as pos, {k} as len, {window_key('wh', k, 'i')} as g))") for k in lengths]
+        every = hashed.select("did", "h", F.concat(nothing, *each).alias("x"))
+        # outer: the planner would test an inner generator's input first, computing all of it once more for each element
+        every = every.select("did", "h", F.inline_outer("x")).filter("pos is not null")
         maybe = materialize(every.join(known.select("of").distinct(), F.col("g") == F.col("of"), "left_semi"), "maybe")
         test = maybe.groupBy("did", "h").agg(F.collect_set(F.struct("pos", "len", "g")).alias("x"))
         test = own.join(test, ["did", "h"]).select("did", "h", "w", F.inline("x"))
-        sure = test.join(known, F.col("g") == F.col("of")).filter((F.col("len") == F.col("of_len")) & (own_words == F.col("grams")))
+        sure = test.join(known, F.col("g") == F.col("of")).filter((F.col("len") == F.col("of_len")) & same_words)
         counts = own.select("did", "h", F.size("w").alias("n_words"))
     sure = sure.select("did", "h", F.lit(None).cast("int").alias("n_words"), "pos", "len", "g", "g2")
     none = [F.lit(None).cast(t).alias(c) for c, t in (("pos", "int"), ("len", "int"), ("g", "long"), ("g2", "long"))]
@@ -108,7 +117,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_documents: bool = True, **kw) -> DataFrame:
     """``docs`` without contamination, all columns as they were: whole documents go, or only the hit words.
 
-    With ``whole_documents=False`` each hit word is cut out and what stands between words stays.
+    With ``whole_documents=False`` each hit word is cut out, and what stands after it up to the next word.
     """
     facts = materialize(contamination(docs, items, id_col, text_col, **kw), "contamination").filter("contaminated")
     if whole_documents:
@@ -120,9 +129,9 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
     cut = facts.select(F.col("_key").alias("_did"), F.col("_text").alias("_h"), F.col("spans").alias("_spans")).dropDuplicates(["_did", "_h"])
     any_word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     w, between = F.regexp_extract_all(text_col, F.lit(any_word), F.lit(0)), F.split(text_col, any_word, -1)
-    joined = own.join(cut, ["_did", "_h"], "left").withColumn("_w", F.when(F.col("_spans").isNotNull(), w)).withColumn("_b", F.when(F.col("_spans").isNotNull(), between))
-    text = F.array_join(F.transform(F.sequence(F.lit(0), F.size("_w")), lambda i: F.concat(
-        F.element_at("_b", i + 1), F.when(i < F.size("_w"), F.try_element_at("_keep", i + 1)).otherwise(""))), "")
-    kept = F.transform(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.when(F.exists("_spans", lambda s: (s["pos"] <= i) & (i < s["end"])), "").otherwise(F.element_at("_w", i + 1)))
-    joined = joined.withColumn("_keep", F.when(F.col("_spans").isNotNull(), kept))
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNotNull(), text).otherwise(F.col(text_col))).select(*docs.columns)
+    hit = F.col("_spans").isNotNull()
+    joined = own.join(cut, ["_did", "_h"], "left").withColumn("_w", F.when(hit, w)).withColumn("_b", F.when(hit, between))
+    gone = F.flatten(F.transform("_spans", lambda s: F.sequence(s["pos"], s["end"] - 1)))
+    joined = joined.withColumn("_stay", F.array_except(F.sequence(F.lit(0), F.size("_w") - 1), gone))
+    text = F.concat(F.get("_b", F.lit(0)), F.array_join(F.transform("_stay", lambda i: F.concat(F.get("_w", i), F.get("_b", i + 1))), ""))
+    return joined.withColumn(text_col, F.when(hit, text).otherwise(F.col(text_col))).select(*docs.columns)

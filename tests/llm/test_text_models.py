@@ -45,7 +45,7 @@ def test_scores_don_t_depend_on_how_texts_are_cut_into_steps(monkeypatch):
 
 
 def test_statistics_are_those_of_each_text():
-    texts = [b"", b"  \n ", b"Ab cd cd. Ab\nline two\nline two", "É 12 $$".encode()]
+    texts = [b"", b"  \n ", b"Ab cd cd Ab.\nline two\nline two", "É 12 $$".encode()]
     raw, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
     s = quality.statistics(raw, off)
     assert not s[0].any() and not s[1].any()
