@@ -23,7 +23,6 @@ Work is O(n log L) for the longest chain L; no pairs within a key are formed.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -73,33 +72,22 @@ def cooldown_keep(df: DataFrame, key: str, ts: str, seconds: float, id_col: str)
     probes = r.where("kind = 0").select("id", F.col("before").alias("cand"))
     owner = events.select(F.col("idx").alias("cand"), F.col("k").alias("ck"))
     j = (
-        events.join(probes, "id").join(owner, "cand", "left")
-        .select("idx", F.when(F.col("ck") == F.col("k"), F.col("cand")).alias("nxt"))
+        events.join(probes, "id").join(owner, "cand").where(F.col("ck") == F.col("k"))
+        .select("idx", F.col("cand").alias("nxt"))
         .checkpoint(eager=True)
     )
     jumps = [j]
-    while jumps[-1].where(F.col("nxt").isNotNull()).limit(1).count() > 0:
+    while not jumps[-1].isEmpty():  # finished chains have no row, so no null key gathers them
         if len(jumps) > 64:  # next always points forward, so 2^64 covers any table
             raise RuntimeError("pointer doubling did not converge")
         a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
-        nj = a.join(b, F.col("a.nxt") == F.col("b.idx"), "left").select(
+        nj = a.join(b, F.col("a.nxt") == F.col("b.idx")).select(
             F.col("a.idx").alias("idx"), F.col("b.nxt").alias("nxt")).checkpoint(eager=True)
         jumps.append(nj)
-    # jumps[-1] is all-null: the chains are shorter than 2^(len-1)
+    # jumps[-1] is empty: the chains are shorter than 2^(len-1)
     chain = events.groupBy("k").agg(F.min("idx").alias("idx")).select("idx").checkpoint(eager=True)
     for jk in reversed(jumps[:-1]):
-        step = chain.join(jk, "idx").where(F.col("nxt").isNotNull()).select(F.col("nxt").alias("idx"))
+        step = chain.join(jk, "idx").select(F.col("nxt").alias("idx"))
         chain = chain.unionByName(step).checkpoint(eager=True)
     kept_ids = events.join(chain, "idx", "left_semi").select(F.col("id").alias("__kid"))
     return df.join(kept_ids, F.col(id_col) == F.col("__kid"), "left_semi")
-
-
-def cooldown_keep_small(pdf: pd.DataFrame, key: str, ts: str, seconds: float, id_col: str) -> pd.DataFrame:
-    """Reference implementation for tests: the rule applied row by row."""
-    out, last = [], {}
-    for _, row in pdf.sort_values([key, ts, id_col]).iterrows():
-        k, t = row[key], pd.Timestamp(row[ts])
-        if k not in last or (t - last[k]).total_seconds() >= seconds:
-            last[k] = t
-            out.append(row)
-    return pd.DataFrame(out, columns=pdf.columns)

@@ -5,7 +5,18 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 
-from adlens.operators.cooldown import cooldown_keep, cooldown_keep_small
+from adlens.operators.cooldown import cooldown_keep
+
+
+def cooldown_keep_small(pdf: pd.DataFrame, key: str, ts: str, seconds: float, id_col: str) -> pd.DataFrame:
+    """The rule applied row by row."""
+    out, last = [], {}
+    for _, row in pdf.sort_values([key, ts, id_col]).iterrows():
+        k, t = row[key], pd.Timestamp(row[ts])
+        if k not in last or (t - last[k]).total_seconds() >= seconds:
+            last[k] = t
+            out.append(row)
+    return pd.DataFrame(out, columns=pdf.columns)
 
 
 def test_matches_sequential_rule_with_hot_key(spark):
