@@ -18,7 +18,7 @@ columns are never read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_key, materialize, text_key
@@ -51,6 +51,11 @@ WORD = "[a-z0-9]+"
 CUT = 0.6
 
 
+def literal_rows(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
+    """A table of constants as part of the plan (lists handed over from Python would be read by Python on the executors)."""
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names.split(), r, strict=True)]) for r in rows])))
+
+
 def line_words(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
 
@@ -58,7 +63,7 @@ def line_words(line: Column) -> Column:
 def own_licenses(files: DataFrame, cut: float) -> DataFrame:
     """(did, h, license, score) of files whose best template reaches ``cut``. ``files``: (did, h, text)."""
     spark = files.sparkSession
-    notices = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "t int, name string, text string")
+    notices = literal_rows(spark, "t name text", [(i, name, text) for i, (name, text) in enumerate(TEMPLATES)])
     in_template = notices.select("t", "name", F.explode(line_words(F.col("text"))).alias("term")).groupBy("t", "name", "term").agg(F.count(F.lit(1)).alias("n"))
     vocabulary = sorted({r["term"] for r in in_template.select("term").collect()})  # of fixed size
 
@@ -70,7 +75,7 @@ def own_licenses(files: DataFrame, cut: float) -> DataFrame:
     seen = {r["term"]: r["n"] for r in known.select("did", "h", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_files = counts.select("did", "h").distinct().count()
 
-    of_word = spark.createDataFrame([(w, seen.get(w, 0)) for w in vocabulary], "term string, df long")
+    of_word = literal_rows(spark, "term df", [(w, seen.get(w, 0)) for w in vocabulary]).withColumn("df", F.col("df").cast("long"))
     idf = F.log((F.lit(1.0) + n_files) / (F.lit(1.0) + F.coalesce("df", F.lit(0)))) + 1.0
     template = in_template.join(of_word, "term").withColumn("w", F.col("n") * idf)
     norms = template.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
