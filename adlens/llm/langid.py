@@ -137,8 +137,12 @@ class LanguageModel:
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = 4000) -> LanguageModel:
     """Learns from ``sample`` of the rows at most: those of least hash of the id, texts counted whole."""
-    own = rows.select(F.col(lang_col).alias("lang"), lowered(F.col(text_col)).alias("body"), F.col(text_col).alias("t"), F.col(id_col).alias("id"))
-    own = own.filter("lang is not null and t is not null").orderBy(F.xxhash64("id"), F.xxhash64("t")).limit(sample).select("lang", "body")
+    order = F.xxhash64(F.col(id_col)).alias("o")
+    usable = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    # the sample's greatest hash first, so that no text but the sample's is sorted or sent
+    last = usable.select(order).orderBy("o").limit(sample).agg(F.max("o")).first()[0]
+    own = usable.select(F.col(lang_col).alias("lang"), lowered(F.col(text_col)).alias("body"), order)
+    own = own.filter(F.col("o") <= F.lit(last).cast("long")).orderBy("o", F.xxhash64("body")).limit(sample).select("lang", "body")
     got = own.mapInArrow(_count, "lang string, at binary, share binary").toArrow()
     lang = got.column("lang").to_pylist()
     langs = sorted(set(lang))
