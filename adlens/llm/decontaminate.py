@@ -124,7 +124,8 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
         # ids can be null or repeated, so the text's hash goes with them
         own = docs.withColumn("_did", id_key(F.col(id_col), F.col(text_col))).withColumn("_h", text_key(F.col(text_col)))
         bad = facts.select(F.col("_key").alias("_did"), F.col("_text").alias("_h")).distinct()
-        return own.join(bad, ["_did", "_h"], "left_anti").select(*docs.columns)
+        # contaminated documents can be any share of all, so the plan is a merge join at every size
+        return own.join(bad.hint("merge"), ["_did", "_h"], "left_anti").select(*docs.columns)
     own = docs.withColumn("_did", id_key(F.col(id_col), F.col(text_col))).withColumn("_h", text_key(F.col(text_col)))
     cut = facts.select(F.col("_key").alias("_did"), F.col("_text").alias("_h"), F.col("spans").alias("_spans")).dropDuplicates(["_did", "_h"])
     any_word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

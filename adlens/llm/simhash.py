@@ -293,7 +293,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = simhash_groups(docs, id_col, text_col, shingle, distance)
     keep = materialize(groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count(F.lit(1)).alias("_rows")), "keep")
     same = docs[id_col].cast("long") == F.col("_kept_id")
-    kept = docs.join(keep.filter("_rows = 1"), same, "left_semi").unionByName(docs.filter(docs[id_col].isNull()))
+    # the ids kept are as many as the documents, so the plan is a merge join at every size
+    kept = docs.join(keep.filter("_rows = 1").hint("merge"), same, "left_semi").unionByName(docs.filter(docs[id_col].isNull()))
     if keep.filter("_rows > 1").isEmpty():
         return kept
     return kept.unionByName(docs.join(keep.filter("_rows > 1"), same, "left_semi").dropDuplicates([id_col]))
