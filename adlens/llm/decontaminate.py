@@ -117,7 +117,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_documents: bool = True, **kw) -> DataFrame:
     """``docs`` without contamination, all columns as they were: whole documents go, or only the hit words.
 
-    With ``whole_documents=False`` each hit word is cut out, and what stands after it up to the next word.
+    With ``whole_documents=False`` each hit word is cut out and what stands between words stays.
     """
     facts = materialize(contamination(docs, items, id_col, text_col, **kw), "contamination").filter("contaminated")
     if whole_documents:
@@ -134,5 +134,8 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
     joined = own.join(cut, ["_did", "_h"], "left").withColumn("_w", F.when(hit, w)).withColumn("_b", F.when(hit, between))
     gone = F.flatten(F.transform("_spans", lambda s: F.sequence(s["pos"], s["end"] - 1)))
     joined = joined.withColumn("_stay", F.array_except(F.sequence(F.lit(0), F.size("_w") - 1), gone))
-    text = F.concat(F.get("_b", F.lit(0)), F.array_join(F.transform("_stay", lambda i: F.concat(F.get("_w", i), F.get("_b", i + 1))), ""))
+    # what stands before word i goes to place 2i, the word itself, if it stays, to 2i + 1
+    apart = F.transform(F.sequence(F.lit(0), F.size("_w")), lambda i: F.struct((i * 2).alias("at"), F.get("_b", i).alias("t")))
+    words_left = F.transform("_stay", lambda i: F.struct((i * 2 + 1).alias("at"), F.get("_w", i).alias("t")))
+    text = F.array_join(F.transform(F.array_sort(F.concat(apart, words_left)), lambda x: x["t"]), "")
     return joined.withColumn(text_col, F.when(hit, text).otherwise(F.col(text_col))).select(*docs.columns)
