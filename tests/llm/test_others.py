@@ -83,6 +83,18 @@ def test_license_inheritance(spark):
     assert licenses.scan_licenses(files.limit(0), F.lit(True)).count() == 0
 
 
+def test_license_query_inherits_where_texts_open_with_a_licence(spark, sf_small, tmp_dir):
+    # in the sf tables a licence line is always the last one; the check tables also have it first, as here
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").withColumn(
+        "text", F.when(F.col("doc_id") % 40 == 7, F.concat(F.lit("Licensed under CC BY-NC 4.0.\n"), "text")).otherwise(F.col("text")))
+    docs.write.parquet(f"{tmp_dir}/documents.parquet")
+    con = duck(sf_small)
+    con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{tmp_dir}/documents.parquet/*.parquet')")
+    name = "op9_license_scan"
+    assert QUERIES[name](spark, tmp_dir).where("inherited_from IS NOT NULL AND license = 'CC-BY-NC-4.0'").count() > 0
+    assert compare(spark, con, name, QUERIES[name], ORACLES[name], tmp_dir)
+
+
 def test_pipeline_stages(spark, sf_small):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet")
     names = docs.columns
