@@ -9,7 +9,7 @@ most ``set_windows`` windows and ``broadcast_bytes`` bytes; beyond that the hash
 join instead and hits are verified in a second one, with the same result.
 
 Defined cases: null, empty and word-free texts have no words and no hit; a null or word-free item has no window;
-items that repeat an id are one item; items with equal windows are all counted; a repeated document row is
+items that repeat an id are one item; an item without an id hits, but isn't among a document's items; items with equal windows are all counted; a repeated document row is
 counted once for itself (rows are told apart by id and text); empty tables give no hits; other columns are never
 read.
 """
@@ -102,7 +102,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     covered = F.aggregate(
         "p", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
         lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["pos"], s["to"]))).alias("n"), F.greatest(s["to"], x["end"]).alias("to")))
-    marks = places.join(which, ["did", "h"]).select("did", "h", "items", F.col("p").alias("spans"), covered["n"].alias("n_hit"))
+    # windows that only items without an id hold have no name in ``which``, but are hits like any other
+    marks = places.join(which, ["did", "h"], "left").select("did", "h", "items", F.col("p").alias("spans"), covered["n"].alias("n_hit"))
     sizes = found.filter("pos is null").groupBy("did", "h").agg(F.max("n_words").alias("n_words"))
     facts = materialize(sizes.join(marks, ["did", "h"], "left"), "facts")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), id_key(F.col(id_col), F.col(text_col)).alias("did"), text_key(F.col(text_col)).alias("h"))

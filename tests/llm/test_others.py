@@ -35,6 +35,14 @@ def test_decontamination_of_awkward_rows(spark, edge_docs, set_windows):
     assert decontaminate.contamination(edge_docs.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize("set_windows", [50_000, 0])
+def test_decontamination_by_items_without_an_id(spark, edge_docs, set_windows):
+    items = spark.createDataFrame([(None, "The cat sat on the mat and looked at the dog."), (1, "one two")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(edge_docs, items, set_windows=set_windows).collect()}
+    assert [(got[i].n_hit, got[i].n_items, got[i].contaminated) for i in (3, 4, 5, 6)] == [(2, 1, True), (11, 0, True), (11, 0, True), (0, 0, False)]
+    assert not {3, 4, 5} & {r.doc_id for r in decontaminate.remove_contaminated(edge_docs, items, set_windows=set_windows).collect()}
+
+
 def test_nearest_of_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.9, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]),
