@@ -20,3 +20,8 @@ def edge_docs(spark):
         (10, "UPPER case Text with 123 numbers, marks! and <|endoftext|> in it"), (11, "日本語 の テキスト"),
     ]
     return spark.createDataFrame([(i, t, "c", 1.0, "s") for i, t in rows], "doc_id long, text string, did string, h double, spans string")
+
+
+@pytest.fixture(scope="session")
+def sf_mid():
+    return "/root/testdata/sf0.01"
