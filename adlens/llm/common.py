@@ -40,6 +40,16 @@ def text_key(col: Column) -> Column:
     return F.coalesce(F.hash(col), F.lit(0))
 
 
+def hash_sample(rows: DataFrame, key: Column, size: int) -> DataFrame:
+    """About ``size`` of the distinct keys of ``rows``, with all their rows and the key's hash as column ``o``.
+
+    The number of keys comes from a sketch and sets a cut that hashes must lie below, so nothing is sorted or gathered.
+    """
+    hashed = rows.withColumn("o", key)
+    n = hashed.agg(F.approx_count_distinct("o", 0.02)).first()[0]
+    return hashed if n <= size else hashed.filter(F.col("o") < int(size / n * 2**64) - 2**63)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

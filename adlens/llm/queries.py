@@ -88,7 +88,7 @@ def vocabulary(name: str) -> str:
 
 
 def fold(n: int):
-    """crc32 of the id as text, modulo n."""
+    """crc32 of the id as text, modulo n; null without an id."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
@@ -96,7 +96,7 @@ def fold(n: int):
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(fold(4) != 2))
-    return langid.predict(docs, model, more={"held_out": fold(4) == 2}).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+    return langid.predict(docs, model, more={"held_out": F.coalesce(fold(4) == 2, F.lit(False))}).select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
 @query
@@ -114,7 +114,7 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score_documents(docs, table(spark, sf_dir, "labels"), fold(5) != 0, fold(5) == 1)
-    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @query
