@@ -79,6 +79,24 @@ def steps(offsets: np.ndarray, size: int = STEP_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
+SPACES = b" \t\n\r\x0b\x0c"
+
+
+def text_parts(body: memoryview, size: int = STEP_BYTES) -> Iterator[bytes]:
+    """One text in parts of about ``size`` bytes that end at white space, as far as it has any."""
+    at = 0
+    while at < len(body):
+        end = min(at + size, len(body))
+        held = [bytes(body[at:end])]
+        while end < len(body) and body[end] not in SPACES:  # to the end of the word
+            more = bytes(body[end : end + 4096])
+            cut = next((i for i, b in enumerate(more) if b in SPACES), len(more))
+            held.append(more[:cut])
+            end += cut
+        yield b"".join(held)
+        at = end
+
+
 def arrow_rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 

@@ -1,7 +1,8 @@
 """Hashes of any substring and minimiser runs over symbol arrays, in numpy.
 
 A text is an array of random 64-bit symbol values. The hash of symbols i..j-1 is a polynomial in an odd
-base modulo 2**64, read from one running sum, so that any k-gram, window or run costs O(1).
+base modulo 2**64, read from one running sum, so that any k-gram costs O(1). Such sums can be made to collide, so
+they only choose places and buckets; nothing counts as equal by them alone.
 """
 
 from __future__ import annotations
@@ -79,26 +80,23 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def minimiser_runs(values: tuple[np.ndarray, np.ndarray], doc_start: np.ndarray, doc_end: np.ndarray, window: int, k: int):
+def minimiser_runs(values: np.ndarray, doc_start: np.ndarray, doc_end: np.ndarray, window: int, k: int):
     """Runs of consecutive windows that share one minimiser.
 
-    ``values``: the two value arrays of all symbols, documents end to end (2**22 symbols at most);
-    document d holds symbols doc_start[d]..doc_end[d]-1. Returns arrays (doc, first window's symbol,
-    number of windows, minimiser hash, hash of the run's whole string, place of the minimiser).
+    ``values``: the values of all symbols, documents end to end (2**22 symbols at most); document d holds symbols
+    doc_start[d]..doc_end[d]-1. Returns arrays (doc, first window's symbol, number of windows, minimiser hash).
     The minimiser is the k-gram of least hash, leftmost if tied: equal windows have equal minimisers,
     and within one run no two windows are equal.
     """
-    first = Hasher(values[0], 0)
-    grams = first.grams(k)
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U, np.int64))
-    if len(values[0]) > 1 << POS_BITS:
+    grams = Hasher(values, 0).grams(k)
+    if len(values) > 1 << POS_BITS:
         raise ValueError("too many symbols in one step")
     low = U((1 << POS_BITS) - 1)
     best = sliding_min((grams & ~low) | np.arange(len(grams), dtype=U), window - k + 1)
     counts = np.maximum(doc_end - doc_start - window + 1, 0)
     at = ranges_of(doc_start, counts)
     if not len(at):
-        return empty
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U))
     doc = np.repeat(np.arange(len(counts)), counts)
     place = (best[at] & low).astype(np.int64)
     new = np.empty(len(at), bool)
@@ -106,10 +104,7 @@ def minimiser_runs(values: tuple[np.ndarray, np.ndarray], doc_start: np.ndarray,
     np.not_equal(place[1:], place[:-1], out=new[1:])
     new[1:] |= doc[1:] != doc[:-1]
     head = np.flatnonzero(new)
-    n_win = np.diff(np.append(head, len(at)))
-    start = at[head]
-    string = Hasher(values[1], 1).spans(start, start + n_win + window - 1)
-    return doc[head], start, n_win, grams[place[head]], string, place[head]
+    return doc[head], at[head], np.diff(np.append(head, len(at))), grams[place[head]]
 
 
 def ranges_of(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

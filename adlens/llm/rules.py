@@ -6,8 +6,8 @@ Features named in ``FALLING`` are monotonic: a higher share never raises a score
 taken, and the values below a split are bounded by the middle of its two sides, so that the whole tree keeps it. The
 trees are flattened into numpy arrays of nodes, through which all rows of a batch walk together, level by level.
 
-Training rows are a bounded, documented sample: rows with a label whose id hash lies below a cut, set from their
-number so that ``sample`` of them are expected to pass (all, if there are fewer). Counts cover whole texts.
+Training rows are a bounded, documented sample: about ``sample`` different rows with a label, by a cut on their hash
+(all, if there are fewer). Counts cover whole texts.
 
 Words and lines are compared as they are, never by a hash: words are numbered in order of first occurrence, and a
 window of three words is a key of three such numbers.
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, buffers, materialize
+from .common import SPACES, arrow_rows, buffers, hash_sample, materialize, text_parts
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("log_words", "word_length", "symbol_share", "dup_line_share", "repeat_word_share", "upper_share", "digit_share", "exclaim_share",
@@ -40,31 +40,15 @@ FEATURES = ("log_words", "word_length", "symbol_share", "dup_line_share", "repea
 FALLING = ("symbol_share", "dup_line_share", "repeat_word_share")
 SYMBOLS = b"#*$%&|<>"
 MARKS = b".,;:'\"()-?"
-SPACES = b" \t\n\r\x0b\x0c"
 PART_BYTES = 1 << 20
 STATS = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in COUNTS], ("x", pa.binary())])
 STATS_DDL = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", x binary"
 
 
-def parts(body: memoryview) -> Iterator[bytes]:
-    """The text in parts of about a megabyte that end at white space, as far as it has any."""
-    at = 0
-    while at < len(body):
-        end = min(at + PART_BYTES, len(body))
-        held = [bytes(body[at:end])]
-        while end < len(body) and body[end] not in SPACES:  # to the end of the word
-            more = bytes(body[end : end + 4096])
-            cut = next((i for i, b in enumerate(more) if b in SPACES), len(more))
-            held.append(more[:cut])
-            end += cut
-        yield b"".join(held)
-        at = end
-
-
 def word_numbers(body: memoryview) -> tuple[np.ndarray, int]:
     """Each word's number in order of first occurrence, and how many differ."""
     number: dict[bytes, int] = defaultdict(itertools.count().__next__)
-    ids = [np.fromiter(map(number.__getitem__, part.split()), np.int32) for part in parts(body)]
+    ids = [np.fromiter(map(number.__getitem__, part.split()), np.int32) for part in text_parts(body, PART_BYTES)]
     return np.concatenate(ids) if ids else np.zeros(0, np.int32), len(number)
 
 
@@ -242,11 +226,9 @@ def train(x: np.ndarray, y: np.ndarray, falling: tuple[str, ...] = FALLING, roun
 def fit(stats: DataFrame, labels: DataFrame, train_rows: Column, label_id: str = "doc_id", label_col: str = "quality", sample: int = 20_000) -> Trees:
     """Learns from about ``sample`` labelled rows of ``stats`` at most. ``train_rows``: a test of the column doc_id."""
     marks = labels.select(F.col(label_id).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).filter("y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
-    rows = materialize(stats.select("doc_id", "x").join(marks, "doc_id").filter(train_rows).select("x", "y", F.xxhash64("doc_id").alias("o")), "labelled")
-    n = rows.count()
-    if n > sample:
-        rows = rows.filter(F.col("o") < int(sample / n * 2**64) - 2**63)
-    got = rows.select("x", "y").orderBy("x", "y").toArrow()  # one order, so that sums don't depend on partitions
+    rows = materialize(stats.select("doc_id", "x").join(marks, "doc_id").filter(train_rows).select("doc_id", "x", "y"), "labelled")
+    # equal rows are one; in one order, so that sums don't depend on partitions
+    got = hash_sample(rows, F.xxhash64("doc_id", "x"), sample).select("x", "y", "o").distinct().orderBy("o", "y").toArrow()
     x = buffers(got.column("x"))[0].view(np.float32).reshape(-1, len(FEATURES))
     return train(x, (got.column("y").to_numpy() > 0.5).astype(np.float64))
 
