@@ -2,8 +2,8 @@
 
 Both supported kinds of tokenizer cut a text at spaces before anything else, so a text's ids are those of its
 space-separated parts, end to end. Parts are looked up in a cache of bounded size that lives as long as the Python
-worker; unknown parts are pre-tokenized and handed to the library's model. Texts of any other tokenizer are encoded
-as a whole. Strings of special tokens are ordinary text.
+worker; unknown parts are pre-tokenized and handed to the library's model. Texts of any other tokenizer, and texts
+that may hold the string of an added token (which the library looks for before all else), are encoded as a whole.
 """
 
 from __future__ import annotations
@@ -37,7 +37,6 @@ class Encoder:
         with open(path, "rb") as f:
             spec = json.load(f)
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.tok.no_truncation()
         self.tok.no_padding()
         self.model = self.tok.model
@@ -50,6 +49,10 @@ class Encoder:
             parts = pre.get("pretokenizers", [])
             if [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": WORD_LEVEL} and parts[0]["invert"] and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"]:
                 self.kind, self.pattern = "word", regex.compile(WORD_LEVEL)
+        # added tokens are found by their first two characters; where those could change case, no text is cut
+        self.added = sorted({x["content"][:2] for x in spec.get("added_tokens") or ()})
+        if any(len(x) < 2 or x.lower() != x.upper() or any(c.isspace() for c in x) for x in self.added):
+            self.kind = "other"
         if spec["model"].get("type") != "BPE" or spec["model"].get("dropout"):
             self.kind = "other"
         self.cache: dict[str, bytes] = {}  # word kind: parts; byte kind: parts after a blank
@@ -92,7 +95,7 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """Ids of the text as little-endian unsigned 32-bit integers."""
-        if self.kind == "other":
+        if self.kind == "other" or any(x in text for x in self.added):
             return self.whole(text)
         cache = self.cache
         if self.kind == "word":

@@ -15,8 +15,8 @@ Links needn't be listed in full: only components are asked for, so a (code, node
 node's codes all belong to the code's component already. No link between components is lost by that.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; equal fingerprints are
-one code; a null id is its own document but can't be a component's name; an empty table gives an empty table;
-other columns are never read.
+one code; a null id is its own document but can't be a component's name; rows that repeat an id are documents of their
+own, each with its text; an empty table gives an empty table; other columns are never read.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, buffers, materialize
+from .common import arrow_rows, buffers, materialize, text_key
 from .graph import components
 
 SHINGLE = 4
@@ -69,6 +69,16 @@ def _prints(shingle: int):
     return run
 
 
+def _keyed_prints(shingle: int):
+    """Fingerprints beside the columns that tell rows apart."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = buffers(batch.column("body"))
+            codes = np.fromiter((fingerprint(raw[a:b].tobytes(), shingle) for a, b in zip(offsets[:-1], offsets[1:], strict=True)), np.uint64, len(batch))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "did", "h")], pa.array(codes.view(np.int64))], names=["id", "did", "h", "code"])
+    return run
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, code): the fingerprint of every row as a signed long."""
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("body"))
@@ -272,29 +282,45 @@ def near_links(codes: DataFrame, distance: int = DISTANCE, max_block: int = 4096
     return found
 
 
+def code_roots(codes: DataFrame, distance: int) -> DataFrame:
+    """(code, ..., root): each distinct code with the least code of its component."""
+    roots = materialize(components(near_links(codes.select("code"), distance)), "roots")
+    return codes.join(roots, codes["code"] == roots["node"], "left").select(*codes.columns, F.coalesce("root", "code").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One row for each document: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable)."""
     prints = materialize(fingerprints(docs, id_col, text_col, shingle), "prints")
     codes = materialize(prints.groupBy("code").agg(F.min("doc_id").alias("least")), "codes")
-    roots = materialize(components(near_links(codes.select("code"), distance)), "roots")
     # the least doc_id of each component, then of each code
-    tagged = materialize(codes.join(roots, codes["code"] == roots["node"], "left").select("code", "least", F.coalesce("root", "code").alias("root")), "tagged")
+    tagged = materialize(code_roots(codes, distance), "tagged")
     named = materialize(tagged.groupBy("root").agg(F.min("least").alias("component_id")), "named")
     of_code = materialize(tagged.select("code", "root").join(named, "root").select("code", "component_id"), "of_code")
     return prints.join(of_code, "code").select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` with the least id of their group, all columns as they were.
+    """One row of each group of near duplicates, all columns as they were: that of the least id, rows without an id last.
 
-    Rows that repeat an id are one document, of which one row stays. Rows without an id can't be told apart from
-    each other, so they are left in place.
+    Rows are told apart by id and text together, so texts of different groups stay though they share an id. Of rows
+    that are equal in both, one stays.
     """
-    groups = simhash_groups(docs, id_col, text_col, shingle, distance)
-    keep = materialize(groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count(F.lit(1)).alias("_rows")), "keep")
-    same = docs[id_col].cast("long") == F.col("_kept_id")
-    # the ids kept are as many as the documents, so the plan is a merge join at every size
-    kept = docs.join(keep.filter("_rows = 1").hint("merge"), same, "left_semi").unionByName(docs.filter(docs[id_col].isNull()))
-    if keep.filter("_rows > 1").isEmpty():
-        return kept
-    return kept.unionByName(docs.join(keep.filter("_rows > 1"), same, "left_semi").dropDuplicates([id_col]))
+    names = docs.columns
+    inner = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]  # whatever the columns are called
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("did"), text_key(F.col(text_col)).alias("h"),
+                      F.col(text_col).cast("binary").alias("body"))
+    prints = materialize(own.mapInArrow(_keyed_prints(shingle), "id long, did long, h int, code long"), "prints")
+    # what a code's rows choose first: a row with an id, the least, then by hash
+    order = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "did", "h")).alias("row")
+    codes = materialize(prints.groupBy("code").agg(order), "codes")
+    chosen = code_roots(codes, distance).groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.did").alias("_did"), F.col("row.h").alias("_h"))
+    chosen = materialize(chosen, "chosen")
+    repeats = materialize(prints.groupBy(F.col("did").alias("_did"), F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeats")
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("_did"), text_key(F.col(text_col)).alias("_h"), *inner)
+    out = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
+    # the rows kept are as many as the documents, so the plan is a merge join at every size
+    if repeats.isEmpty():
+        return rows.join(chosen.hint("merge"), ["_did", "_h"], "left_semi").select(*out)
+    alone = chosen.join(repeats, ["_did", "_h"], "left_anti")
+    first = rows.join(chosen.join(repeats, ["_did", "_h"], "left_semi"), ["_did", "_h"], "left_semi").dropDuplicates(["_did", "_h"])
+    return rows.join(alone.hint("merge"), ["_did", "_h"], "left_semi").unionByName(first).select(*out)

@@ -86,4 +86,14 @@ def test_awkward_rows(spark, edge_docs):
     assert kept.columns == edge_docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted({v for k, v in by.items() if k is not None and v == k})
-    assert S.simhash_groups(edge_docs.limit(0)).count() == 0
+    assert S.simhash_groups(edge_docs.limit(0)).count() == 0 and S.simhash_dedup(edge_docs.limit(0)).count() == 0
+
+
+def test_dedup_tells_rows_apart_by_id_and_text(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in ("a", "b", "c"))
+    rows = [(7, one), (7, two), (None, three), (None, three), (9, two), (7, one), (None, one), (None, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, _did int, code string")
+    got = S.simhash_dedup(df)
+    assert got.columns == df.columns
+    found = sorted((str(r.doc_id), r.text or "") for r in got.collect())
+    assert found == sorted([("7", one), ("7", two), ("None", three), ("None", "")])

@@ -20,12 +20,14 @@ FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 def test_encoder_equals_the_library(name):
     random.seed(1)
     letters = "ab Z'sté\n\t  .,!9½ŉſ中Σσς ́ẞ\x1f\x85 İd'll <|endoftext|>"
-    e = Encoder(public_tokenizers.path(name))
+    e, tok = Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))  # as it comes
     assert e.kind in ("byte", "word")
+    for t in ("a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y <|", "a <|ENDOFTEXT|> b", "<|endoftext|> <|endoftext|>\n", "| a <| b |"):
+        assert np.frombuffer(e(t), np.uint32).tolist() == tok.encode(t, add_special_tokens=False).ids, t
     for i in range(6000):
         t = "".join(random.choice(letters) for _ in range(random.randint(0, 30)))
         t = "  ".join([t] * 3) if i % 10 == 0 else t
-        assert np.frombuffer(e(t), np.uint32).tolist() == e.tok.encode(t, add_special_tokens=False).ids, repr(t)
+        assert np.frombuffer(e(t), np.uint32).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_record_round_trip_and_damage(tmp_path):
@@ -44,7 +46,6 @@ def test_record_round_trip_and_damage(tmp_path):
 def test_records_of_awkward_rows(spark, edge_docs):
     path = public_tokenizers.path(FILES[0])
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     folder = scratch_dir(spark, "test-records")
     docs = edge_docs.repartition(3)
     manifest = token_records.write_records(docs, path, folder)
@@ -78,7 +79,6 @@ def check_packed(rows, length):
 def test_packing_of_awkward_rows(spark, edge_docs):
     path = public_tokenizers.path(FILES[1])
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     rows = packing.pack(edge_docs.repartition(4), path, length=512).collect()
     check_packed(rows, 512)
     want = sorted(((r.doc_id is not None, r.doc_id or 0), tok.encode(r.text or "", add_special_tokens=False).ids + [1]) for r in edge_docs.collect())
