@@ -51,17 +51,6 @@ NO_FINDINGS_SHORT = "No anomalies detected."
 STATUS_ATTENTION = "Attention needed - anomalies detected"
 STATUS_NORMAL = "All metrics within normal range"
 
-# ---- fixed values: KPI card labels and subtitles (lean PDF) ----
-KPI_CARDS = [
-    ("IMPRESSIONS", "Total ad views"),
-    ("CLICKS", None),  # subtitle is "CTR: x.xx%"
-    ("CONVERSIONS", "Completed actions"),
-    ("REVENUE", "Total earnings"),
-    ("AD SPEND", "Investment"),
-    ("ROI", "Return on investment"),
-]
-
-
 # ---- fixed values: KPI card labels and subtitles of each form ({ctr}: the click rate) ----
 CARD_FORMS = {
     "lean": [("IMPRESSIONS", "Total ad views"), ("CLICKS", "CTR: {ctr}%"), ("CONVERSIONS", "Completed actions"),
@@ -75,8 +64,14 @@ CARD_FORMS = {
                ("ROI", None)],
 }
 
-# ---- fixed values: header of the alert lines, around the count ----
-ALERT_HEADER = ("ANOMALIES DETECTED: ", " unusual patterns identified")
+# ---- fixed values: header of the alert lines of each form ----
+ALERT_HEADERS = {
+    "lean": "ANOMALIES DETECTED ({n})",
+    "slides": "ANOMALIES DETECTED: {n} unusual patterns identified",
+    "script": "Anomaly Alerts ({n} detected)",
+    "wide": "{n} anomalies detected during the reporting period:",
+    "quick": "ANOMALIES DETECTED ({n})",
+}
 
 # ---- fixed values: the wide page's recommendations ----
 WIDE_PAGE_RECOMMENDATIONS = [

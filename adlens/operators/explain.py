@@ -17,6 +17,7 @@ from adlens.functions.text import (
     display_name,
 )
 from adlens.operators.features import feature_stats
+from adlens.operators.rows import once, one_row
 
 SEVERITIES = ["high", "medium", "low"]
 
@@ -73,15 +74,20 @@ def finding_text(df: DataFrame) -> DataFrame:
     return df.withColumn("description", desc)
 
 
+def alert_summary() -> F.Column:
+    """The short text about a flagged row."""
+    return F.concat(F.coalesce("campaign_name", F.lit("Unknown Campaign")), F.lit(" - unusual metrics on "), F.coalesce(F.col("date").cast("string"), F.lit("Unknown Date")))
+
+
 def row_alerts(flagged: DataFrame) -> DataFrame:
     """One alert per flagged row; severity high when impressions < 50,000."""
     region = F.coalesce(F.col("region"), F.lit("Unknown"))
     return flagged.where(F.col("is_anomaly")).select(
         "campaign_name", "date", region.alias("region"), "impressions",
         F.when(F.col("impressions") < 50000, "high").otherwise("medium").alias("severity"),
-        F.concat(F.col("campaign_name"), F.lit(" had unusual activity on "), F.col("date").cast("string"),
-                 F.lit(" in "), region).alias("description"),
-        F.concat(F.col("campaign_name"), F.lit(" - unusual metrics on "), F.col("date").cast("string")).alias("summary"),
+        F.concat(F.coalesce("campaign_name", F.lit("Unknown Campaign")), F.lit(" had unusual activity on "),
+                 F.coalesce(F.col("date").cast("string"), F.lit("Unknown Date")), F.lit(" in "), region).alias("description"),
+        alert_summary().alias("summary"),
     )
 
 
@@ -126,6 +132,7 @@ def findings_text(findings: DataFrame, k: int = 5) -> DataFrame:
 
     The first-k rows come from a top-k (bounded), then one small aggregate.
     """
+    findings = once(findings)
     n = findings.agg(F.count(F.lit(1)).alias("n"))
     first = (
         findings.orderBy(F.desc("z"), "date", "campaign_name", "metric", "value").limit(k)
@@ -135,7 +142,7 @@ def findings_text(findings: DataFrame, k: int = 5) -> DataFrame:
                 F.col("metric").alias("o4"), F.col("value").alias("o5"), F.col("description").alias("d")))),
             lambda s: F.concat(F.lit("- "), s["d"])), "\n").alias("bullets"))
     )
-    return n.crossJoin(first).select(
+    return one_row(n, first).select(
         "n",
         F.when(F.col("n") == 0, F.lit(NO_FINDINGS_SENTENCE)).otherwise(
             F.concat(F.lit("**"), F.col("n").cast("string"), F.lit(" anomalies detected:**\n\n"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from adlens.functions.numeric import fmt_num, fmt_plain, raw_sum, safe_ratio
 from adlens.functions.text import (
-    ALERT_HEADER,
+    ALERT_HEADERS,
     CARD_FORMS,
     NO_FINDINGS_SHORT,
     STATUS_ATTENTION,
@@ -20,16 +20,19 @@ from adlens.functions.text import (
     SUMMARY_STATUS,
     WIDE_DEFAULT_RECOMMENDATIONS,
     WIDE_PAGE_RECOMMENDATIONS,
+    title_from_metric,
 )
+from adlens.operators.explain import alert_summary
 from adlens.operators.report import recommendation_lines, strip_ws
 from adlens.operators.rollups import campaign_rollup, campaign_summary
+from adlens.operators.rows import once, one_row
 
 #: R1 bands of the ROI card: (above, band) in order, then the band of the rest.
 BANDS = {"lean": ([(50, "good"), (0, "warn")], "bad"), "slides": ([(50, "good")], "bad"), "wide": ([(100, "good")], "warn"), "script": ([], None)}
-#: R2: rows (None: all), name length, digits of the ROI, with a CTR column and without spend.
-TABLES = {"lean": (8, 18, 0, False), "script": (None, 15, 1, False), "wide": (10, 18, 1, True)}
-#: Findings shown, length of the text.
-ALERTS = {"lean": (3, 70), "slides": (3, 75), "script": (5, 80), "wide": (10, 80)}
+#: R2: rows (None: all), name length (None: whole), digits of the ROI, the column before it (None: no such column).
+TABLES = {"lean": (8, 18, 0, "spend"), "script": (None, 15, 1, "spend"), "wide": (10, 18, 1, "ctr"), "quick": (None, None, 0, None)}
+#: Findings shown, length of the text, what stands before it.
+ALERTS = {"lean": (4, 70, "* "), "slides": (3, 75, "  -  "), "script": (3, 70, ""), "wide": (5, 80, ""), "quick": (4, 75, "")}
 
 
 def kpi_cards(kpis: DataFrame, form: str) -> DataFrame:
@@ -51,38 +54,43 @@ def kpi_cards(kpis: DataFrame, form: str) -> DataFrame:
 
 def campaign_table(df: DataFrame, form: str, money=raw_sum) -> DataFrame:
     """R2: campaigns by revenue as display text; the limit, where there is one, is the feature."""
-    k, cut, digits, wide = TABLES[form]
+    k, cut, digits, before = TABLES[form]
     top = campaign_rollup(df, money)
     top = top if k is None else top.limit(k)
     roi = safe_ratio(F.col("revenue") - F.col("spend"), "spend", 100.0)
-    last = F.concat(fmt_plain(safe_ratio("clicks", "impressions", 100.0), 2), F.lit("%")).alias("ctr") if wide else \
-        F.concat(F.lit("$"), fmt_num("spend", 0)).alias("spend")
+    more = {"ctr": [F.concat(fmt_plain(safe_ratio("clicks", "impressions", 100.0), 2), F.lit("%")).alias("ctr")],
+            "spend": [F.concat(F.lit("$"), fmt_num("spend", 0)).alias("spend")], None: []}[before]
     return top.select(
-        "campaign_name", F.substring("campaign_name", 1, cut).alias("name"), fmt_num("impressions", 0).alias("impressions"),
-        fmt_num("clicks", 0).alias("clicks"), F.concat(F.lit("$"), fmt_num("revenue", 0)).alias("revenue"), last,
-        F.concat(fmt_plain(roi, digits), F.lit("%")).alias("roi"))
+        "campaign_name", (F.col("campaign_name") if cut is None else F.substring("campaign_name", 1, cut)).alias("name"),
+        fmt_num("impressions", 0).alias("impressions"), fmt_num("clicks", 0).alias("clicks"),
+        F.concat(F.lit("$"), fmt_num("revenue", 0)).alias("revenue"), *more, F.concat(fmt_plain(roi, digits), F.lit("%")).alias("roi"))
 
 
 def alert_lines(findings: DataFrame, form: str) -> DataFrame:
-    """The header with the count of all findings, then the first few texts, cut to the form's length."""
-    k, cut = ALERTS[form]
-    header = findings.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit(0).alias("pos"), F.concat(F.lit(ALERT_HEADER[0]), F.col("n").cast("string"), F.lit(ALERT_HEADER[1])).alias("line"))
+    """The header with the count of all findings, then the first few texts, cut to the form's length.
+
+    The wide form adds to each finding its title (campaign and metric) and its badge (the severity in capitals).
+    """
+    k, cut, mark = ALERTS[form]
+    findings = once(findings)
+    header = findings.agg(F.count(F.lit(1)).cast("string").alias("n")).select(F.lit(0).alias("pos"), _filled(ALERT_HEADERS[form], {"n": F.col("n")}).alias("line"))
+    title = F.concat(F.coalesce("campaign_name", F.lit("Unknown")), F.lit(" - "), title_from_metric(F.col("metric")))
     order = [F.desc("z"), F.col("date"), F.col("campaign_name"), F.col("metric"), F.col("value")]
     first = findings.orderBy(*order).limit(k)  # at most k rows from here on
-    keys = F.array_sort(F.collect_list(F.struct((-F.col("z")).alias("o1"), F.col("date").alias("o2"), F.col("campaign_name").alias("o3"),
-                                                F.col("metric").alias("o4"), F.col("value").alias("o5"), F.col("description").alias("d"))))
+    keys = F.array_sort(F.collect_list(F.struct(
+        (-F.col("z")).alias("o1"), F.col("date").alias("o2"), F.col("campaign_name").alias("o3"), F.col("metric").alias("o4"), F.col("value").alias("o5"),
+        F.col("description").alias("d"), title.alias("title"), F.upper("severity").alias("badge"))))
+    more = [F.col("s.title"), F.col("s.badge")] if form == "wide" else []
     lines = first.agg(keys.alias("f")).select(F.posexplode("f").alias("i", "s")).select(
-        (F.col("i") + 1).alias("pos"), F.substring("s.d", 1, cut).alias("line"))
-    return header.unionByName(lines)
+        (F.col("i") + 1).alias("pos"), F.concat(F.lit(mark), F.substring("s.d", 1, cut)).alias("line"), *more)
+    return header.unionByName(lines, allowMissingColumns=True)
 
 
 def quick_alerts(flagged: DataFrame) -> DataFrame:
     """D12, quick form: one alert for each flagged row, the region in brackets (Unknown where there is none)."""
     region = F.coalesce(F.col("region"), F.lit("Unknown"))
     return flagged.where("is_anomaly").select(
-        "campaign_name", "date", region.alias("region"),
-        F.concat(F.col("campaign_name"), F.lit(" - unusual metrics on "), F.col("date").cast("string"), F.lit(" ("), region, F.lit(")")).alias("description"))
+        "campaign_name", "date", region.alias("region"), F.concat(alert_summary(), F.lit(" ("), region, F.lit(")")).alias("description"))
 
 
 def _filled(template: str, values: dict) -> F.Column:
@@ -104,8 +112,8 @@ def overview_text(kpis: DataFrame) -> DataFrame:
 
 
 def status_text(df: DataFrame, findings: DataFrame) -> DataFrame:
-    """R6, wide analysis: record and finding counts and the status line (two one-row aggregates)."""
-    one = df.agg(F.count(F.lit(1)).alias("records")).crossJoin(findings.agg(F.count(F.lit(1)).alias("findings")))
+    """R6, wide analysis: record and finding counts and the status line."""
+    one = one_row(df.agg(F.count(F.lit(1)).alias("records")), findings.agg(F.count(F.lit(1)).alias("findings")))
     status = F.when(F.col("findings") > 0, STATUS_ATTENTION).otherwise(STATUS_NORMAL)
     return one.select("records", "findings", _filled(SUMMARY_STATUS, {
         "records": fmt_num("records", 0), "findings": F.col("findings").cast("string"), "status": status}).alias("summary"))
@@ -140,6 +148,7 @@ def context_document(df: DataFrame, findings: DataFrame, kpis: DataFrame, k: int
     limited to ``k`` of highest revenue and details to ``k`` findings, as the document is a prompt; the
     list of affected campaigns is complete.
     """
+    findings = once(findings)
     top = campaign_summary(df, money).limit(k)
     perf = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("revenue")).alias("o"), F.col("campaign_name").alias("name"), "revenue", "roi"))).alias("t")).select(
         F.transform("t", lambda s: F.struct(s["name"].alias("name"), s["revenue"].alias("revenue"), s["roi"].alias("roi"))).alias("top_campaigns"))
@@ -150,7 +159,7 @@ def context_document(df: DataFrame, findings: DataFrame, kpis: DataFrame, k: int
             (-F.col("z")).alias("o1"), F.col("date").cast("string").alias("date"), "campaign_name", "metric", "value", "campaign_id",
             F.array("expected_lo", "expected_hi").alias("expected_range"), "severity", "description"))).alias("d")).select(
         F.transform("d", lambda s: s.dropFields("o1")).alias("anomaly_details"))
-    row = kpis.crossJoin(perf).crossJoin(about).crossJoin(first)  # four one-row tables
+    row = one_row(kpis, perf, about, first)
     return row.select(F.to_json(F.struct(
         "reporting_period", "total_records",
         F.struct(F.col("impressions").alias("total_impressions"), F.col("clicks").alias("total_clicks"), F.col("conversions").alias("total_conversions"),

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from adlens.functions.numeric import fmt_num, fmt_plain, raw_sum, safe_ratio
 from adlens.functions.text import (
-    KPI_CARDS,
     LEAN_PAD_RECOMMENDATIONS,
     STATUS_ATTENTION,
     STATUS_NORMAL,
 )
+from adlens.operators.rows import one_row
 from adlens.operators.rollups import aggregate_by_date, campaign_rollup, kpi_totals, platform_rollup
 
 # Whitespace as Python's str.strip() sees it in practice (ASCII set), written the
@@ -26,49 +26,12 @@ def strip_ws(c):
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
-def kpi_cards(kpis: DataFrame) -> DataFrame:
-    """Six cards (label, value text, subtitle, status band) from the one-row KPI table."""
-    roi = F.col("roi")
-    values = [
-        fmt_num("impressions", 0),
-        fmt_num("clicks", 0),
-        fmt_num("conversions", 0),
-        F.concat(F.lit("$"), fmt_num("revenue", 0)),
-        F.concat(F.lit("$"), fmt_num("spend", 0)),
-        F.concat(fmt_plain(roi, 1), F.lit("%")),
-    ]
-    cards = []
-    for i, ((label, sub), val) in enumerate(zip(KPI_CARDS, values)):
-        subtitle = F.concat(F.lit("CTR: "), fmt_plain("ctr", 2), F.lit("%")) if sub is None else F.lit(sub)
-        band = (
-            F.when(roi > 50, "good").when(roi > 0, "warn").otherwise("bad") if label == "ROI" else F.lit("neutral")
-        )
-        cards.append(F.struct(F.lit(i).alias("ordinal"), F.lit(label).alias("label"), val.alias("value"),
-                              subtitle.alias("subtitle"), band.alias("band")))
-    return kpis.select(F.explode(F.array(*cards)).alias("c")).select("c.*")
-
-
-def campaign_table(df: DataFrame, k: int = 8, name_len: int = 18, money=raw_sum) -> DataFrame:
-    """R2: first k campaigns by revenue as display text (the limit is the feature)."""
-    top = campaign_rollup(df, money).limit(k)
-    roi = safe_ratio(F.col("revenue") - F.col("spend"), "spend", 100.0)
-    return top.select(
-        F.col("campaign_name"),
-        F.substring("campaign_name", 1, name_len).alias("name"),
-        fmt_num("impressions", 0).alias("impressions"),
-        fmt_num("clicks", 0).alias("clicks"),
-        F.concat(F.lit("$"), fmt_num("revenue", 0)).alias("revenue"),
-        F.concat(F.lit("$"), fmt_num("spend", 0)).alias("spend"),
-        F.concat(fmt_plain(roi, 0), F.lit("%")).alias("roi"),
-    )
-
-
 def summary_text(df: DataFrame, n_findings: DataFrame | None = None, money=raw_sum) -> DataFrame:
     """The no-model summary sentence and the status line."""
     # one pass over the facts: totals, record count and campaign count together
     out = kpi_totals(df, F.count(F.lit(1)).alias("records"), F.count_distinct("campaign_name").alias("campaigns"), money=money)
     if n_findings is not None:
-        out = out.crossJoin(n_findings.agg(F.count(F.lit(1)).alias("findings")))
+        out = one_row(out, n_findings.agg(F.count(F.lit(1)).alias("findings")))
     else:
         out = out.withColumn("findings", F.lit(0).cast("bigint"))
     return out.select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from adlens.functions.numeric import money_sum, round2, roundn, snap_round
 from adlens.functions.text import METRIC_DISPLAY_NAMES, NO_FINDINGS_SENTENCE
 from adlens.operators import explain as X
+from adlens.operators import forms as O
 from adlens.operators import report as R
 from adlens.operators.detect import detect
 from adlens.operators.features import (
@@ -22,6 +23,7 @@ from adlens.operators.features import (
     zsum_score,
 )
 from adlens.operators.metrics import row_metrics
+from adlens.operators.rows import one_row
 from adlens.operators.rollups import aggregate_by_date, kpi_totals
 from adlens.plans import sqltext as S
 from adlens.plans.catalog import register
@@ -166,8 +168,9 @@ def q_anomaly_text(spark, d):
 @register("row_alerts", flag_sql(
     "SELECT campaign_name, date, coalesce(region, 'Unknown') AS region, impressions, "
     "CASE WHEN impressions < 50000 THEN 'high' ELSE 'medium' END AS severity, "
-    "concat(campaign_name, ' had unusual activity on ', CAST(date AS VARCHAR), ' in ', coalesce(region, 'Unknown')) "
-    "AS description, concat(campaign_name, ' - unusual metrics on ', CAST(date AS VARCHAR)) AS summary "
+    "concat(coalesce(campaign_name, 'Unknown Campaign'), ' had unusual activity on ', coalesce(CAST(date AS VARCHAR), 'Unknown Date'), "
+    "' in ', coalesce(region, 'Unknown')) AS description, "
+    "concat(coalesce(campaign_name, 'Unknown Campaign'), ' - unusual metrics on ', coalesce(CAST(date AS VARCHAR), 'Unknown Date')) AS summary "
     "FROM fl WHERE is_anomaly"))
 def q_row_alerts(spark, d):
     return X.row_alerts(flagged_facts(spark, d))
@@ -214,6 +217,15 @@ def q_findings_text(spark, d):
     return X.findings_text(findings(spark, d), 5)
 
 
+@register("findings_short", findings_sql(
+    "SELECT n, CASE WHEN n = 0 THEN 'No anomalies detected.' ELSE concat('**', CAST(n AS VARCHAR), "
+    "' anomalies detected:**', chr(10), chr(10), b.bullets, chr(10)) END AS text "
+    "FROM (SELECT count(*) AS n FROM f) a CROSS JOIN (SELECT string_agg(concat('- ', description), chr(10) "
+    f"{_TOP_ORDER}) AS bullets FROM (SELECT * FROM f {_TOP_ORDER} LIMIT 5) t) b"))
+def q_findings_short(spark, d):
+    return O.findings_short(findings(spark, d), 5)
+
+
 @register("anomaly_overlay", findings_sql(
     "SELECT d.date, d.impressions, coalesce(mk.m, false) AS is_marked FROM "
     f"(SELECT date, {S.isum('impressions')} AS impressions FROM ad_facts GROUP BY date) d LEFT JOIN "
@@ -240,7 +252,7 @@ def _context(spark, d):
     fa = f.agg(F.count(F.lit(1)).alias("total_anomalies"),
                F.count_if(F.col("severity") == "high").alias("high_severity"),
                F.count_distinct("campaign_name").alias("affected_campaigns"))
-    return k.crossJoin(fa).select(
+    return one_row(k, fa).select(
         "reporting_period", "total_records",
         F.col("impressions").alias("total_impressions"), F.col("clicks").alias("total_clicks"),
         F.col("conversions").alias("total_conversions"), F.col("spend").alias("total_spend"),
@@ -316,7 +328,7 @@ def q_anomaly_json(spark, d):
     "(CASE WHEN k.roi > 50 THEN 'good' WHEN k.roi > 0 THEN 'warn' ELSE 'bad' END) ELSE 'neutral' END AS band "
     "FROM kp k) v", ad_facts=S.AD_FACTS_SQL, kp=_KPI_SQL))
 def q_kpi_cards(spark, d):
-    return R.kpi_cards(kpi_totals(ad_facts(spark, d), money=money_sum))
+    return O.kpi_cards(kpi_totals(ad_facts(spark, d), money=money_sum), "lean")
 
 
 _ROLLUP = (f"SELECT campaign_name, {S.isum('impressions')} AS impressions, {S.isum('clicks')} AS clicks, "
@@ -331,7 +343,7 @@ _ROLLUP = (f"SELECT campaign_name, {S.isum('impressions')} AS impressions, {S.is
     f"FROM (SELECT * FROM ({_ROLLUP}) g ORDER BY revenue DESC, campaign_name LIMIT 8) t",
     ad_facts=S.AD_FACTS_SQL))
 def q_campaign_table(spark, d):
-    return R.campaign_table(ad_facts(spark, d), 8, 18, money=money_sum)
+    return O.campaign_table(ad_facts(spark, d), "lean", money=money_sum)
 
 
 @register("summary_text", findings_sql(
@@ -425,9 +437,6 @@ def _lines_query(mode: str):
     return q
 
 
-register("recommendation_lines_wide", S.with_ctes(
-    "SELECT * FROM fr", a=_ASSIST, ln=_LINES, kept=_KEPT_WIDE, fr=_first_k(5, "WHERE length(rec) > 0")))(
-    _lines_query("wide"))
 register("recommendation_lines_script", S.with_ctes(
     "SELECT * FROM fr", a=_ASSIST, ln=_LINES, kept=_plain_kept(11), fr=_first_k(4)))(_lines_query("script"))
 register("recommendation_lines_quick", S.with_ctes(

@@ -28,43 +28,69 @@ def _template(template: str, values: dict[str, str]) -> str:
     return "concat(" + ", ".join([*out, _text(rest)]) + ")"
 
 
+# ---- fixed values: what each form of cards, tables and alert lines must show, as SQL text ----
+_CARDS = {
+    "wide": ("CASE WHEN roi > 100 THEN 'good' ELSE 'warn' END", "'neutral'",
+             [("Total Impressions", "NULL"), ("Total Clicks", "NULL"), ("Total Conversions", "NULL"), ("Total Revenue", "NULL"),
+              ("Total Spend", "NULL"), ("Overall ROI", "NULL")]),
+    "slides": ("CASE WHEN roi > 50 THEN 'good' ELSE 'bad' END", "'neutral'",
+               [("IMPRESSIONS", "'Total ad views delivered'"), ("CLICKS", f"concat('Click-through rate: ', {S.fmt_plain('ctr', 2)}, '%')"),
+                ("CONVERSIONS", "'Completed actions'"), ("REVENUE", "'Total earnings generated'"), ("AD SPEND", "'Marketing investment'"),
+                ("ROI", "'Return on investment'")]),
+    "script": ("NULL", "NULL", [("Impressions", "NULL"), ("Clicks", "NULL"), ("Conversions", "NULL"), ("Revenue", "NULL"), ("Spend", "NULL"), ("ROI", "NULL")]),
+}
+_CTR_TEXT = f"concat({S.fmt_plain(S.safe_ratio('clicks', 'impressions', 100.0), 2)}, '%') AS ctr, "
+_SPEND_TEXT = f"concat('$', {S.fmt_num('spend', 0)}) AS spend, "
+_TABLES = {  # name, column before the ROI, digits of the ROI, rows
+    "wide": ("substr(campaign_name, 1, 18)", _CTR_TEXT, 1, "LIMIT 10"),
+    "script": ("substr(campaign_name, 1, 15)", _SPEND_TEXT, 1, ""),
+    "quick": ("campaign_name", "", 0, ""),
+}
+_ALERTS = {  # header, text of a finding, findings shown
+    "lean": ("concat('ANOMALIES DETECTED (', n, ')')", "concat('* ', substr(description, 1, 70))", 4),
+    "slides": ("concat('ANOMALIES DETECTED: ', n, ' unusual patterns identified')", "concat('  -  ', substr(description, 1, 75))", 3),
+    "script": ("concat('Anomaly Alerts (', n, ' detected)')", "substr(description, 1, 70)", 3),
+    "wide": ("concat(n, ' anomalies detected during the reporting period:')", "substr(description, 1, 80)", 5),
+    "quick": ("concat('ANOMALIES DETECTED (', n, ')')", "substr(description, 1, 75)", 4),
+}
+_METRIC_TITLES = ("CASE metric WHEN 'impressions' THEN 'Impressions' WHEN 'clicks' THEN 'Clicks' WHEN 'conversions' THEN 'Conversions' WHEN 'spend' THEN 'Spend' "
+                  "WHEN 'revenue' THEN 'Revenue' WHEN 'ctr' THEN 'Ctr' WHEN 'conversion_rate' THEN 'Conversion Rate' WHEN 'cpa' THEN 'Cpa' WHEN 'roi' THEN 'Roi' "
+                  "WHEN 'roas' THEN 'Roas' END")
+
+
 def _cards_sql(form: str) -> str:
-    steps, last = O.BANDS[form]
+    band, other, cards = _CARDS[form]
     values = [S.fmt_num("impressions", 0), S.fmt_num("clicks", 0), S.fmt_num("conversions", 0), f"concat('$', {S.fmt_num('revenue', 0)})",
               f"concat('$', {S.fmt_num('spend', 0)})", f"concat({S.fmt_plain('roi', 1)}, '%')"]
-    band = "CASE " + "".join(f"WHEN roi > {a} THEN '{b}' " for a, b in steps) + f"ELSE {_text(last)} END" if last else "NULL"
-    rows = []
-    for i, ((label, sub), v) in enumerate(zip(T.CARD_FORMS[form], values, strict=True)):
-        sub_sql = "NULL" if sub is None else _template(sub, {"ctr": S.fmt_plain("ctr", 2)})
-        rows.append(f"SELECT {i} AS ordinal, {_text(label)} AS label, {v} AS value, CAST({sub_sql} AS VARCHAR) AS subtitle, "
-                    f"CAST({band if i == 5 else 'NULL' if last is None else _text('neutral')} AS VARCHAR) AS band FROM kp")
+    rows = [f"SELECT {i} AS ordinal, '{label}' AS label, {v} AS value, CAST({sub} AS VARCHAR) AS subtitle, CAST({band if i == 5 else other} AS VARCHAR) AS band FROM kp"
+            for i, ((label, sub), v) in enumerate(zip(cards, values, strict=True))]
     return S.with_ctes(" UNION ALL ".join(rows), ad_facts=S.AD_FACTS_SQL, kp=Q._KPI_SQL)
 
 
 def _table_sql(form: str) -> str:
-    k, cut, digits, wide = O.TABLES[form]
-    last = f"concat({S.fmt_plain(S.safe_ratio('clicks', 'impressions', 100.0), 2)}, '%') AS ctr" if wide else f"concat('$', {S.fmt_num('spend', 0)}) AS spend"
+    name, before, digits, rows = _TABLES[form]
     return S.with_ctes(
-        f"SELECT campaign_name, substr(campaign_name, 1, {cut}) AS name, {S.fmt_num('impressions', 0)} AS impressions, {S.fmt_num('clicks', 0)} AS clicks, "
-        f"concat('$', {S.fmt_num('revenue', 0)}) AS revenue, {last}, concat({S.fmt_plain(S.safe_ratio('revenue - spend', 'spend', 100.0), digits)}, '%') AS roi "
-        f"FROM (SELECT * FROM ({Q._ROLLUP}) g ORDER BY revenue DESC, campaign_name {'' if k is None else f'LIMIT {k}'}) t", ad_facts=S.AD_FACTS_SQL)
+        f"SELECT campaign_name, {name} AS name, {S.fmt_num('impressions', 0)} AS impressions, {S.fmt_num('clicks', 0)} AS clicks, "
+        f"concat('$', {S.fmt_num('revenue', 0)}) AS revenue, {before}concat({S.fmt_plain(S.safe_ratio('revenue - spend', 'spend', 100.0), digits)}, '%') AS roi "
+        f"FROM (SELECT * FROM ({Q._ROLLUP}) g ORDER BY revenue DESC, campaign_name {rows}) t", ad_facts=S.AD_FACTS_SQL)
 
 
 def _alerts_sql(form: str) -> str:
-    k, cut = O.ALERTS[form]
+    header, text, k = _ALERTS[form]
+    none, more = (", NULL AS title, NULL AS badge", f", concat(coalesce(campaign_name, 'Unknown'), ' - ', {_METRIC_TITLES}), upper(severity)") if form == "wide" else ("", "")
     return Q.findings_sql(
-        f"SELECT 0 AS pos, concat({_text(T.ALERT_HEADER[0])}, CAST(count(*) AS VARCHAR), {_text(T.ALERT_HEADER[1])}) AS line FROM f UNION ALL "
-        f"SELECT CAST(row_number() OVER ({Q._TOP_ORDER}) AS INTEGER), substr(description, 1, {cut}) FROM (SELECT * FROM f {Q._TOP_ORDER} LIMIT {k}) t")
+        f"SELECT 0 AS pos, {header} AS line{none} FROM (SELECT CAST(count(*) AS VARCHAR) AS n FROM f) h UNION ALL "
+        f"SELECT CAST(row_number() OVER ({Q._TOP_ORDER}) AS INTEGER), {text}{more} FROM (SELECT * FROM f {Q._TOP_ORDER} LIMIT {k}) t")
 
 
 def _register_forms() -> None:
-    for form in ("wide", "slides", "script"):
+    for form in _CARDS:
         register(f"kpi_cards_{form}", _cards_sql(form))(
             lambda spark, d, form=form: O.kpi_cards(kpi_totals(ad_facts(spark, d), money=money_sum), form))
-    for form in ("wide", "script"):
+    for form in _TABLES:
         register(f"campaign_table_{form}", _table_sql(form))(
             lambda spark, d, form=form: O.campaign_table(ad_facts(spark, d), form, money=money_sum))
-    for form in ("slides", "wide"):
+    for form in _ALERTS:
         register(f"alert_lines_{form}", _alerts_sql(form))(lambda spark, d, form=form: O.alert_lines(Q.findings(spark, d), form))
 
 
@@ -72,7 +98,7 @@ _register_forms()
 
 
 @register("row_alerts_quick", Q.flag_sql(
-    "SELECT campaign_name, date, coalesce(region, 'Unknown') AS region, concat(campaign_name, ' - unusual metrics on ', CAST(date AS VARCHAR), "
+    "SELECT campaign_name, date, coalesce(region, 'Unknown') AS region, concat(coalesce(campaign_name, 'Unknown Campaign'), ' - unusual metrics on ', coalesce(CAST(date AS VARCHAR), 'Unknown Date'), "
     "' (', coalesce(region, 'Unknown'), ')') AS description FROM fl WHERE is_anomaly"))
 def q_row_alerts_quick(spark, d):
     return O.quick_alerts(Q.flagged_facts(spark, d))
@@ -119,6 +145,8 @@ _WIDE_BODY = ("SELECT * FROM fr UNION ALL SELECT a.conv_id, a.turn, CAST(v.pos A
               "WHERE NOT EXISTS (SELECT 1 FROM fr WHERE fr.conv_id = a.conv_id AND fr.turn = a.turn)")
 _WIDE_CTES = {"a": _LISTED, "ln": Q._LINES, "kept": Q._KEPT_WIDE, "fr": Q._first_k(5, "WHERE length(rec) > 0")}
 
+register("recommendation_lines_wide", S.with_ctes("SELECT * FROM fr", **_WIDE_CTES))(
+    lambda spark, d: R.recommendation_lines(_list_texts(spark, d), ["conv_id", "turn"], "text", mode="wide"))
 register("wide_recommendations", S.with_ctes(_WIDE_BODY.format(fixed=_fixed(T.WIDE_DEFAULT_RECOMMENDATIONS)), **_WIDE_CTES))(
     lambda spark, d: O.wide_recommendations(_list_texts(spark, d), ["conv_id", "turn"]))
 register("wide_page_recommendations", S.with_ctes(_WIDE_BODY.format(fixed=_fixed(T.WIDE_PAGE_RECOMMENDATIONS)), **_WIDE_CTES))(
