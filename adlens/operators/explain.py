@@ -29,24 +29,27 @@ def unpivot_features(df: DataFrame, feature_cols: list[str], ids: list[str]) ->
 
 
 def explain_findings(scored: DataFrame, feature_cols: list[str], stats: DataFrame | None = None,
-                     ids: list[str] | None = None) -> DataFrame:
+                     ids: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
     """D7-D10 (+D11): one row per (flagged row, metric) with z > 2.
 
     ``scored`` holds the raw feature values and ``is_anomaly``; statistics are
-    over all rows of ``scored`` unless given.
+    over all rows of ``scored`` unless given. ``by``: columns of ``scored`` and
+    ``stats`` that name a row's report; each report has its own statistics then.
     """
     if stats is None:
         stats = feature_stats(scored, feature_cols)
-    ids = ids or [c for c in ["date", "campaign_id", "campaign_name", "region"] if c in scored.columns]
+    by = by or []
+    ids = by + (ids or [c for c in ["date", "campaign_id", "campaign_name", "region"] if c in scored.columns])
     long = unpivot_features(scored.where(F.col("is_anomaly")), feature_cols, ids)
-    st = F.broadcast(stats.select("metric", F.col("mean").alias("__mean"), F.col("std").alias("__std")))
+    st = stats.select(*by, "metric", F.col("mean").alias("__mean"), F.col("std").alias("__std"))
+    st = st if by else F.broadcast(st)  # one row per feature, or as many more as there are reports
     v, m, s = F.col("value"), F.col("__mean"), F.col("__std")
     z = F.abs(v - m) / s
     ok = (
         v.isNotNull() & ~F.isnan(v) & s.isNotNull() & ~F.isnan(s) & (s != F.lit(INF)) & (s > 0)
         & m.isNotNull() & ~F.isnan(m) & (F.abs(m) != F.lit(INF))
     )
-    j = long.join(st, "metric").where(ok).withColumn("z", z).where(~F.isnan("z") & (F.col("z") > 2))
+    j = long.join(st, [*by, "metric"]).where(ok).withColumn("z", z).where(~F.isnan("z") & (F.col("z") > 2))
     pct = F.when(m != 0, (v - m) / m * 100).otherwise(F.lit(0.0))
     out = j.withColumns({
         "severity": F.when(F.col("z") > 3, "high").when(F.col("z") > 2.5, "medium").otherwise("low"),

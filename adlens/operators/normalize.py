@@ -241,15 +241,16 @@ def plan_mapping(df: DataFrame, profile: str = "lean", custom_mapping: dict[str,
 
 def normalize(df: DataFrame, profile: str = "lean", custom_mapping: dict[str, str] | None = None,
               run_date: _dt.date | str | None = None, order_by: list[str] | None = None,
-              canonical: bool = True, exact_first: bool = False) -> tuple[DataFrame, MappingReport]:
+              canonical: bool = True, exact_first: bool = False, keep: list[str] | None = None) -> tuple[DataFrame, MappingReport]:
     """Canonical ad columns (extra columns kept); returns (df, report).
 
     ``run_date`` is the literal used when there is no date column (default:
     today, as in the reference; pass it for reproducible output). ``order_by``
     gives synthetic 1..n campaign ids a defined order. ``canonical`` casts the
     ten fields to the canonical types (a date that does not parse stays text).
+    ``keep``: columns that are carried along and never mapped (a report's key).
     """
-    mapping, unmapped, rep, facts = plan_mapping(df, profile, custom_mapping, exact_first)
+    mapping, unmapped, rep, facts = plan_mapping(df.drop(*keep) if keep else df, profile, custom_mapping, exact_first)
     renamed = [mapping.get(c, c) for c in df.columns]
     clash = sorted({n for n in renamed if renamed.count(n) > 1})
     if clash:
