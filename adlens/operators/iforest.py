@@ -2,9 +2,12 @@
 
 fit:
   * features are cleaned (null/NaN/inf -> 0) and optionally standardised;
-  * a pool of trees * psi rows (all rows, if fewer) is drawn uniformly, row by
-    row, and every tree draws psi rows of the pool without replacement: one
-    scheme for every table size;
+  * equal rows are counted, in one pass; the distinct rows with their counts
+    are written once and serve the sample and the offset. A pool of about
+    trees * psi rows (all rows, if fewer) is drawn, of n equal rows n * p of
+    them, rounded up or down by a hash of their values: every row is as likely
+    as any other, and the pool doesn't depend on partitions or order. Every
+    tree draws psi rows of the pool without replacement;
   * ``groupBy("tree").applyInPandas`` grows one tree per group; the generator
     of a tree is seeded by (seed, tree);
   * the model is the node table (<= trees * (2 psi - 1) rows, fixed by the
@@ -118,25 +121,21 @@ class IsolationForest:
             cols.append(x.alias(f"f{i}"))
         return df.select(*cols)
 
-    def _pool(self, X: DataFrame) -> np.ndarray:
-        """trees * psi rows of ``X`` (all, if fewer), each row as likely as any other: those of least random number.
+    def _counts(self, X: DataFrame) -> DataFrame:
+        """Distinct rows of ``X`` with their number, as a checkpointed table."""
+        ensure_checkpoint_dir(X.sparkSession)
+        return X.groupBy(*X.columns).agg(F.count(F.lit(1)).alias("n")).checkpoint()
 
-        Only rows below a cut that about twice as many pass are kept and ordered, so that no task merges a top-k
-        of the whole table. The number belongs to the row, not to its values: of equal rows as many are drawn as
-        of any others. It follows the table's partitions, so the candidates are written before they are counted.
-        """
+    def _pool(self, counts: DataFrame) -> np.ndarray:
+        """About trees * psi rows (all, if fewer), each row as likely as any other, in an order of their own."""
         cap = self.n_trees * self.max_samples
-        n = X.count()
-        share = min(1.0, 2.0 * cap / max(n, 1))
-        ensure_checkpoint_dir(X.sparkSession)
-        while True:
-            some = X.withColumn("u", F.rand(self.seed)).where(F.col("u") < F.lit(share)).checkpoint(eager=True)
-            if share >= 1.0 or some.count() >= cap:
-                break
-            share = min(1.0, share * 2)
-        cols = [f"f{i}" for i in range(len(self.feature_cols))]
-        got = some.orderBy("u", *cols).limit(cap).select(*cols).toPandas()  # bounded by the parameters
-        return got.to_numpy(dtype=float)
+        n = counts.agg(F.sum("n")).first()[0] or 0
+        cols = [c for c in counts.columns if c != "n"]
+        mark = F.xxhash64(*cols, F.lit(self.seed))
+        u = F.pmod(mark, F.lit(1 << 53)) / F.lit(float(1 << 53))
+        drawn = counts.withColumn("k", F.floor(F.col("n") * F.lit(min(1.0, cap / max(n, 1))) + u) if n > cap else F.col("n")).where("k > 0")
+        got = drawn.withColumn("h", mark).orderBy("h", *cols).select("k", *cols).toPandas().to_numpy(dtype=float)  # bounded by the parameters
+        return np.repeat(got[:, 1:], got[:, 0].astype(int), axis=0)
 
     def fit(self, df: DataFrame) -> IsolationForestModel:
         stats = None
@@ -145,7 +144,8 @@ class IsolationForest:
             for i, c in enumerate(self.feature_cols):
                 aggs += [F.avg(finite_or_zero(c)).alias(f"m{i}"), F.stddev_pop(finite_or_zero(c)).alias(f"s{i}")]
             stats = df.agg(*aggs).first().asDict()
-        pool = self._pool(self._prepared(df, stats))
+        counts = self._counts(self._prepared(df, stats))
+        pool = self._pool(counts)
         if not len(pool):
             raise ValueError("cannot fit an isolation forest on an empty table")
         psi = min(self.max_samples, len(pool))
@@ -159,7 +159,7 @@ class IsolationForest:
         model = IsolationForestModel(self.feature_cols, node_pdf, psi, stats, offset=None,
                                      contamination=self.contamination)
         if self.fit_offset:
-            model.offset = model.fit_offset(df, exact=self.exact_offset)
+            model.offset = model.offset_of(counts) if self.exact_offset else model.fit_offset(df, exact=False)
         return model
 
 
@@ -208,8 +208,8 @@ class IsolationForestModel:
         eh = a["leafval"][node].mean(axis=1)
         return np.power(2.0, -eh / a["cpsi"]) if a["cpsi"] > 0 else np.ones(m)
 
-    def _score_col(self, df: DataFrame):
-        spark: SparkSession = df.sparkSession
+    def _score_of(self, spark: SparkSession, columns: list):
+        """s(x) of prepared feature columns."""
         bc = spark.sparkContext.broadcast(self._arrays())
         k = len(self.feature_cols)
 
@@ -218,6 +218,9 @@ class IsolationForestModel:
             X = batch.to_numpy(dtype=float).reshape(len(batch), k)
             return pd.Series(IsolationForestModel._score_block(X, bc.value))
 
+        return s_of(F.struct(*columns))
+
+    def _score_col(self, df: DataFrame):
         prep = []
         for i, c in enumerate(self.feature_cols):
             x = finite_or_zero(c)
@@ -225,7 +228,7 @@ class IsolationForestModel:
                 mm, ss = self.stats[f"m{i}"], self.stats[f"s{i}"]
                 x = F.lit(0.0) if not ss else (x - F.lit(mm)) / F.lit(ss)
             prep.append(x.alias(f"f{i}"))
-        return s_of(F.struct(*prep))
+        return self._score_of(df.sparkSession, prep)
 
     def score_column(self, df: DataFrame):
         """s(x) in (0, 1]: higher = more isolated."""
@@ -236,6 +239,15 @@ class IsolationForestModel:
         f = exact_quantile if exact else approx_quantile
         return float(f(neg_scores, "ns", self.contamination))
 
+    def offset_of(self, counts: DataFrame) -> float:
+        """The offset from distinct prepared rows (f0, f1, ...) and their number n: each is scored once."""
+        cols = [F.col(f"f{i}") for i in range(len(self.feature_cols))]
+        scored = counts.select((-self._score_of(counts.sparkSession, cols)).alias("ns"), "n").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return float(exact_quantile(scored, "ns", self.contamination, weight="n"))
+        finally:
+            scored.unpersist()
+
     def fit_offset(self, df: DataFrame, exact: bool = True) -> float:
         neg = df.select((-self._score_col(df)).alias("ns")).persist(StorageLevel.MEMORY_AND_DISK)
         try:

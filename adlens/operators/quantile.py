@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _kth(df: DataFrame, col: str, k: int, lo: float, hi: float, below: int, buckets: int) -> float:
+def _kth(df: DataFrame, col: str, k: int, lo: float, hi: float, below: int, buckets: int, weight) -> float:
     x = F.col(col)
     while True:
         if lo == hi:
@@ -33,7 +33,7 @@ def _kth(df: DataFrame, col: str, k: int, lo: float, hi: float, below: int, buck
         else:
             b = F.least(F.floor((x - F.lit(lo)) / F.lit(width) * buckets), F.lit(buckets - 1))
         hist = sorted(
-            part.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+            part.groupBy(b.alias("b")).agg(F.sum(weight).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
             .collect()
         )
         for row in hist:
@@ -45,16 +45,18 @@ def _kth(df: DataFrame, col: str, k: int, lo: float, hi: float, below: int, buck
             raise ValueError("rank outside the column")
 
 
-def exact_quantile(df: DataFrame, col: str, q: float, buckets: int = 1024) -> float | None:
+def exact_quantile(df: DataFrame, col: str, q: float, buckets: int = 1024, weight: str | None = None) -> float | None:
     """Continuous quantile ``q`` of the non-null, non-NaN values of ``col``.
 
+    ``weight``: a column that says how many equal values a row stands for.
+
     Each pass reads the column in its own partitions and emits at most ``buckets``
     partial rows per task; a pass narrows the bracket ``buckets``-fold until it
     holds one value, so a handful of passes does for any number of rows.
     """
-    x = F.col(col).cast("double")
-    vals = df.select(x.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    st = vals.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    x, w = F.col(col).cast("double"), F.col("w")
+    vals = df.select(x.alias("v"), (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("w")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    st = vals.agg(F.coalesce(F.sum(w), F.lit(0)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     n = st["n"]
     if n == 0:
         return None
@@ -62,12 +64,12 @@ def exact_quantile(df: DataFrame, col: str, q: float, buckets: int = 1024) -> fl
     f = math.floor(rn)
     c = math.ceil(rn)
     lo, hi = float(st["lo"]), float(st["hi"])
-    vf = _kth(vals, "v", f, lo, hi, 0, buckets)
+    vf = _kth(vals, "v", f, lo, hi, 0, buckets, w)
     if c == f:
         return vf
     # the next rank: same value if enough ties, else the next larger value
     # one pass: how many values are <= vf, and the next larger value
-    r = vals.agg(F.count_if(F.col("v") <= F.lit(vf)).alias("le"),
+    r = vals.agg(F.sum(F.when(F.col("v") <= F.lit(vf), w).otherwise(0)).alias("le"),
                  F.min(F.when(F.col("v") > F.lit(vf), F.col("v"))).alias("nxt")).first()
     vc = vf if r["le"] > c else float(r["nxt"])
     return vf + (vc - vf) * (rn - f)

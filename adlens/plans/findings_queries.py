@@ -292,6 +292,48 @@ def q_isolation_forest(spark, d):
         *KEYS, "anomaly_score", "is_anomaly")
 
 
+# ---- a saved model: four trees of seven nodes, (tree, node, feature, split, left, right, size, depth) by rule ----
+_MODEL_FEATS = ["impressions", "clicks", "spend", "revenue"]
+_SPLITS = {"impressions": [20_000.0, 45_000.0, 80_000.0], "clicks": [400.0, 900.0, 1_500.0], "spend": [300.0, 900.0, 2_000.0], "revenue": [10_000.0, 30_000.0, 60_000.0]}
+
+
+def saved_nodes() -> list[tuple]:
+    out = []
+    for tree in range(4):
+        for node in range(7):
+            f = (tree + node) % 4
+            inner = node < 3
+            out.append((tree, node, f if inner else -1, _SPLITS[_MODEL_FEATS[f]][(tree + node) % 3] if inner else 0.0, 2 * node + 1 if inner else -1, 2 * node + 2 if inner else -1,
+                        [64, 40, 24, 1, 39, 2, 22][node], [0, 1, 1, 2, 2, 2, 2][node]))
+    return out
+
+
+_NODES_SQL = "SELECT * FROM (VALUES " + ", ".join(
+    f"({t}, {n}, {'NULL' if f < 0 else repr(_MODEL_FEATS[f])}, CAST({s} AS DOUBLE), {a}, {b}, CAST({z} AS DOUBLE), {d})" for t, n, f, s, a, b, z, d in saved_nodes()
+) + ") v(tree, node, feature, split, lft, rgt, size, depth)"
+_PATH = "CASE WHEN {0} <= 1 THEN 0.0 WHEN {0} = 2 THEN 1.0 ELSE 2.0 * (ln({0} - 1.0) + 0.5772156649015329) - 2.0 * ({0} - 1.0) / {0} END"
+
+
+@register("forest_scores", S.with_ctes(
+    "SELECT l_orderkey, l_linenumber, date, campaign_id, " + S.roundn("pow(2.0, -avg(depth + " + _PATH.format("size") + ") / " + _PATH.format("64.0") + ")", 6) + " AS iso_score "
+    "FROM (SELECT m.l_orderkey, m.l_linenumber, m.date, m.campaign_id, c.size, c.depth FROM c JOIN nd p ON p.tree = c.tree AND (p.lft = c.node OR p.rgt = c.node) "
+    "JOIN nd r ON r.tree = c.tree AND r.node = 0, m WHERE c.feature IS NULL "
+    "AND (CASE WHEN x(m, r.feature) <= r.split THEN r.lft ELSE r.rgt END) = p.node AND (CASE WHEN x(m, p.feature) <= p.split THEN p.lft ELSE p.rgt END) = c.node) w "
+    "GROUP BY l_orderkey, l_linenumber, date, campaign_id".replace(
+        "x(m, r.feature)", "CASE r.feature " + " ".join(f"WHEN '{c}' THEN {_clean('m.' + c)}" for c in _MODEL_FEATS) + " END").replace(
+        "x(m, p.feature)", "CASE p.feature " + " ".join(f"WHEN '{c}' THEN {_clean('m.' + c)}" for c in _MODEL_FEATS) + " END"),
+    ad_facts=S.AD_FACTS_SQL, m=S.METRICS_SQL, nd=_NODES_SQL, c="SELECT * FROM nd"))
+def q_forest_scores(spark, d):
+    """D4 with a saved model: the walk of every row through every tree, by the code that scores fitted forests."""
+    import pandas as pd
+
+    from adlens.operators.iforest import IsolationForestModel
+    nodes = pd.DataFrame(saved_nodes(), columns=["tree", "node", "feature", "split", "left", "right", "size", "depth"])
+    df = metric_facts(spark, d)
+    score = IsolationForestModel(_MODEL_FEATS, nodes, 64, None, None).score_column(df)
+    return df.select(*KEYS, roundn(score, 6).alias("iso_score"))
+
+
 @register("forest_findings")
 def q_forest_findings(spark, d):
     fl = detect(metric_facts(spark, d), "iforest", FEATS, CONTAMINATION, n_trees=100)
