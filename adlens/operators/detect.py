@@ -11,7 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adlens.operators.features import feature_columns, flag_by_contamination, guard_ok, zsum_score
+from adlens.operators.features import all_stats, feature_columns, flag_by_contamination, guard_ok, zsum_score
 from adlens.operators.iforest import IsolationForest
 
 
@@ -30,10 +30,11 @@ def detect(df: DataFrame, method: str = "iforest", feature_cols: list[str] | Non
     the persisted frame is appended to ``keep`` for the caller to unpersist.
     """
     feats = feature_columns(df, feature_cols)
-    if not feats or (guard and not guard_ok(df, feats)):
+    stats = all_stats(df, feats)[0] if feats and method == "zsum" else None  # one pass for guard and score
+    if not feats or (guard and not guard_ok(df, feats, stats=stats)):
         return _no_flags(df)
     if method == "zsum":
-        flagged = flag_by_contamination(zsum_score(df, feats), contamination, exact=exact)
+        flagged = flag_by_contamination(zsum_score(df, feats, stats=stats), contamination, exact=exact)
         return flagged.withColumn("anomaly_score", F.col("score") - F.col("threshold"))
     if method == "iforest":
         est = IsolationForest(feats, n_trees=n_trees, max_samples=max_samples, contamination=contamination,

@@ -33,33 +33,37 @@ def feature_matrix(df: DataFrame, feature_cols: list[str], keep: list[str] | Non
     return df.select(*keep, *[finite_or_zero(c).alias(c) for c in feature_cols])
 
 
+def _finite_aggs(c: str) -> list:
+    """A14's aggregates of one feature: from the finite values, plus inf counts, so that no engine does arithmetic on inf."""
+    x = F.col(c).cast("double")
+    fin = F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(INF)), x)
+    return [
+        F.avg(fin).alias(f"{c}__fm"), F.stddev_pop(fin).alias(f"{c}__fs"),
+        F.min(F.when(~F.isnan(x), x)).alias(f"{c}__lo"), F.max(F.when(~F.isnan(x), x)).alias(f"{c}__hi"),
+        F.count_if(x == F.lit(INF)).alias(f"{c}__pi"), F.count_if(x == F.lit(-INF)).alias(f"{c}__ni"),
+    ]
+
+
 def feature_stats(df: DataFrame, feature_cols: list[str]) -> DataFrame:
     """Mean, population std, min, max per feature, NaN and null skipped.
 
     An infinite value makes the mean +-inf (NaN if both signs occur) and the std
     NaN, as NumPy's nan-functions do; such a feature later gives no findings.
-    Computed from the finite values plus inf counts so no engine has to do
-    arithmetic on inf.
     """
-    aggs = []
-    for c in feature_cols:
-        x = F.col(c).cast("double")
-        fin = F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(INF)), x)
-        aggs += [
-            F.avg(fin).alias(f"{c}__m"), F.stddev_pop(fin).alias(f"{c}__s"),
-            F.min(F.when(~F.isnan(x), x)).alias(f"{c}__lo"), F.max(F.when(~F.isnan(x), x)).alias(f"{c}__hi"),
-            F.count_if(x == F.lit(INF)).alias(f"{c}__pi"), F.count_if(x == F.lit(-INF)).alias(f"{c}__ni"),
-        ]
-    one = df.agg(*aggs)
+    return stats_table(df.agg(*[a for c in feature_cols for a in _finite_aggs(c)]), feature_cols)
+
+
+def stats_table(one: DataFrame, feature_cols: list[str]) -> DataFrame:
+    """(ordinal, metric, mean, std, min, max) from a one-row table of ``_finite_aggs``."""
     nan = F.lit(float("nan"))
     rows = []
     for i, c in enumerate(feature_cols):
         pi, ni = F.col(f"{c}__pi"), F.col(f"{c}__ni")
         mean = (
             F.when((pi > 0) & (ni > 0), nan).when(pi > 0, F.lit(INF)).when(ni > 0, F.lit(-INF))
-            .otherwise(F.col(f"{c}__m"))
+            .otherwise(F.col(f"{c}__fm"))
         )
-        std = F.when((pi > 0) | (ni > 0), nan).otherwise(F.col(f"{c}__s"))
+        std = F.when((pi > 0) | (ni > 0), nan).otherwise(F.col(f"{c}__fs"))
         rows.append(F.struct(
             F.lit(i).alias("ordinal"), F.lit(c).alias("metric"), mean.alias("mean"), std.alias("std"),
             F.col(f"{c}__lo").alias("min"), F.col(f"{c}__hi").alias("max"),
@@ -67,13 +71,24 @@ def feature_stats(df: DataFrame, feature_cols: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
 
 
+def _clean_aggs(c: str) -> list:
+    x = finite_or_zero(c)
+    return [F.avg(x).alias(f"{c}__m"), F.stddev_pop(x).alias(f"{c}__s")]
+
+
 def clean_stats(df: DataFrame, feature_cols: list[str]) -> dict:
     """Mean and population std of the cleaned features (one small collected row)."""
-    aggs = []
+    return df.agg(*[a for c in feature_cols for a in _clean_aggs(c)]).first().asDict()
+
+
+def all_stats(df: DataFrame, feature_cols: list[str]) -> tuple[dict, DataFrame]:
+    """What the guard, the z-sum score and the findings need, from one pass: (a collected row, ``feature_stats``' table)."""
+    guard = [F.count(F.lit(1)).alias("rows")]
     for c in feature_cols:
-        x = finite_or_zero(c)
-        aggs += [F.avg(x).alias(f"{c}__m"), F.stddev_pop(x).alias(f"{c}__s")]
-    return df.agg(*aggs).first().asDict()
+        guard += [F.min(finite_or_zero(c)).alias(f"{c}__cl"), F.max(finite_or_zero(c)).alias(f"{c}__ch")]
+    one = df.agg(*guard, *[a for c in feature_cols for a in _clean_aggs(c) + _finite_aggs(c)])
+    row = one.first()
+    return row.asDict(), stats_table(df.sparkSession.createDataFrame([row], one.schema), feature_cols)
 
 
 def scale_exprs(stats_row: dict, feature_cols: list[str]) -> dict:
@@ -94,13 +109,14 @@ def feature_scaled(df: DataFrame, feature_cols: list[str], keep: list[str] | Non
     return df.select(*(keep or []), *[z[c].alias(c) for c in feature_cols])
 
 
-def zsum_score(df: DataFrame, feature_cols: list[str], places: int | None = None) -> DataFrame:
+def zsum_score(df: DataFrame, feature_cols: list[str], places: int | None = None, stats: dict | None = None) -> DataFrame:
     """Deterministic unusualness score: -(sum of squared z of the cleaned features), rounded to ``places`` if given.
 
     Lower = more unusual, like the forest's score; used where an oracle must
-    reproduce the flag exactly. All input columns are kept.
+    reproduce the flag exactly. All input columns are kept. ``stats``: those of
+    ``clean_stats`` or ``all_stats``, where they are known already.
     """
-    z = scale_exprs(clean_stats(df, feature_cols), feature_cols)
+    z = scale_exprs(stats or clean_stats(df, feature_cols), feature_cols)
     # fold z*z left to right over an array: each z appears once in the plan
     # (``z[c] * z[c]`` would copy it, and a filter on the score gets no
     # common-subexpression elimination); same additions, same order
@@ -134,10 +150,11 @@ def flag_by_contamination(scored: DataFrame, contamination: float = 0.1, score_c
     })
 
 
-def guard_ok(df: DataFrame, feature_cols: list[str], min_rows: int = 10) -> bool:
+def guard_ok(df: DataFrame, feature_cols: list[str], min_rows: int = 10, stats: dict | None = None) -> bool:
     """At least ``min_rows`` rows and some spread in the whole feature matrix."""
-    fm = feature_matrix(df, feature_cols)
-    lo = F.least(*[F.min(c) for c in feature_cols]) if len(feature_cols) > 1 else F.min(feature_cols[0])
-    hi = F.greatest(*[F.max(c) for c in feature_cols]) if len(feature_cols) > 1 else F.max(feature_cols[0])
-    r = fm.agg(F.count(F.lit(1)).alias("n"), lo.alias("lo"), hi.alias("hi")).first()
-    return r["n"] >= min_rows and r["lo"] is not None and r["lo"] != r["hi"]
+    if stats is None:
+        ends = [a for c in feature_cols for a in (F.min(finite_or_zero(c)).alias(f"{c}__cl"), F.max(finite_or_zero(c)).alias(f"{c}__ch"))]
+        stats = df.agg(F.count(F.lit(1)).alias("rows"), *ends).first().asDict()
+    if stats["rows"] < min_rows or not stats["rows"]:
+        return False
+    return min(stats[f"{c}__cl"] for c in feature_cols) != max(stats[f"{c}__ch"] for c in feature_cols)

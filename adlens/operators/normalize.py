@@ -106,10 +106,14 @@ def _is_dateish(dt) -> bool:
 
 def infer_profile(df: DataFrame, cols: list[str] | None = None, profile: str = "lean",
                   exact_distinct: bool = False) -> dict[str, dict]:
-    """One aggregate job: the data facts N3/N7 need, per column."""
+    """One aggregate job: the data facts N3/N7 need, per column.
+
+    ``date_text_by`` has both profiles' counts, ``date_text`` that of ``profile``. Distinct values are sketched; a
+    column whose share lies near one half, where a verdict turns, is counted exactly (one more job for all of them).
+    """
     cols = list(df.columns if cols is None else cols)
     types = {f.name: f.dataType for f in df.schema.fields}
-    date_re = "^(" + "|".join(LEAN_DATE_TEXT if profile == "lean" else WIDE_DATE_TEXT) + ")"
+    date_re = {name: "^(" + "|".join(text) + ")" for name, text in (("lean", LEAN_DATE_TEXT), ("wide", WIDE_DATE_TEXT))}
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`")
@@ -117,16 +121,19 @@ def infer_profile(df: DataFrame, cols: list[str] | None = None, profile: str = "
         if _is_numeric(types[c]):
             aggs.append(F.avg(x.cast("double")).alias(f"mean{i}"))
         elif isinstance(types[c], StringType):
-            aggs.append(F.count_if(x.rlike(date_re)).alias(f"dt{i}"))
+            aggs += [F.count_if(x.rlike(text)).alias(f"dt{i}_{name}") for name, text in date_re.items()]
             aggs.append((F.count_distinct(x) if exact_distinct else F.approx_count_distinct(x)).alias(f"nd{i}"))
             for j, fmt in enumerate(DATE_FORMATS):
                 aggs.append(F.count_if(x.isNotNull() & F.try_to_date(x, fmt).isNull()).alias(f"bad{i}_{j}"))
     row = df.agg(*aggs).first().asDict() if aggs else {}
+    close = [] if exact_distinct else [i for i, c in enumerate(cols) if isinstance(types[c], StringType) and row[f"nn{i}"] and 0.4 <= row[f"nd{i}"] / row[f"nn{i}"] <= 0.6]
+    if close:
+        row |= df.agg(*[F.count_distinct(F.col(f"`{cols[i]}`")).alias(f"nd{i}") for i in close]).first().asDict()
     out = {}
     for i, c in enumerate(cols):
         out[c] = {
             "dtype": types[c].simpleString(), "non_null": row.get(f"nn{i}", 0), "mean": row.get(f"mean{i}"),
-            "date_text": row.get(f"dt{i}"), "distinct": row.get(f"nd{i}"),
+            "date_text": row.get(f"dt{i}_{profile}"), "date_text_by": {name: row.get(f"dt{i}_{name}") for name in date_re}, "distinct": row.get(f"nd{i}"),
             "bad_formats": [row.get(f"bad{i}_{j}") for j in range(len(DATE_FORMATS))]
             if isinstance(types[c], StringType) else None,
         }
@@ -157,14 +164,12 @@ def classify(dtype, facts: dict, profile: str = "lean") -> str:
 
 
 def infer_column_types(df: DataFrame, cols: list[str] | None = None, exact_distinct: bool = False) -> DataFrame:
-    """N3 as a table: one row per column with both profiles' verdicts."""
+    """N3 as a table: one row per column with both profiles' verdicts, from one set of facts."""
     cols = list(df.columns if cols is None else cols)
     types = {f.name: f.dataType for f in df.schema.fields}
-    lean = infer_profile(df, cols, "lean", exact_distinct)
-    wide = infer_profile(df, cols, "wide", exact_distinct) if any(
-        isinstance(types[c], StringType) for c in cols) else lean
-    rows = [(i, c, types[c].simpleString(), int(lean[c]["non_null"]),
-             classify(types[c], lean[c], "lean"), classify(types[c], wide[c], "wide")) for i, c in enumerate(cols)]
+    facts = infer_profile(df, cols, "lean", exact_distinct)
+    kind = lambda c, profile: classify(types[c], facts[c] | {"date_text": facts[c]["date_text_by"][profile]}, profile)
+    rows = [(i, c, types[c].simpleString(), int(facts[c]["non_null"]), kind(c, "lean"), kind(c, "wide")) for i, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(
         rows, "ordinal int, column_name string, dtype string, non_null long, lean_type string, wide_type string")
 
@@ -333,6 +338,23 @@ def parse_dates(df: DataFrame, cols: list[str], fmt: str = "yyyy-MM-dd") -> Data
     return df.withColumns(todo) if todo else df
 
 
+def discover_catalog(df: DataFrame, feed_col: str, json_col: str) -> DataFrame:
+    """The columns that JSON objects of each feed hold: (feed, ordinal, column_name, dtype, rows).
+
+    Keys and types come from the data by one aggregate; types of a key are merged (whole numbers and fractions give
+    DOUBLE, types that have nothing in common VARIANT). Ordinals follow the names, as JSON objects have no order.
+    Text that is null, no JSON, or no object adds nothing.
+    """
+    from pyspark.sql import Window
+    parsed = df.select(F.col(feed_col).alias("feed"), F.try_parse_json(json_col).alias("v"))
+    parts = parsed.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer())).where("key IS NOT NULL")
+    found = parts.groupBy("feed", "key").agg(F.schema_of_variant_agg("value").alias("t"), F.count(F.lit(1)).alias("rows"))
+    whole = F.col("t").rlike(r"^DECIMAL\(\d+,0\)$")
+    dtype = F.when(whole, "BIGINT").when(F.col("t").startswith("DECIMAL"), "DOUBLE").otherwise(F.col("t"))
+    order = Window.partitionBy("feed").orderBy("key")  # the keys of one feed
+    return found.select("feed", (F.row_number().over(order) - 1).alias("ordinal"), F.col("key").alias("column_name"), dtype.alias("dtype"), "rows")
+
+
 def map_columns_catalog(catalog: DataFrame, profile: str = "lean") -> DataFrame:
     """N1 + N2 over a schema catalog ``(feed, ordinal, column_name)`` for many feeds at once.
 

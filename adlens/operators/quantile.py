@@ -1,15 +1,19 @@
 """Exact quantile of one column without sorting or gathering the column.
 
 ``percentile`` in Spark is exact but keeps every value of a group in one
-buffer, so a global percentile puts the whole column into one task. Here the
-rank is found by narrowing a value bracket with histogram passes: each pass is
-a scan with a ``groupBy(bucket)`` of at most ``buckets`` groups (partial
-aggregation, so the shuffle carries ``buckets`` rows per task), the driver reads
-that small histogram and keeps the one bucket holding the wanted rank. The
-bracket ends at a single value. Interpolation follows the usual continuous definition
-(``quantile_cont``): position (n-1)*q, linear between the two neighbours.
+buffer, so a global percentile puts the whole column into one task. Here one
+pass counts the values and brackets the wanted rank by a mergeable sketch; the
+second counts what lies below the bracket and each value inside it. The bracket
+holds a few ten-thousandths of the column. Where even that is more than
+``GATHER`` values (or rows carry weights), the bracket is narrowed instead by
+histogram passes: each is a scan with a ``groupBy(bucket)`` of at most
+``buckets`` groups (partial aggregation, so the shuffle carries ``buckets`` rows
+per task), the driver reads that small histogram and keeps the one bucket that
+holds the rank, down to a single value. Interpolation follows the usual
+continuous definition (``quantile_cont``): position (n-1)*q, linear between the
+two neighbours.
 
-Callers should persist the input column first; each pass rescans it.
+Callers should persist the input column first; it is read twice or more.
 """
 
 from __future__ import annotations
@@ -19,6 +23,11 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Different values that may reach the driver at once.
+GATHER = 200_000
+#: Rank error of the sketch is at most one in so many rows.
+ACCURACY = 10_000
+
 
 def _kth(df: DataFrame, col: str, k: int, lo: float, hi: float, below: int, buckets: int, weight) -> float:
     x = F.col(col)
@@ -45,18 +54,32 @@ def _kth(df: DataFrame, col: str, k: int, lo: float, hi: float, below: int, buck
             raise ValueError("rank outside the column")
 
 
-def exact_quantile(df: DataFrame, col: str, q: float, buckets: int = 1024, weight: str | None = None) -> float | None:
-    """Continuous quantile ``q`` of the non-null, non-NaN values of ``col``.
+def _in_bracket(vals: DataFrame, lo: float, hi: float, first: int, last: int) -> tuple[float, float] | None:
+    """Values of the ranks ``first`` and ``last`` if both lie in the bracket, from one pass."""
+    v = F.col("v")
+    rows = vals.where(v <= F.lit(hi)).groupBy(F.when(v >= F.lit(lo), v).alias("v")).agg(F.sum("w").alias("n")).collect()  # GATHER rows at most
+    at = sum(r["n"] for r in rows if r["v"] is None)
+    if first < at:
+        return None
+    found = []
+    for r in sorted((r for r in rows if r["v"] is not None), key=lambda r: r["v"]):
+        at += r["n"]
+        while len(found) < 2 and (first, last)[len(found)] < at:
+            found.append(float(r["v"]))
+    return (found[0], found[1]) if len(found) == 2 else None
 
-    ``weight``: a column that says how many equal values a row stands for.
 
-    Each pass reads the column in its own partitions and emits at most ``buckets``
-    partial rows per task; a pass narrows the bracket ``buckets``-fold until it
-    holds one value, so a handful of passes does for any number of rows.
+def exact_quantile(df: DataFrame, col: str, q: float, buckets: int = 1024, weight: str | None = None, gather: int = GATHER) -> float | None:
+    """Continuous quantile ``q`` of the non-null, non-NaN values of ``col``.
+
+    ``weight``: a column that says how many equal values a row stands for. ``gather``: different values that may
+    reach the driver; it bounds memory and doesn't change the result.
     """
     x, w = F.col(col).cast("double"), F.col("w")
     vals = df.select(x.alias("v"), (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("w")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    st = vals.agg(F.coalesce(F.sum(w), F.lit(0)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    e = 2.0 / ACCURACY
+    ends = F.percentile_approx("v", [max(0.0, q - e), min(1.0, q + e)], ACCURACY) if weight is None else F.lit(None)
+    st = vals.agg(F.coalesce(F.sum(w), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("rows"), F.min("v").alias("lo"), F.max("v").alias("hi"), ends.alias("ends")).first()
     n = st["n"]
     if n == 0:
         return None
@@ -64,6 +87,13 @@ def exact_quantile(df: DataFrame, col: str, q: float, buckets: int = 1024, weigh
     f = math.floor(rn)
     c = math.ceil(rn)
     lo, hi = float(st["lo"]), float(st["hi"])
+    got = None
+    if st["rows"] <= gather:
+        got = _in_bracket(vals, lo, hi, f, c)
+    elif st["ends"] is not None and 3 * e * st["rows"] <= gather:
+        got = _in_bracket(vals, float(st["ends"][0]), float(st["ends"][1]), f, c)
+    if got is not None:
+        return got[0] + (got[1] - got[0]) * (rn - f)
     vf = _kth(vals, "v", f, lo, hi, 0, buckets, w)
     if c == f:
         return vf

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adlens.functions.numeric import fmt_num, raw_sum, round2, roundn, safe_ratio, snap_round
+from adlens.functions.numeric import fmt_num, raw_sum, round2, roundn, safe_ratio
 
 INT_METRICS = ["impressions", "clicks", "conversions"]
 MONEY_METRICS = ["spend", "revenue"]
@@ -167,9 +167,9 @@ def column_profile(df: DataFrame) -> DataFrame:
             F.lit(dtypes[c]).alias("dtype"),
             F.col("__rows").alias("row_count"),
             F.col(f"{c}__nulls").alias("null_count"),
-            (snap_round(F.col(f"{c}__mean"), 6) if numeric else nul).alias("mean"),
+            (F.col(f"{c}__mean") if numeric else nul).alias("mean"),
             (F.col(f"{c}__min") if numeric else nul).alias("min"),
             (F.col(f"{c}__max") if numeric else nul).alias("max"),
-            (snap_round(F.col(f"{c}__std"), 6) if numeric else nul).alias("std"),
+            (F.col(f"{c}__std") if numeric else nul).alias("std"),
         ))
     return one.select(F.explode(F.array(*rows)).alias("p")).select("p.*")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from adlens.functions.numeric import money_sum, round2, roundn, snap_round
 from adlens.operators import metrics as M
@@ -265,9 +266,14 @@ def _profile_sql(cols=None, source: str = "ad_facts", wrap=None) -> str:
     return (wrap or facts_sql)(sql)
 
 
+def _rounded(profile: DataFrame) -> DataFrame:
+    """Means and deviations to six places, as sums differ in their last bits with the order of rows."""
+    return profile.withColumns({c: snap_round(F.col(c), 6) for c in ("mean", "std")})
+
+
 @register("column_profile", _profile_sql())
 def q_column_profile(spark, d):
-    return A.column_profile(ad_facts(spark, d))
+    return _rounded(A.column_profile(ad_facts(spark, d)))
 
 
 _EVENT_COLS = [
@@ -279,7 +285,7 @@ _EVENT_COLS = [
 @register("events_profile", _profile_sql(_EVENT_COLS, "events", wrap=lambda q: q))
 def q_events_profile(spark, d):
     # S11 on a second table: the profile is generic over any schema
-    return A.column_profile(spark.read.parquet(f"{d}/events.parquet"))
+    return _rounded(A.column_profile(spark.read.parquet(f"{d}/events.parquet")))
 
 
 def _load_all() -> None:

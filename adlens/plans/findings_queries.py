@@ -16,6 +16,7 @@ from adlens.operators import report as R
 from adlens.operators.detect import detect
 from adlens.operators.features import (
     DEFAULT_FEATURES,
+    all_stats,
     feature_matrix,
     feature_scaled,
     feature_stats,
@@ -40,14 +41,21 @@ def metric_facts(spark, d):
     return row_metrics(ad_facts(spark, d))
 
 
+def flagged_with_stats(spark, d):
+    """(flagged facts, statistics of the features): one pass for all statistics, one for the quantile."""
+    facts = metric_facts(spark, d)
+    row, stats = all_stats(facts, FEATS)
+    fl = flag_by_contamination(zsum_score(facts, FEATS, places=6, stats=row), CONTAMINATION)
+    return fl.withColumn("threshold", roundn("threshold", 6)), stats
+
+
 def flagged_facts(spark, d):
-    fl = flag_by_contamination(zsum_score(metric_facts(spark, d), FEATS, places=6), CONTAMINATION)
-    return fl.withColumn("threshold", roundn("threshold", 6))
+    return flagged_with_stats(spark, d)[0]
 
 
 def findings(spark, d):
-    fl = flagged_facts(spark, d)
-    return X.finding_text(X.explain_findings(fl, FEATS))
+    fl, stats = flagged_with_stats(spark, d)
+    return X.finding_text(X.explain_findings(fl, FEATS, stats))
 
 
 # --------------------------------------------------------------------------- SQL side

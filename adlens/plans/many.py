@@ -77,7 +77,7 @@ def reports_of_folder(spark: SparkSession, folder: str, profile: str = "lean", s
     """
     files = M.folder_files(spark, folder, {f for f in M.FORMATS if profile == "lean" or f != "ndjson"})
     found, blank = M.layouts(spark, [p for p, size in files if size])
-    failed = spark.createDataFrame([(p, f"ValueError: File is empty: {p}") for p in [*blank, *[p for p, size in files if not size]]], FAILED)
+    failed = spark.createDataFrame([(p, f"ValueError: {p} has no rows") for p in [*blank, *[p for p, size in files if not size]]], FAILED)
     sections: dict[str, DataFrame] = {}
     cached: list[DataFrame] = []
     rows = None

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from adlens.operators.normalize import infer_column_types, normalize, parse_dates
+from adlens.operators.normalize import DATE_FORMATS, discover_catalog, infer_column_types, map_columns_catalog, normalize, parse_dates
 from adlens.operators.rollups import campaign_summary
 from adlens.plans import sqltext as S
 from adlens.plans.catalog import register
 from adlens.functions.numeric import money_sum
-from adlens.sources.facts import events_funnel, table
+from adlens.sources.facts import ad_facts, events_funnel, table
 
 _TAIL = "'Unknown' AS region, 'Unknown' AS platform, event_type, props FROM events"
 
@@ -93,3 +93,54 @@ _FUNNEL_SQL = (
 def q_funnel_summary(spark, d):
     # the ad rollup over a second derived fact source: daily funnel per user bucket from events
     return campaign_summary(events_funnel(spark, d), money=money_sum)
+
+
+# --------------------------------------------------------------------------- catalog discovered from data
+
+_OBJECT = ("concat('{\"day\": \"', strftime(ts, '%Y-%m-%d'), '\", \"day_part\": ', CAST(hour(ts) AS VARCHAR), ', \"', event_type, '_value\": ', "
+           "coalesce(CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR), 'null'), '.5, ', substr(props, 2))")
+
+
+def _objects(spark, d):
+    """Events as JSON objects whose keys depend on the type of event, with the keys of their props."""
+    cents = F.coalesce(F.round(F.col("value") * 100).cast("long").cast("string"), F.lit("null"))
+    text = F.concat(F.lit('{"day": "'), F.date_format("ts", "yyyy-MM-dd"), F.lit('", "day_part": '), F.hour("ts").cast("string"), F.lit(', "'), F.col("event_type"),
+                    F.lit('_value": '), cents, F.lit(".5, "), F.substr("props", F.lit(2)))
+    return table(spark, d, "events").select("event_type", text.alias("object"))
+
+
+# ---- expected fields, by the names that occur (the second of two dates of a feed gets none) ----
+_FIELD = "CASE column_name WHEN 'day' THEN 'date' WHEN 'click_value' THEN 'clicks' WHEN 'purchase_value' THEN 'conversions' WHEN 'signup_value' THEN 'conversions' " \
+         "WHEN 'view_value' THEN 'revenue' WHEN 'error_value' THEN 'revenue' END"
+
+
+@register("catalog_fields", S.with_ctes(
+    f"SELECT feed, CAST(row_number() OVER (PARTITION BY feed ORDER BY column_name) - 1 AS INTEGER) AS ordinal, column_name, dtype, rows, {_FIELD} AS field FROM "
+    "(SELECT feed, column_name, CASE WHEN bool_or(t = 'VARCHAR') THEN 'STRING' WHEN bool_or(t = 'DOUBLE') THEN 'DOUBLE' ELSE 'BIGINT' END AS dtype, count(*) AS rows "
+    "FROM (SELECT feed, k AS column_name, json_type(o, '$.' || k) AS t FROM ks) x GROUP BY feed, column_name) g",
+    ob=f"SELECT event_type AS feed, {_OBJECT} AS o FROM events", ks="SELECT feed, o, unnest(json_keys(o)) AS k FROM ob WHERE json_valid(o)"))
+def q_catalog_fields(spark, d):
+    catalog = discover_catalog(_objects(spark, d), "event_type", "object")
+    fields = map_columns_catalog(catalog, "lean")
+    return catalog.join(fields.select("feed", "column_name", "field"), ["feed", "column_name"]).select("feed", "ordinal", "column_name", "dtype", "rows", "field")
+
+
+# --------------------------------------------------------------------------- dates as text, in every format
+
+_STRFTIME = {"yyyy-MM-dd": "%Y-%m-%d", "yyyy/MM/dd": "%Y/%m/%d", "dd-MM-yyyy": "%d-%m-%Y", "dd/MM/yyyy": "%d/%m/%Y", "yyyy.MM.dd": "%Y.%m.%d", "dd.MM.yyyy": "%d.%m.%Y"}
+_MIXED = "CASE WHEN l_orderkey % 2 = 0 THEN strftime(date, '%Y-%m-%d') ELSE strftime(date, '%d/%m/%Y') END"
+
+
+@register("normalize_date_formats", S.with_ctes(
+    " UNION ALL ".join(f"SELECT '{f}' AS format, CAST(date AS VARCHAR) AS day, count(*) AS n FROM ad_facts GROUP BY date" for f in _STRFTIME)
+    + f" UNION ALL SELECT 'mixed' AS format, {_MIXED} AS day, count(*) AS n FROM ad_facts GROUP BY 2", ad_facts=S.AD_FACTS_SQL))
+def q_normalize_date_formats(spark, d):
+    """The same days as text in each format become dates; a column in two formats stays text."""
+    facts, out = ad_facts(spark, d).select("date", "l_orderkey", "impressions"), None
+    mixed = F.when(F.col("l_orderkey") % 2 == 0, F.date_format("date", "yyyy-MM-dd")).otherwise(F.date_format("date", "dd/MM/yyyy"))
+    for name, text in [(f, F.date_format("date", f)) for f in DATE_FORMATS] + [("mixed", mixed)]:
+        feed = facts.select(text.alias("day"), F.lit("1").alias("campaign_id"), "impressions")
+        got, rep = normalize(feed, "lean")
+        part = got.groupBy(F.lit(name).alias("format"), F.col("date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out

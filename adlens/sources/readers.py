@@ -68,7 +68,7 @@ class SqliteDataSource(DataSource):
     def _table(self, con) -> str:
         t = self.options.get("table") or _first_table(con)
         if not t:
-            raise ValueError(f"No tables found in database: {self.options.get('path')}")
+            raise ValueError(f"{self.options.get('path')} holds no table")
         return t
 
     def schema(self) -> str:
@@ -127,12 +127,24 @@ def register_sources(spark: SparkSession) -> None:
 
 # --------------------------------------------------------------------------- dispatch
 
-def _json_is_array(spark: SparkSession, path: str) -> bool:
-    first = (
-        spark.read.text(path).select(F.ltrim("value").alias("v")).where(F.col("v") != "")
-        .select(F.substring("v", 1, 1).alias("c")).first()
-    )
-    return first is not None and first["c"] == "["
+def _json_is_array(spark: SparkSession, path: str, chunk: int = 4096) -> bool:
+    """Whether the first character that isn't blank is a bracket. Reads as many bytes as that takes, of one file."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = list(fs.globStatus(p) or [])
+    if len(files) == 1 and files[0].isDirectory():
+        files = [s for s in fs.listStatus(files[0].getPath()) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+    for status in files:
+        stream = fs.open(status.getPath())
+        try:
+            while head := bytes(stream.readNBytes(chunk)):
+                head = head.lstrip(b"\xef\xbb\xbf \t\r\n")
+                if head:
+                    return head[:1] == b"["
+        finally:
+            stream.close()
+    return False
 
 
 def read_any(spark: SparkSession, path: str, fmt: str | None = None, profile: str = "lean",
@@ -146,7 +158,7 @@ def read_any(spark: SparkSession, path: str, fmt: str | None = None, profile: st
     ext = (fmt or path.rstrip("/").rsplit(".", 1)[-1]).lower()
     kind = allowed.get(ext)
     if kind is None:
-        raise ValueError(f"Unsupported file type: {ext}. Supported: {', '.join(sorted(allowed))}")
+        raise ValueError(f"no reader for .{ext} files in the {profile} profile (it has: {', '.join(sorted(allowed))})")
     reader = spark.read.schema(schema) if schema is not None else spark.read
     # a row that does not fit the schema is an error, not nulls or a cut row
     opts = {"mode": "FAILFAST", **opts} if kind in ("csv", "ndjson", "json") else opts
@@ -161,7 +173,7 @@ def read_any(spark: SparkSession, path: str, fmt: str | None = None, profile: st
             df = reader.options(multiLine=_json_is_array(spark, path), **opts).json(path)
         else:
             if "://" not in path and not os.path.exists(path):
-                raise FileNotFoundError(f"Can't find the file: {path}")
+                raise FileNotFoundError(path)
             register_sources(spark)
             r = spark.read.format("sqlite").option("path", path)
             if table:
@@ -169,12 +181,12 @@ def read_any(spark: SparkSession, path: str, fmt: str | None = None, profile: st
             df = r.options(**opts).load()
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-            raise FileNotFoundError(f"Can't find the file: {path}") from e
-        raise RuntimeError(f"Failed to read {path}: {e}") from e
+            raise FileNotFoundError(path) from e
+        raise RuntimeError(f"{path} can't be read as {kind}: {e}") from e
     if "_corrupt_record" in df.columns:
-        raise RuntimeError(f"Failed to read {path}: malformed records")
+        raise RuntimeError(f"{path} has rows that are no {kind} records")
     if df.isEmpty():
-        raise ValueError(f"File is empty: {path}")
+        raise ValueError(f"{path} has no rows")
     return df
 
 

@@ -82,3 +82,35 @@ def test_chart_series_keeps_rows_without_a_date(spark):
         {"spend": F.lit(1.0), "impressions": F.lit(1), "clicks": F.lit(1), "campaign_name": F.lit("c"), "platform": F.lit("p")})
     total = chart_series(df).where("chart = 'dashboard' and series = 'revenue'").agg(F.sum("y")).first()[0]
     assert total == 7.0
+
+
+def test_findings_read_the_facts_three_times(spark):
+    """Statistics, scores, output: rows that pass a counting function tell how often the facts are computed."""
+    from pyspark.sql import functions as F
+
+    from adlens.operators import explain as X
+    from adlens.operators.features import all_stats, flag_by_contamination, zsum_score
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    n = 2000
+    facts = spark.range(n).select(F.lit("2025-11-01").alias("date"), F.lit("c").alias("campaign_name"), *[
+        (F.xxhash64("id", F.lit(c)) % 1000).cast("double").alias(c) for c in ("impressions", "clicks")])
+    facts = facts.mapInPandas(counted, facts.schema)
+    feats = ["impressions", "clicks"]
+    row, stats = all_stats(facts, feats)
+    X.explain_findings(flag_by_contamination(zsum_score(facts, feats, stats=row)), feats, stats).count()
+    assert seen.value <= 3 * n
+
+
+def test_alerts_of_rows_without_a_date_or_a_campaign(spark):
+    from adlens.operators import explain as X
+    from adlens.operators import forms as O
+    df = spark.createDataFrame([(None, None, None, 60_000, True)], "campaign_name string, date date, region string, impressions long, is_anomaly boolean")
+    r = X.row_alerts(df).first()
+    assert r.description == "Unknown Campaign had unusual activity on Unknown Date in Unknown" and r.summary == "Unknown Campaign - unusual metrics on Unknown Date"
+    assert O.quick_alerts(df).first().description == "Unknown Campaign - unusual metrics on Unknown Date (Unknown)"

@@ -139,3 +139,36 @@ def test_row_index_keeps_all_rows_after_a_shuffle(spark):
     for df in (wide.repartition("k"), wide.groupBy("id").agg(F.max("pad").alias("pad"))):
         out = row_index(df, "rid").agg(F.count("rid").alias("n"), F.count_distinct("rid").alias("d"), F.max("rid").alias("m")).first()
         assert (out["n"], out["d"], out["m"]) == (50_000, 50_000, 50_000)
+
+
+def test_catalog_of_awkward_objects(spark):
+    from adlens.operators.normalize import discover_catalog
+    rows = [("a", '{"x": 1, "Day": "d", "o": {"k": 1}}'), ("a", '{"x": 2.5}'), ("a", None), ("a", "no json"), ("a", "[1, 2]"), ("b", '{"x": 7, "n": null}'), (None, '{"x": "t"}')]
+    got = {(r.feed, r.column_name): (r.ordinal, r.dtype, r.rows) for r in discover_catalog(spark.createDataFrame(rows, "f string, j string"), "f", "j").collect()}
+    assert got == {("a", "Day"): (0, "STRING", 1), ("a", "o"): (1, "OBJECT<k: BIGINT>", 1), ("a", "x"): (2, "DOUBLE", 2),
+                   ("b", "n"): (0, "VOID", 1), ("b", "x"): (1, "BIGINT", 1), (None, "x"): (0, "STRING", 1)}
+
+
+def test_distinct_share_near_one_half_is_counted_exactly(spark):
+    from pyspark.sql import functions as F
+
+    from adlens.operators.normalize import infer_column_types
+    for distinct, kind in ((5000, "categorical"), (5001, "categorical_high_cardinality")):
+        df = spark.range(10_000).select(F.concat(F.lit("k"), F.least(F.col("id"), F.lit(distinct - 1)).cast("string")).alias("s"))
+        assert infer_column_types(df).first()["wide_type"] == kind
+
+
+def test_json_kind_is_told_by_the_first_character(spark, tmp_dir):
+    import os
+
+    from adlens.sources.readers import _json_is_array, read_any
+    for name, text, want in (("a", "  \n\t [{\"x\": 1}]", True), ("l", "{\"x\": 1}\n{\"x\": 2}", False), ("e", "", False), ("b", "\ufeff\n" + " " * 9000 + "[{\"x\": 1}]", True)):
+        p = f"{tmp_dir}/{name}.json"
+        with open(p, "w") as f:
+            f.write(text)
+        assert _json_is_array(spark, p) == want
+    assert not _json_is_array(spark, f"{tmp_dir}/absent.json")
+    os.makedirs(f"{tmp_dir}/d.json")
+    with open(f"{tmp_dir}/d.json/part.json", "w") as f:
+        f.write("[{\"x\": 1}]")
+    assert _json_is_array(spark, f"{tmp_dir}/d.json") and read_any(spark, f"{tmp_dir}/l.json").count() == 2
