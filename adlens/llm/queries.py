@@ -123,39 +123,67 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+_LICENCE_FILE = r"(?i)^[^\n]*licen[cs]ed? |licen[cs][^\n]*\s*$"
+
+
 @query
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of a tree: source / thousands / hundreds / file. A text that opens with a licence line is
-    its directory's licence file."""
+    """Documents as files of a tree: source / thousands / hundreds / file. A text whose first line opens a licence, or
+    whose last line speaks of one, is its directory's licence file."""
     docs = table(spark, sf_dir, "documents")
-    opens = F.coalesce(F.col("text").rlike(r"(?i)^[^\n]*licen[cs]ed? "), F.lit(False))
+    opens = F.coalesce(F.col("text").rlike(_LICENCE_FILE), F.lit(False))
     path = F.concat_ws("/", "source", F.expr("cast(doc_id div 1000 as string)"), F.expr("cast(doc_id div 100 as string)"),
                        F.concat(F.when(opens, "LICENSE-").otherwise("file-"), F.col("doc_id").cast("string")))
     return licenses.scan_licenses(docs.withColumn("path", path), F.col("path").contains("/LICENSE-"))
 
 
-_NOTICES = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(licenses.TEMPLATES))
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_NOTICES = ",\n".join("({}, {}, {}, {}, {})".format(i, _sql(n), *map(_sql, licenses.deciding_words(t)), _sql(t))
+                      for i, (n, t) in enumerate([*licenses.TEMPLATES, *licenses.MORE_TEMPLATES]))
+_MARK = _sql(licenses.MARKERS)
+# DuckDB's expressions have no look-around. A version is the head of a run of digits and points; an SPDX id is a run
+# of its letters less one ending; a sentence ends where a mark and white space are, which become one character.
+_HELD = ", ".join(f"CASE WHEN regexp_matches(low, {_sql(p)}) THEN '{k}' END" for k, p in licenses.FAMILIES.items())
+_KINDS = ", ".join(f"CASE WHEN regexp_matches(low, {_sql(p)}) THEN '{k}' END" for k, p in licenses.KINDS.items())
+_VERSIONS = (r"list_filter(list_transform(regexp_extract_all(low, '[0-9.]+'), lambda r: regexp_extract(r, '^([0-9](?:\.[0-9])?)(?:$|\.$|\.\.)', 1)), lambda v: v <> '')")
+_IDS = (r"list_filter(list_transform(regexp_extract_all(low, 'spdx-license-identifier: *([a-z0-9.+-]+)', 1), "
+        r"lambda r: regexp_extract(r, '^([a-z0-9.-]+?)(?:-only|-or-later|\+)?$', 1)), lambda v: v <> '')")
 ORACLES["op9_license_scan"] = r"""
-WITH t AS (SELECT * FROM (VALUES """ + _NOTICES + r""") AS v(t, name, text)),
-tt AS (SELECT t, name, w AS term, count(*) AS n FROM (SELECT t, name, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM t) GROUP BY ALL),
+WITH t AS (SELECT * FROM (VALUES """ + _NOTICES + r""") AS v(t, name, t_held, t_kinds, text)),
+tt AS (SELECT t, name, t_held, t_kinds, w AS term, count(*) AS n FROM
+       (SELECT t, name, t_held, t_kinds, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM t) GROUP BY ALL),
 f AS (SELECT doc_id, text, concat_ws('/', source, CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 100 AS VARCHAR),
-             CASE WHEN coalesce(regexp_matches(text, '(?i)^[^
-]*licen[cs]ed? '), false) THEN 'LICENSE-' ELSE 'file-' END || doc_id) AS path FROM documents),
-ln AS (SELECT doc_id, l, x FROM (SELECT doc_id, generate_subscripts(ls, 1) AS l, unnest(ls) AS x FROM
-       (SELECT doc_id, regexp_split_to_array(text, '
-?
-') AS ls FROM f))
-       WHERE regexp_matches(x, '(?i)licen[cs]|copyright|spdx|permission is hereby|redistribut|public domain')),
-c AS (SELECT doc_id, l, w AS term, count(*) AS n FROM (SELECT doc_id, l, unnest(regexp_extract_all(lower(x), '[a-z0-9]+')) AS w FROM ln) GROUP BY ALL),
-nf AS (SELECT count(DISTINCT doc_id) AS n_files FROM c),
-idf AS (SELECT term, ln((1.0 + n_files) / (1.0 + coalesce(df, 0))) + 1 AS idf, known FROM
-        (SELECT term, bool_or(known) AS known FROM (SELECT DISTINCT term, true AS known FROM tt UNION ALL SELECT DISTINCT term, false FROM c) GROUP BY term)
-        LEFT JOIN (SELECT term, count(DISTINCT doc_id) AS df FROM c WHERE term IN (SELECT term FROM tt) GROUP BY term) USING (term), nf),
-tw AS (SELECT t, name, term, n * idf AS w FROM tt JOIN idf USING (term)),
+             CASE WHEN coalesce(regexp_matches(text, """ + _sql(_LICENCE_FILE) + r"""), false) THEN 'LICENSE-' ELSE 'file-' END || doc_id) AS path FROM documents),
+marked AS (SELECT doc_id, text, regexp_split_to_array(text, '\r?\n') AS ls,
+                  list_filter(regexp_split_to_array(text, '\r?\n[^A-Za-z0-9\n]*\n'), lambda x: regexp_matches(x, """ + _MARK + r""")) AS ps
+           FROM f WHERE regexp_matches(text, """ + _MARK + r""")),
+spots AS (SELECT doc_id, ls, i FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM marked) WHERE regexp_matches(ls[i], """ + _MARK + r""")),
+lines AS (SELECT DISTINCT doc_id, ls[i] AS x FROM spots),
+sentences AS (SELECT doc_id, unnest(string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS x FROM (SELECT doc_id, unnest(ps) AS p FROM marked)),
+others AS (SELECT doc_id, array_to_string(ls[greatest(i - 1, 1):i], ' ') AS x FROM spots
+           UNION SELECT doc_id, array_to_string(ls[i:i + 1], ' ') FROM spots
+           UNION SELECT doc_id, array_to_string(ls[greatest(i - 1, 1):i + 1], ' ') FROM spots
+           UNION SELECT doc_id, x FROM sentences WHERE regexp_matches(x, """ + _MARK + r""")
+           UNION SELECT doc_id, unnest(ps) FROM marked UNION SELECT doc_id, text FROM marked),
+block AS (SELECT doc_id, row_number() OVER () AS l, line, x, lower(x) AS low FROM
+          (SELECT doc_id, true AS line, x FROM lines UNION ALL SELECT doc_id, false, x FROM (SELECT * FROM others EXCEPT SELECT * FROM lines))),
+known AS (SELECT doc_id, l, line, low, list_filter([""" + _HELD + r"""], lambda k: k IS NOT NULL)
+                 || list_transform(""" + _VERSIONS + r""", lambda v: CASE WHEN contains(v, '.') THEN v ELSE v || '.0' END) AS held,
+                 array_to_string(list_filter([""" + _KINDS + r"""], lambda k: k IS NOT NULL) || """ + _IDS + r""", ' ') AS kinds FROM block),
+c AS (SELECT doc_id, l, line, w AS term, count(*) AS n FROM (SELECT doc_id, l, line, unnest(regexp_extract_all(low, '[a-z0-9]+')) AS w FROM known) GROUP BY ALL),
+nf AS (SELECT count(DISTINCT doc_id) AS n_files FROM c WHERE line),
+idf AS (SELECT term, ln((1.0 + n_files) / (1.0 + coalesce(df, 0))) + 1 AS idf FROM
+        (SELECT DISTINCT term FROM tt UNION SELECT DISTINCT term FROM c)
+        LEFT JOIN (SELECT term, count(DISTINCT doc_id) AS df FROM c WHERE line AND term IN (SELECT term FROM tt) GROUP BY term) USING (term), nf),
+tw AS (SELECT t, name, t_held, t_kinds, term, n * idf AS w FROM tt JOIN idf USING (term)),
 tn AS (SELECT t, sqrt(sum(w * w)) AS t_norm FROM tw GROUP BY t),
 cw AS (SELECT doc_id, l, term, n * idf AS w FROM c JOIN idf USING (term)),
 cn AS (SELECT doc_id, l, sqrt(sum(w * w)) AS norm FROM cw GROUP BY ALL),
-dot AS (SELECT doc_id, l, t, name, sum(cw.w * tw.w / t_norm) AS dot FROM cw JOIN tw USING (term) JOIN tn USING (t) GROUP BY ALL),
+fits AS (SELECT k.doc_id, k.l, t.t FROM known k JOIN t ON k.kinds = t.t_kinds AND (t.t_held = '' OR list_has_all(k.held, string_split(t.t_held, ' ')))),
+dot AS (SELECT doc_id, l, t, name, sum(cw.w * tw.w / t_norm) AS dot FROM cw JOIN fits USING (doc_id, l) JOIN tw USING (t, term) JOIN tn USING (t) GROUP BY ALL),
 best AS (SELECT doc_id, name AS own_license, score AS own_score FROM
          (SELECT doc_id, name, round(dot / norm, 6) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY round(dot / norm, 6) DESC, name) AS r
           FROM dot JOIN cn USING (doc_id, l)) WHERE r = 1 AND score >= 0.6),
