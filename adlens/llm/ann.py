@@ -6,12 +6,15 @@ code is split into substrings and each substring is indexed. By the pigeonhole p
 bits has a substring within its share of the radius, so probing all substring values within those shares retrieves
 every code within the radius; codes are then checked in full, and the rest is ranked by the original floats.
 
-Rotation and radius are fitted on a bounded sample (``sample`` rows of least hash): the radius holds ``recall`` of
+Rotation and radius are fitted on a bounded sample (about ``sample`` rows, by a cut on their hash): the radius holds ``recall`` of
 the sampled rows' nearest pairs, as many of each row as stand for k among all rows. Every row is indexed. Where a block
 holds fewer than k codes within the radius, the radius of that query grows there until it has k or the block ends.
 
-Rows are packed into blocks of a bounded size, and query blocks meet row blocks one pair at a time; each pair
-yields the k best of each query, which are merged by rank.
+A substring has 16 bits: where the radius leaves each substring a share of few bits, the values within that share are
+looked up one by one; a larger share is compared with the values that occur in the block.
+
+Rows are packed into blocks of a bounded size, and query blocks meet row blocks one pair at a time; a block's index is
+built once for all query blocks it meets in a task. Each pair yields the k best of each query, merged by rank.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids
 and vectors of another length than the most common one; rows that repeat an id are one (the least vector); ties
@@ -27,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize
+from .common import arrow_rows, hash_sample, materialize, ranges
 
 BITS = 128
-SUB = 8  # bits of a substring
+SUB = 16  # bits of a substring
 OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -69,38 +72,51 @@ def learn_radius(x: np.ndarray, codes: np.ndarray, k: int, n: int, recall: float
     return int(np.ceil(np.quantile(np.take_along_axis(far, at, axis=1), recall)))
 
 
-_NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
+_WEIGHT = np.bitwise_count(np.arange(1 << SUB, dtype=np.uint16))
+#: All differences of a substring of at most so many bits.
+_BALLS = [np.flatnonzero(_WEIGHT <= r).astype(np.uint16) for r in range(4)]
 
 
 class CodeIndex:
-    """Codes of one block and, for each substring, the rows by substring value."""
+    """Codes of one block and, for each substring, its values in order and the rows of each."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
         self.words = np.ascontiguousarray(codes).view(np.uint64)
-        self.order = [np.argsort(codes[:, j], kind="stable") for j in range(codes.shape[1])]
-        self.start = [np.searchsorted(codes[o, j], np.arange(257)) for j, o in enumerate(self.order)]
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows of all codes within the radius: union of the probes, then the check in full."""
-        m = len(self.order)
+        self.parts = np.ascontiguousarray(codes).view(np.uint16)
+        self.columns = []
+        for part in self.parts.T:
+            order = np.argsort(part, kind="stable")
+            values, start = np.unique(part[order], return_index=True)
+            self.columns.append((values, order, start, np.diff(np.r_[start, len(order)])))
+
+    def probed(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows with a substring within its share of the radius."""
+        own, m = code.view(np.uint16), len(self.columns)
         share, more = divmod(radius + 1, m)  # shares add up to radius + 1 - m, so one of them must hold
-        found = np.zeros(len(self.codes), bool)
-        for j in range(m):
+        found = np.zeros(len(self.words), bool)
+        for j, (values, order, start, count) in enumerate(self.columns):
             reach = share - 1 + (j < more)
             if reach < 0:
                 continue
-            start, order = self.start[j], self.order[j]
-            for v in np.flatnonzero(_NEAR[code[j]] <= reach):
-                found[order[start[v] : start[v + 1]]] = True
-        rows = np.flatnonzero(found)
+            if reach < len(_BALLS) and len(_BALLS[reach]) < len(values):
+                wanted = _BALLS[reach] ^ own[j]
+                at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+                at = at[values[at] == wanted]
+            else:
+                at = np.flatnonzero(_WEIGHT[values ^ own[j]] <= reach)
+            found[order[ranges(start[at], count[at])]] = True
+        return np.flatnonzero(found)
+
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows of all codes within the radius: union of the probes, then the check in full."""
+        rows = self.probed(code, radius)
         far = np.bitwise_count(self.words[rows] ^ code.view(np.uint64)).sum(axis=1)
         return rows[far <= radius]
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, rotation: np.ndarray, k: int, radius: int):
+def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, rotation: np.ndarray, k: int, radius: int, index: CodeIndex | None = None):
     """The k nearest found in one block for each query: arrays (query_id, vec_id, score)."""
-    index, codes = CodeIndex(encode(x, rotation)), encode(q, rotation)
+    index, codes = index or CodeIndex(encode(x, rotation)), encode(q, rotation)
     bits = rotation.shape[1]
     out_q, out_v, out_s = [], [], []
     for i in range(len(q)):
@@ -140,11 +156,10 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield arrow_rows(schema, block=[block], ids=[np.concatenate(ids).tobytes()], vectors=[np.concatenate(vectors).tobytes()])
 
 
-def blocks(vectors: DataFrame, rows: int, size: int, name: str) -> tuple[DataFrame, int]:
-    n = max(1, -(-rows // size))
-    dealt = vectors.repartition(n).select(F.spark_partition_id().alias("block"), "vec_id", "v")
-    packed = materialize(dealt.mapInArrow(_pack, "block int, ids binary, vectors binary"), name)
-    return packed, n
+def blocks(vectors: DataFrame, n: int, name: str) -> DataFrame:
+    """Rows dealt by their id into ``n`` partitions, each one packed row."""
+    dealt = vectors.repartition(n, "vec_id").select(F.spark_partition_id().alias("block"), "vec_id", "v")
+    return materialize(dealt.mapInArrow(_pack, "block int, ids binary, vectors binary"), name)
 
 
 def clean_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -164,27 +179,32 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     base = clean_vectors(df, id_col, vec_col)
     queries = base.filter(is_query)
     n, n_q = base.count(), queries.count()
-    fit = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column("v").combine_chunks()
-    if not len(fit):
+    fit = hash_sample(base, F.xxhash64("vec_id"), sample).orderBy("o", "vec_id").select("v").toArrow().column("v").combine_chunks()
+    if not len(fit) or not n_q:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = fit.flatten().to_numpy().reshape(len(fit), -1)
     rotation = learn_rotation(x, bits)
     radius = learn_radius(x, encode(x, rotation), k, n, recall)
     held = spark.sparkContext.broadcast(rotation)  # dimensions x bits floats
 
-    rows, n_blocks = blocks(base, n, block_rows, "rows")
-    asked, _ = blocks(queries, n_q, block_queries, "queries")
-    each = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
-    pairs = rows.join(each, "block")
+    n_blocks = max(-(-n // block_rows), 4 * spark.sparkContext.defaultParallelism)
+    rows = blocks(base, n_blocks, "rows")
+    asked = blocks(queries, max(1, -(-n_q // block_queries)), "queries")
+    last, parts = rows.agg(F.max("block")).first()[0], 2 * n_blocks
+    each = asked.select(F.explode(F.sequence(F.lit(0), F.lit(last))).alias("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
+    # both sides are dealt by the row block, so that a block stays in one task with all queries
+    pairs = rows.repartition(parts, "block").join(each.repartition(parts, "block").hint("merge"), "block")
     dim = x.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rot = held.value
+        rot, index, of = held.value, None, None
         for batch in batches:
             for i in range(len(batch)):
                 get = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)  # noqa: B023, E731
-                q, v, s = search_block(get("q_ids", np.int64), get("q", np.float64).reshape(-1, dim), get("ids", np.int64),
-                                       get("vectors", np.float64).reshape(-1, dim), rot, k, radius)
+                x = get("vectors", np.float64).reshape(-1, dim)
+                if batch.column("block")[i].as_py() != of:
+                    of, index = batch.column("block")[i].as_py(), CodeIndex(encode(x, rot))
+                q, v, s = search_block(get("q_ids", np.int64), get("q", np.float64).reshape(-1, dim), get("ids", np.int64), x, rot, k, radius, index)
                 yield arrow_rows(OUT, query_id=q, vec_id=v, score=s)
 
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")

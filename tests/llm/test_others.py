@@ -65,6 +65,23 @@ def test_index_retrieves_every_code_within_the_radius():
             assert index.within(codes[i], radius).tolist() == np.flatnonzero(far <= radius).tolist()
 
 
+def test_probes_prune_where_neighbours_are_close():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(200, 64))
+    x = (centres[:, None, :] + rng.normal(0, 0.02, (200, 30, 64))).reshape(-1, 64)  # groups of near vectors
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rotation = ann.learn_rotation(x[::3], ann.BITS)
+    codes = ann.encode(x, rotation)
+    radius = ann.learn_radius(x, codes, 20, len(x), 0.97)
+    index, shares, hits = ann.CodeIndex(codes), [], 0
+    for i in range(0, len(x), 60):
+        found = index.within(codes[i], radius)
+        shares.append(len(index.probed(codes[i], radius)) / len(x))
+        near = np.argsort(-(x @ x[i]), kind="stable")[:21]
+        hits += len(set(near.tolist()) & set(found.tolist()))
+    assert np.mean(shares) < 0.2 and hits >= 0.9 * 21 * len(shares)
+
+
 def test_recall_of_the_registered_search(spark, sf_small):
     e = spark.read.parquet(f"{sf_small}/embeddings.parquet").collect()
     ids, x = np.array([r.vec_id for r in e]), np.array([r.embedding for r in e], float)
