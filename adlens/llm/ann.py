@@ -144,21 +144,30 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarra
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for the whole partition: ids and vectors as bytes."""
+    """One row for each block of the partition: ids and vectors as bytes. Rows arrive sorted by block."""
     schema = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())])
-    ids, vectors, block = [], [], 0
+    held: list[pa.RecordBatch] = []
+
+    def packed() -> pa.RecordBatch:
+        ids = np.concatenate([b.column("vec_id").to_numpy().astype(np.int64) for b in held])
+        vectors = np.concatenate([b.column("v").flatten().to_numpy().astype(np.float64) for b in held])
+        return arrow_rows(schema, block=[held[0].column("block")[0].as_py()], ids=[ids.tobytes()], vectors=[vectors.tobytes()])
+
     for batch in batches:
-        if len(batch):
-            block = batch.column("block")[0].as_py()
-            ids.append(batch.column("vec_id").to_numpy().astype(np.int64))
-            vectors.append(batch.column("v").flatten().to_numpy().astype(np.float64))
-    if ids:
-        yield arrow_rows(schema, block=[block], ids=[np.concatenate(ids).tobytes()], vectors=[np.concatenate(vectors).tobytes()])
+        block = batch.column("block").to_numpy()
+        cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
+        for lo, hi in zip(cuts, np.r_[cuts[1:], len(block)], strict=False):
+            if held and held[0].column("block")[0].as_py() != block[lo]:
+                yield packed()
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield packed()
 
 
 def blocks(vectors: DataFrame, n: int, name: str) -> DataFrame:
-    """Rows dealt by their id into ``n`` partitions, each one packed row."""
-    dealt = vectors.repartition(n, "vec_id").select(F.spark_partition_id().alias("block"), "vec_id", "v")
+    """Rows dealt by their id into ``n`` blocks, each one packed row."""
+    dealt = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"), "vec_id", "v").repartition(n, "block").sortWithinPartitions("block", "vec_id")
     return materialize(dealt.mapInArrow(_pack, "block int, ids binary, vectors binary"), name)
 
 

@@ -78,12 +78,8 @@ def usable(df: DataFrame, label: Column, id_col: str, vec_col: str, scale: int)
     return one.groupBy("vec_id").agg(F.min("r").alias("r")).select("vec_id", "r.label", "r.q")
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for a whole partition of bounded size, in order of id."""
-    parts = [b for b in batches if len(b)]
-    if not parts:
-        return
-    rows = pa.Table.from_batches(parts).sort_by("vec_id").combine_chunks()
+def _packed(rows: pa.Table) -> pa.RecordBatch:
+    """One row for the rows of one block."""
     col = lambda name: rows.column(name).combine_chunks()
     numbers = lambda a: a.to_numpy(zero_copy_only=False).astype(np.int64).tobytes()
     extra = [b"", b"", b""]
@@ -91,13 +87,28 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos = col("pos")
         flat = pos.flatten()
         extra = [np.diff(pos.offsets.to_numpy()).astype(np.int64).tobytes(), numbers(flat.field("positive_id")), numbers(flat.field("positive_score"))]
-    yield arrow_rows(PACK, block=[col("block")[0].as_py()], ids=[numbers(col("vec_id"))], labels=[numbers(col("label"))],
-                     q=[numbers(col("q").flatten())], n_pos=extra[:1], pos_ids=extra[1:2], pos_scores=extra[2:])
+    return arrow_rows(PACK, block=[col("block")[0].as_py()], ids=[numbers(col("vec_id"))], labels=[numbers(col("label"))],
+                      q=[numbers(col("q").flatten())], n_pos=extra[:1], pos_ids=extra[1:2], pos_scores=extra[2:])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block of the partition, in order of id. Rows arrive sorted by block and id."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
+        for lo, hi in zip(cuts, np.r_[cuts[1:], len(block)], strict=False):
+            if held and held[0].column("block")[0].as_py() != block[lo]:
+                yield _packed(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield _packed(pa.Table.from_batches(held))
 
 
 def blocks(rows: DataFrame, n: int, name: str) -> DataFrame:
-    """Packed blocks: rows dealt by their id into ``n`` partitions, each one row."""
-    dealt = rows.repartition(n, "vec_id").select(F.spark_partition_id().alias("block"), *rows.columns)
+    """Packed blocks: rows dealt by their id into ``n`` blocks, each one row."""
+    dealt = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"), *rows.columns).repartition(n, "block").sortWithinPartitions("block", "vec_id")
     return materialize(dealt.mapInArrow(_pack, PACK_DDL), name)
 
 
