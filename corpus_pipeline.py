@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences, in stages that can be run and resumed one by one.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each as Parquet into the shared scratch
-folder and hands the reread table to the next. All stages but the last return the columns of ``documents``.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each as Parquet and hands the reread
+table to the next. All stages but the last return the columns of ``documents``; the last one's rows carry their token ids.
+Without a folder, ``run`` writes below the shared scratch folder. With one, a stage that is finished there (its write
+was committed) is not run again, so a run that was cut off goes on where it stopped.
 Packing needs a tokenizer and near-duplicate groups need iteration, so SQL can't express the whole (ORACLE_SQL is None);
 tests/llm hold the stages against brute force.
 """
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlens.llm import langid
-from adlens.llm.common import materialize, table
+from adlens.llm.common import finished, materialize, table
 from adlens.llm.decontaminate import remove_contaminated
 from adlens.llm.packing import pack
 from adlens.llm.queries import vocabulary
@@ -42,8 +44,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places every piece of every document in a sequence of at most 4096 tokens."""
-    return pack(docs, vocabulary("word_bpe_49k.json"), with_ids=False).drop("ids")
+    """Places every piece of every document, with its token ids, in a sequence of at most 4096 tokens."""
+    return pack(docs, vocabulary("word_bpe_49k.json"))
 
 
 STAGES = [
@@ -57,9 +59,15 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over ``documents``; ``folder``: a shared folder of this run's own, to resume in."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    for i, (name, stage) in enumerate(STAGES):
+        if folder is None:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            continue
+        path = f"{folder.rstrip('/')}/{i}-{name}"
+        if not finished(spark, path):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -165,3 +165,27 @@ def test_pipeline_of_awkward_rows(spark, edge_docs, sf_small):
         docs = out
     for name, stage in P.STAGES:
         assert stage(spark, edge_docs.withColumn("lang", F.lit("en")).limit(0), sf_small).count() == 0
+
+
+def test_pipeline_goes_on_where_it_stopped_and_keeps_the_tokens(spark, sf_small, tmp_dir, monkeypatch):
+    ran = []
+
+    def noted(name, stage, broken=False):
+        def run(spark, docs, sf_dir):
+            ran.append(name)
+            if broken:
+                raise RuntimeError("lost")
+            return stage(spark, docs, sf_dir)
+        return name, run
+
+    stages = P.STAGES
+    monkeypatch.setattr(P, "STAGES", [noted(n, s, n == "repeated_passages") for n, s in stages])
+    with pytest.raises(RuntimeError):
+        P.run(spark, sf_small, tmp_dir)
+    monkeypatch.setattr(P, "STAGES", [noted(n, s) for n, s in stages])
+    ran.clear()
+    rows = P.run(spark, sf_small, tmp_dir).collect()
+    assert ran == ["repeated_passages", "decontaminated", "packed"]
+    assert rows and all(len(r.ids) == 4 * r.length for r in rows)
+    ran.clear()
+    assert P.run(spark, sf_small, tmp_dir).count() == len(rows) and not ran
