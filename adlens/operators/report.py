@@ -14,8 +14,8 @@ from adlens.functions.text import (
     STATUS_ATTENTION,
     STATUS_NORMAL,
 )
-from adlens.operators.rows import one_row
-from adlens.operators.rollups import aggregate_by_date, campaign_rollup, kpi_totals, platform_rollup
+from adlens.operators.rows import once, one_row
+from adlens.operators.rollups import kpi_totals
 
 # Whitespace as Python's str.strip() sees it in practice (ASCII set), written the
 # same in Java and RE2 regular expressions.
@@ -48,32 +48,29 @@ def summary_text(df: DataFrame, n_findings: DataFrame | None = None, money=raw_s
 def chart_series(df: DataFrame, top_k: int = 10, money=raw_sum) -> DataFrame:
     """K3: long table (chart, series, x, y, ord) behind the dashboard, campaign and platform charts.
 
-    One per-day aggregate feeds all five daily series (unpivot); rows without a
-    date are one day of their own, first in order.
+    One pass over the facts: grouping sets by day, campaign and platform, whose few rows are checkpointed and feed all
+    series. Rows without a date are one day of their own, first in order. Without a platform column that chart is left out.
     """
-    d = aggregate_by_date(df, metrics=["impressions", "clicks", "revenue", "spend"], money=money)
-    d = d.withColumn("roi", safe_ratio(F.col("revenue") - F.col("spend"), "spend", 100.0))
-    w = Window.orderBy("date")
-    daily = d.select(
-        F.col("date").cast("string").alias("x"), F.row_number().over(w).alias("ord"),
-        *[F.col(c).cast("double").alias(c) for c in ["impressions", "clicks", "revenue", "spend", "roi"]],
-    ).unpivot(["x", "ord"], ["impressions", "clicks", "revenue", "spend", "roi"], "series", "y") \
-        .withColumn("chart", F.lit("dashboard"))
-    camp = campaign_rollup(df, money).limit(top_k)
-    wc = Window.orderBy(F.desc("revenue"), "campaign_name")
-    camp = camp.select(
-        F.lit("campaign").alias("chart"), F.lit("revenue").alias("series"), F.col("campaign_name").alias("x"),
-        F.col("revenue").cast("double").alias("y"), F.row_number().over(wc).alias("ord"),
-    )
-    plat = platform_rollup(df, money=money)
-    wp = Window.orderBy(F.desc("revenue"), "platform")
-    plat = plat.select(
-        F.lit("platform").alias("chart"), F.lit("revenue").alias("series"), F.col("platform").alias("x"),
-        F.col("revenue").cast("double").alias("y"), F.row_number().over(wp).alias("ord"),
-    )
+    sums = [(money(m) if m in ("revenue", "spend") else F.sum(m).cast("bigint")).alias(m) for m in ("impressions", "clicks", "revenue", "spend")]
+    dims = [c for c in ("date", "campaign_name", "platform") if c in df.columns]
+    every = once(df.groupingSets([[c] for c in dims], *dims).agg(*sums, *[F.grouping(c).alias(f"g_{c}") for c in dims]))
+    of = lambda c: every.where(F.col(f"g_{c}") == 0)
+    d = of("date").withColumn("roi", safe_ratio(F.col("revenue") - F.col("spend"), "spend", 100.0))
+    values = ["impressions", "clicks", "revenue", "spend", "roi"]
+    daily = d.select(F.col("date").cast("string").alias("x"), F.row_number().over(Window.orderBy("date")).alias("ord"),
+                     *[F.col(c).cast("double").alias(c) for c in values]).unpivot(["x", "ord"], values, "series", "y").withColumn("chart", F.lit("dashboard"))
     cols = ["chart", "series", "x", "y", "ord"]
-    return daily.select(*cols).unionByName(camp.select(*cols)).unionByName(plat.select(*cols)) \
-        .withColumn("ord", F.col("ord").cast("bigint"))
+
+    def ranked(c: str, chart: str, k: int | None) -> DataFrame:
+        rows = of(c).orderBy(F.desc("revenue"), c)
+        rows = rows if k is None else rows.limit(k)
+        return rows.select(F.lit(chart).alias("chart"), F.lit("revenue").alias("series"), F.col(c).alias("x"), F.col("revenue").cast("double").alias("y"),
+                           F.row_number().over(Window.orderBy(F.desc("revenue"), c)).alias("ord"))
+
+    out = daily.select(*cols).unionByName(ranked("campaign_name", "campaign", top_k))
+    if "platform" in dims:
+        out = out.unionByName(ranked("platform", "platform", None))
+    return out.withColumn("ord", F.col("ord").cast("bigint"))
 
 
 # --------------------------------------------------------------------------- model-response text

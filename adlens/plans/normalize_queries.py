@@ -10,6 +10,7 @@ from adlens.plans import sqltext as S
 from adlens.plans.catalog import register
 from adlens.functions.numeric import money_sum
 from adlens.sources.facts import ad_facts, events_funnel, table
+from adlens.sources.footers import footer_profile
 
 _TAIL = "'Unknown' AS region, 'Unknown' AS platform, event_type, props FROM events"
 
@@ -144,3 +145,18 @@ def q_normalize_date_formats(spark, d):
         part = got.groupBy(F.lit(name).alias("format"), F.col("date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# --------------------------------------------------------------------------- a table's profile from its footers
+
+_ORDERS = [("o_orderkey", True), ("o_custkey", True), ("o_orderstatus", False), ("o_orderdate", False)]
+
+
+def _footer_sql() -> str:
+    ends = lambda c, yes: f"CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max" if yes else "CAST(NULL AS VARCHAR) AS min, CAST(NULL AS VARCHAR) AS max"
+    return "\nUNION ALL\n".join(f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, {ends(c, yes)} FROM orders" for c, yes in _ORDERS)
+
+
+@register("footer_profile", _footer_sql())
+def q_footer_profile(spark, d):
+    return footer_profile(spark, f"{d}/orders.parquet").where(F.col("column_name").isin([c for c, _ in _ORDERS])).select("column_name", "row_count", "null_count", "min", "max")

@@ -29,6 +29,7 @@ from adlens.operators.detect import detect
 from adlens.operators.features import feature_columns
 from adlens.operators.metrics import row_metrics
 from adlens.operators.normalize import normalize
+from adlens.plans.publish import publish
 from adlens.sources.readers import read_any
 
 FORMAT_OF = {"csv": "csv", "json": "json", "ndjson": "ndjson", "parquet": "parquet",
@@ -135,12 +136,15 @@ def write_report(tables: dict[str, DataFrame], out_dir: str, report_id: str, run
 
 
 def process_file(spark: SparkSession, path: str, out_dir: str, profile: str = "lean", run_ts: str | None = None,
-                 **kw) -> dict:
-    """3.1/3.2: read one file, build its report, write it; returns what was written."""
+                 atomic: bool = False, **kw) -> dict:
+    """3.1/3.2: read one file, build its report, write it; returns what was written.
+
+    ``atomic``: all sections become visible by one commit (``plans.publish``) instead of one by one.
+    """
     df = read_any(spark, path, profile=profile)
     rid = report_id_of(path)
     tables = analyze(df, profile=profile, title_stem=stem_of(path), **kw)
     try:
-        return write_report(tables, out_dir, rid, run_ts)
+        return publish(tables, out_dir, rid) if atomic else write_report(tables, out_dir, rid, run_ts)
     finally:
         release(tables)

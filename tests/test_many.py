@@ -164,3 +164,24 @@ def _draft(spark, folder):
     with open(f"{folder}/manifests/r/x.draft", "w") as f:
         f.write("{}")
     return f"{folder}/manifests/r/x.draft"
+
+
+def test_footers_answer_without_a_scan(spark, tmp_dir):
+    import contextlib
+    import io
+
+    from adlens.sources.footers import footer_aggregate, footer_profile
+    df = spark.range(1000).select("id", F.when(F.col("id") % 10 > 0, F.col("id") * 0.5).alias("x"), F.col("id").cast("string").alias("s"),
+                                  F.array("id").alias("a"), (F.col("id") > 3).alias("b"), F.lit(None).cast("int").alias("none"))
+    df.repartition(3).write.parquet(f"{tmp_dir}/t")
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        footer_aggregate(spark, f"{tmp_dir}/t").explain("formatted")
+    assert "PushedAggregation: [COUNT(*)" in out.getvalue()
+    got = {r.column_name: (r.row_count, r.null_count, r.min, r.max) for r in footer_profile(spark, f"{tmp_dir}/t").collect()}
+    assert got == {"id": (1000, 0, "0", "999"), "x": (1000, 100, "0.5", "499.5"), "s": (1000, 0, None, None), "a": (1000, None, None, None),
+                   "b": (1000, 0, "false", "true"), "none": (1000, 1000, None, None)}
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+    df.drop("none").write.parquet(f"{tmp_dir}/full")
+    assert {r.column_name: (r.row_count, r.null_count, r.min, r.max) for r in footer_profile(spark, f"{tmp_dir}/full").collect()} == {k: v for k, v in got.items() if k != "none"}
+    assert footer_aggregate(spark, f"{tmp_dir}/full").first() == footer_aggregate(spark, f"{tmp_dir}/full", scan=True).first()

@@ -105,3 +105,13 @@ def test_wide_profile_forest_pipeline(spark, tmp_dir):
         assert t["findings_summary"].where("dimension = 'total'").count() == 1
     finally:
         release(t)
+
+
+def test_process_file_commits_all_sections_at_once(spark, tmp_dir):
+    from adlens.plans.publish import published
+    p = f"{tmp_dir}/one.csv"
+    with open(p, "w") as f:
+        f.write("date,campaign,impressions,clicks,conversions,cost,revenue\n" + "".join(f"2025-11-{i + 1:02d},c{i % 2},{1000 + i},{10 + i},1,{5.5 + i},{9.25 * i}\n" for i in range(12)))
+    res = process_file(spark, p, f"{tmp_dir}/out", method="zsum", atomic=True)
+    got = published(spark, f"{tmp_dir}/out", res["report_id"])
+    assert set(got) == set(res["sections"]) >= {"kpis", "findings", "summary"} and got["kpis"].count() == 1 and got["daily"].count() == 12
