@@ -81,10 +81,13 @@ def clean_stats(df: DataFrame, feature_cols: list[str]) -> dict:
     return df.agg(*[a for c in feature_cols for a in _clean_aggs(c)]).first().asDict()
 
 
-def all_stats(df: DataFrame, feature_cols: list[str]) -> tuple[dict, DataFrame]:
-    """What the guard, the z-sum score and the findings need, from one pass: (a collected row, ``feature_stats``' table)."""
+def all_stats(df: DataFrame, feature_cols: list[str], guarded: bool = True) -> tuple[dict, DataFrame]:
+    """What the guard, the z-sum score and the findings need, from one pass: (a collected row, ``feature_stats``' table).
+
+    Without ``guarded`` what only the guard needs is left out, as very many aggregates outgrow compiled code.
+    """
     guard = [F.count(F.lit(1)).alias("rows")]
-    for c in feature_cols:
+    for c in feature_cols if guarded else ():
         guard += [F.min(finite_or_zero(c)).alias(f"{c}__cl"), F.max(finite_or_zero(c)).alias(f"{c}__ch")]
     one = df.agg(*guard, *[a for c in feature_cols for a in _clean_aggs(c) + _finite_aggs(c)])
     row = one.first()

@@ -44,13 +44,15 @@ def metric_facts(spark, d):
 def flagged_with_stats(spark, d):
     """(flagged facts, statistics of the features): one pass for all statistics, one for the quantile."""
     facts = metric_facts(spark, d)
-    row, stats = all_stats(facts, FEATS)
+    row, stats = all_stats(facts, FEATS, guarded=False)
     fl = flag_by_contamination(zsum_score(facts, FEATS, places=6, stats=row), CONTAMINATION)
     return fl.withColumn("threshold", roundn("threshold", 6)), stats
 
 
 def flagged_facts(spark, d):
-    return flagged_with_stats(spark, d)[0]
+    """The flag alone needs the statistics of the cleaned features only."""
+    fl = flag_by_contamination(zsum_score(metric_facts(spark, d), FEATS, places=6), CONTAMINATION)
+    return fl.withColumn("threshold", roundn("threshold", 6))
 
 
 def findings(spark, d):
