@@ -290,7 +290,7 @@ def q_events_profile(spark, d):
 
 def _load_all() -> None:
     # modules that register more queries (imported late: they use ``register``)
-    from adlens.plans import findings_queries, many_queries, normalize_queries, report_queries, stream_queries  # noqa: F401
+    from adlens.plans import file_queries, findings_queries, many_queries, normalize_queries, report_queries, stream_queries  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:
