@@ -5,13 +5,15 @@ kernel over the standardised statistics. Each task sums the normal equations of
 added up, and one ridge system of fixed size is solved. Labelled rows that the ridge hasn't seen calibrate its
 output: positives are counted in bins of the raw score, and pooling adjacent violators makes the rate monotone.
 
-Defined cases: null, empty and blank texts have all-zero statistics and get a score like any other; rows whose
+Defined cases: null, empty and blank texts have all-zero statistics and get a score like any other; a text of over a step
+(1 MB) is read in parts, with the same statistics; rows whose
 label is null are no training rows, and of several labels of one id the least counts; without any label the score
 is 0.5, with one class only its rate; repeated rows and other columns don't matter; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import arrow_rows, buffers, materialize, steps
+from .common import STEP_BYTES, arrow_rows, buffers, materialize, steps, text_parts
 
 STATS = ("log_bytes", "log_words", "word_len", "word_len_sd", "upper", "lower", "digit", "space", "stop", "mark", "symbol", "wide",
          "newline", "distinct_words", "same_next", "distinct_lines", "line_len", "short_words", "long_words", "marked_words")
@@ -61,6 +63,9 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         m, size = hi - lo, np.diff(off).astype(np.float64)
         if not len(part):
             continue
+        if m == 1 and len(part) > STEP_BYTES:
+            out[lo] = long_statistics(memoryview(part))
+            continue
         doc_of_byte = np.repeat(np.arange(m), np.diff(off))
         share = np.bincount(doc_of_byte * 256 + part, minlength=m * 256).reshape(m, 256) @ table
         # a text's end closes its last word and line
@@ -94,6 +99,32 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def long_statistics(body: memoryview) -> np.ndarray:
+    """The row of one long text, read in parts: beside a part, only eight bytes a word and a line are held."""
+    table, of_byte = _classes(), np.zeros(256, np.int64)
+    raw = np.frombuffer(body, np.uint8)
+    for at in range(0, len(raw), STEP_BYTES):
+        of_byte += np.bincount(raw[at : at + STEP_BYTES], minlength=256)
+    share, size = of_byte @ table / len(raw), float(len(raw))
+    keys, n, length, squares, short, long, marked = [], 0, 0, 0, 0, 0, 0
+    for part in text_parts(body):
+        words = part.split()
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        keys.append(np.fromiter(map(hash, words), np.int64, len(words)))
+        n, length, squares = n + len(words), length + int(lens.sum()), squares + int((lens**2).sum())
+        short, long = short + int((lens <= 2).sum()), long + int((lens >= 12).sum())
+        marked += int((table[[w[-1] for w in words], 6] > 0).sum()) if words else 0
+    if not n:
+        return np.zeros(len(STATS), np.float32)
+    key = np.concatenate(keys)
+    lines = np.fromiter((hash(m.group()) for m in re.finditer(rb"[^\n\r]+", body)), np.int64)
+    mean = length / n
+    return np.array([
+        np.log1p(size), np.log1p(n), mean, np.sqrt(max(squares / n - mean**2, 0)), *share,
+        len(np.unique(key)) / n, (key[1:] == key[:-1]).sum() / n, len(np.unique(lines)) / len(lines), np.log1p(size / len(lines)),
+        short / n, long / n, marked / n], np.float32)
+
+
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = buffers(batch.column("body"))

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from adlens.llm import langid, quality
+from adlens.llm import common, langid, quality
 from adlens.llm.queries import QUERIES
 
 
@@ -56,6 +56,30 @@ def test_statistics_are_those_of_each_text():
     assert np.isclose(dict(zip(quality.STATS, s[2], strict=True))["same_next"], 1 / 8)
 
 
+def test_long_texts_have_the_same_statistics(monkeypatch):
+    rng = np.random.default_rng(3)
+    pool = [b"a", b"to", b"word", b"Word.", b"1,234", "é".encode(), b"considerable;", b"x" * 40, b"\n", b"\r\n", b"\t", b" ", b"the end."]
+    texts = [b" ".join(pool[i] for i in rng.integers(0, len(pool), n)) for n in (1, 7, 400, 3000)] + [b"y" * 5000, b" \n " * 900, b"z" * 900 + b"\nz"]
+    for t in texts:
+        want = quality.statistics(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]
+        monkeypatch.setattr(quality, "text_parts", lambda b: common.text_parts(b, 256))
+        monkeypatch.setattr(quality, "STEP_BYTES", 256)
+        assert np.allclose(quality.long_statistics(memoryview(t)), want, rtol=1e-5, atol=1e-6), t[:40]
+        both = quality.statistics(np.frombuffer(b"a b" + t, np.uint8), np.array([0, 3, 3 + len(t)]))[1]
+        monkeypatch.undo()
+        assert np.allclose(both, want, rtol=1e-5, atol=1e-6)
+
+
+def test_a_very_long_text_takes_little_memory():
+    import tracemalloc
+    body = memoryview(b"some words of plain text, over and over again.\n" * 350_000)  # 16 MB
+    tracemalloc.start()
+    quality.statistics(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(body)
+
+
 def test_isotonic_rates_never_fall():
     r = quality.isotonic(np.array([1.0, 2, 2, 1]), np.array([0.0, 2, 1, 1]))
     assert np.allclose(r, [0, 0.75, 0.75, 1])
