@@ -117,3 +117,15 @@ def test_malformed_csv_rows_are_errors(spark, tmp_dir):
         p = write(f"{tmp_dir}/bad{i}.csv", HEADER + "\n" + "\n".join([*ROWS, bad]) + "\n")
         with pytest.raises(Exception):  # noqa: B017 - Spark raises when the rows are read
             read_any(spark, p).collect()
+
+
+def test_json_is_told_apart_in_folders_and_globs(spark, tmp_dir):
+    import os
+    for part in ("part=0", "part=1"):
+        for form, text in (("arrays", '[{"x": 1}, {"x": 2}]'), ("lines", '{"x": 1}\n{"x": 2}\n')):
+            os.makedirs(f"{tmp_dir}/{form}/{part}")
+            write(f"{tmp_dir}/{form}/{part}/_hidden", "[")
+            write(f"{tmp_dir}/{form}/{part}/a.json", text)
+    for form in ("arrays", "lines"):
+        assert read_any(spark, f"{tmp_dir}/{form}/part=*", fmt="json").count() == 4
+        assert sorted(r.part for r in read_any(spark, f"{tmp_dir}/{form}", fmt="json").collect()) == [0, 0, 1, 1]
