@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from adlens.operators.normalize import DATE_FORMATS, discover_catalog, infer_column_types, map_columns_catalog, normalize, parse_dates
 from adlens.operators.rollups import campaign_summary
+from adlens.operators.rows import stored
 from adlens.plans import sqltext as S
 from adlens.plans.catalog import register
 from adlens.functions.numeric import money_sum
@@ -137,7 +138,7 @@ _MIXED = "CASE WHEN l_orderkey % 2 = 0 THEN strftime(date, '%Y-%m-%d') ELSE strf
     + f" UNION ALL SELECT 'mixed' AS format, {_MIXED} AS day, count(*) AS n FROM ad_facts GROUP BY 2", ad_facts=S.AD_FACTS_SQL))
 def q_normalize_date_formats(spark, d):
     """The same days as text in each format become dates; a column in two formats stays text."""
-    facts, out = ad_facts(spark, d).select("date", "l_orderkey", "impressions"), None
+    facts, out = stored(ad_facts(spark, d).select("date", "l_orderkey", "impressions"), "dates"), None  # two passes for each format
     mixed = F.when(F.col("l_orderkey") % 2 == 0, F.date_format("date", "yyyy-MM-dd")).otherwise(F.date_format("date", "dd/MM/yyyy"))
     for name, text in [(f, F.date_format("date", f)) for f in DATE_FORMATS] + [("mixed", mixed)]:
         feed = facts.select(text.alias("day"), F.lit("1").alias("campaign_id"), "impressions")
