@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from adlens.operators.features import all_stats, feature_columns, flag_by_contamination, guard_ok, zsum_score
 from adlens.operators.iforest import IsolationForest
+from adlens.operators.rows import stored
 
 
 def _no_flags(df: DataFrame) -> DataFrame:
@@ -38,13 +39,15 @@ def detect(df: DataFrame, method: str = "iforest", feature_cols: list[str] | Non
         return flagged.withColumn("anomaly_score", F.col("score") - F.col("threshold"))
     if method == "iforest":
         est = IsolationForest(feats, n_trees=n_trees, max_samples=max_samples, contamination=contamination,
-                              seed=seed, scale=scale, exact_offset=exact, fit_offset=keep is None)
+                              seed=seed, scale=scale, exact_offset=exact, fit_offset=False)
         model = est.fit(df)
-        if keep is None:  # nothing cached past this call: the offset pass and the output each score
-            return model.transform(df)
-        # score once: the persisted scores feed both the offset quantile and the flag
-        scored = df.withColumn("iso_score", model.score_column(df)).persist(StorageLevel.MEMORY_AND_DISK)
-        keep.append(scored)
+        # score once: the kept scores feed both the offset quantile and the flag
+        scored = df.withColumn("iso_score", model.score_column(df))
+        if keep is None:  # nothing cached past this call
+            scored = stored(scored, "scores")
+        else:
+            scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+            keep.append(scored)
         model.offset = model.offset_from(scored.select((-F.col("iso_score")).alias("ns")), exact)
         return model.flag(scored)
     raise ValueError(f"unknown method {method!r}; use 'iforest' or 'zsum'")

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from adlens.functions.numeric import finite_or_zero
 from adlens.operators.quantile import approx_quantile, exact_quantile
+from adlens.operators.rows import stored
 from adlens.session import ensure_checkpoint_dir
 
 EULER_GAMMA = 0.5772156649015329
@@ -126,14 +127,35 @@ class IsolationForest:
         ensure_checkpoint_dir(X.sparkSession)
         return X.groupBy(*X.columns).agg(F.count(F.lit(1)).alias("n")).checkpoint()
 
-    def _pool(self, counts: DataFrame) -> np.ndarray:
-        """About trees * psi rows (all, if fewer), each row as likely as any other, in an order of their own."""
+    def _draws(self, n: int, mark):
+        """How many of ``n`` equal rows (column n) are drawn, by the hash of their values."""
         cap = self.n_trees * self.max_samples
-        n = counts.agg(F.sum("n")).first()[0] or 0
+        u = F.pmod(mark, F.lit(1 << 53)) / F.lit(float(1 << 53))
+        return F.floor(F.col("n") * F.lit(min(1.0, cap / max(n, 1))) + u) if n > cap else F.col("n")
+
+    def _drawn_counts(self, X: DataFrame) -> tuple[DataFrame, int]:
+        """(distinct rows that may be drawn with their number, number of all rows).
+
+        Rows are counted by their hash, which is all that is shuffled. Only rows of a hash that is drawn from are then
+        counted by their values: rows that share a hash have one draw for all, so none that counts on its own is lost.
+        """
+        n, cols = X.count(), X.columns
+        counted = lambda rows, *by: rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        if n > self.n_trees * self.max_samples:
+            marked = X.withColumn("mark", F.xxhash64(*cols, F.lit(self.seed)))
+            some = stored(counted(marked, "mark").where(self._draws(n, F.col("mark")) > 0).select("mark"), "marks")  # bounded by the parameters
+            X = marked.join(F.broadcast(some), "mark", "left_semi").drop("mark")
+        return counted(X, *cols), n
+
+    def _pool(self, counts: DataFrame, n: int | None = None) -> np.ndarray:
+        """About trees * psi rows (all, if fewer), each row as likely as any other, in an order of their own.
+
+        ``n``: number of all rows, where ``counts`` holds only those that may be drawn.
+        """
+        n = n if n is not None else counts.agg(F.sum("n")).first()[0] or 0
         cols = [c for c in counts.columns if c != "n"]
         mark = F.xxhash64(*cols, F.lit(self.seed))
-        u = F.pmod(mark, F.lit(1 << 53)) / F.lit(float(1 << 53))
-        drawn = counts.withColumn("k", F.floor(F.col("n") * F.lit(min(1.0, cap / max(n, 1))) + u) if n > cap else F.col("n")).where("k > 0")
+        drawn = counts.withColumn("k", self._draws(n, mark)).where("k > 0")
         got = drawn.withColumn("h", mark).orderBy("h", *cols).select("k", *cols).toPandas().to_numpy(dtype=float)  # bounded by the parameters
         return np.repeat(got[:, 1:], got[:, 0].astype(int), axis=0)
 
@@ -144,8 +166,10 @@ class IsolationForest:
             for i, c in enumerate(self.feature_cols):
                 aggs += [F.avg(finite_or_zero(c)).alias(f"m{i}"), F.stddev_pop(finite_or_zero(c)).alias(f"s{i}")]
             stats = df.agg(*aggs).first().asDict()
-        counts = self._counts(self._prepared(df, stats))
-        pool = self._pool(counts)
+        X = self._prepared(df, stats)
+        # the offset needs all distinct rows, the pool those that may be drawn
+        counts = self._counts(X) if self.fit_offset and self.exact_offset else None
+        pool = self._pool(counts) if counts is not None else self._pool(*self._drawn_counts(X))
         if not len(pool):
             raise ValueError("cannot fit an isolation forest on an empty table")
         psi = min(self.max_samples, len(pool))
@@ -159,7 +183,7 @@ class IsolationForest:
         model = IsolationForestModel(self.feature_cols, node_pdf, psi, stats, offset=None,
                                      contamination=self.contamination)
         if self.fit_offset:
-            model.offset = model.offset_of(counts) if self.exact_offset else model.fit_offset(df, exact=False)
+            model.offset = model.offset_of(counts) if counts is not None else model.fit_offset(df, exact=False)
         return model
 
 
