@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from adlens.functions.numeric import money_sum, roundn
 from adlens.operators import explain as X
 from adlens.operators import grouped as G
+from adlens.operators.metrics import row_metrics
 from adlens.plans import findings_queries as Q
 from adlens.plans import sqltext as S
 from adlens.plans.catalog import register
@@ -20,19 +21,16 @@ def _month():
     return F.coalesce(F.date_format("date", "yyyy-MM"), F.lit("undated"))
 
 
-def monthly(spark, d):
-    return Q.metric_facts(spark, d).withColumn(KEY, _month())
-
-
-def _flagged(spark, d):
-    facts = monthly(spark, d)
+def _flagged(spark, d, ids):
+    """(flagged facts, statistics, facts); the facts are joined once."""
+    facts = row_metrics(Q.kept_facts(spark, d, ids)).withColumn(KEY, _month())
     stats = G.report_stats(facts, KEY, Q.FEATS)
-    return G.flag_reports(facts, KEY, Q.FEATS, stats, Q.CONTAMINATION, places=6), stats
+    return G.flag_reports(facts, KEY, Q.FEATS, stats, Q.CONTAMINATION, places=6), stats, facts
 
 
 def _findings(spark, d):
-    flagged, stats = _flagged(spark, d)
-    return X.finding_text(X.explain_findings(flagged, Q.FEATS, G.metric_stats(stats, KEY, Q.FEATS), by=[KEY]))
+    flagged, stats, facts = _flagged(spark, d, Q.TEXT_KEYS)
+    return X.finding_text(X.explain_findings(flagged, Q.FEATS, G.metric_stats(stats, KEY, Q.FEATS), by=[KEY])), facts
 
 
 # --------------------------------------------------------------------------- SQL side
@@ -76,13 +74,13 @@ def findings_sql(body: str, **more) -> str:
 
 @register("reports_flag", flag_sql("SELECT report, " + ", ".join(Q.KEYS) + f", score, {S.roundn('threshold', 6)} AS threshold, is_anomaly FROM fl"))
 def q_reports_flag(spark, d):
-    return _flagged(spark, d)[0].select(KEY, *Q.KEYS, "score", roundn("threshold", 6).alias("threshold"), "is_anomaly")
+    return _flagged(spark, d, Q.KEYS)[0].select(KEY, *Q.KEYS, "score", roundn("threshold", 6).alias("threshold"), "is_anomaly")
 
 
 @register("reports_findings", findings_sql(
     f"SELECT report, date, campaign_name, metric, severity, value, description, {S.roundn('z', 6)} AS z FROM f"))
 def q_reports_findings(spark, d):
-    return _findings(spark, d).select(KEY, "date", "campaign_name", "metric", "severity", "value", "description", roundn(F.col("z"), 6).alias("z"))
+    return _findings(spark, d)[0].select(KEY, "date", "campaign_name", "metric", "severity", "value", "description", roundn(F.col("z"), 6).alias("z"))
 
 
 _SUMS = (f"coalesce({S.isum('impressions')}, 0) AS impressions, coalesce({S.isum('clicks')}, 0) AS clicks, coalesce({S.isum('conversions')}, 0) AS conversions, "
@@ -115,4 +113,5 @@ _PLACED = f"SELECT *, row_number() OVER (PARTITION BY report {Q._TOP_ORDER}) AS
     "(SELECT report, count(*) AS n, string_agg(concat('- ', description), chr(10) ORDER BY place) FILTER (WHERE place <= 5) AS bullets FROM pl GROUP BY report) b USING (report)",
     pl=_PLACED))
 def q_reports_text(spark, d):
-    return G.texts_by_report(_findings(spark, d), monthly(spark, d).select(KEY).distinct(), KEY)
+    findings, facts = _findings(spark, d)
+    return G.texts_by_report(findings, facts.select(KEY).distinct(), KEY)
