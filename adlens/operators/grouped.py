@@ -22,7 +22,7 @@ def grouped_quantile(df: DataFrame, key: str, col: str, q: float) -> DataFrame:
     """(key, quantile): the exact continuous quantile of the non-null, non-NaN values of each key.
 
     Rows are numbered once in the order of (key, value) by a distributed sort; the wanted ranks of each key are two
-    row numbers, which are joined back. Equal values of a key are split by their place in the input, so that a value
+    row numbers, which are joined back (written first: with their true size they are broadcast where they are few). Equal values of a key are split by their place in the input, so that a value
     with most of the rows is sorted by many tasks.
     """
     v = F.col(col).cast("double")
@@ -33,7 +33,7 @@ def grouped_quantile(df: DataFrame, key: str, col: str, q: float) -> DataFrame:
         "k", (F.col("first") + F.floor(rank)).alias("lo"), (F.col("first") + F.ceil(rank)).alias("hi"), (rank - F.floor(rank)).alias("part"))
     wanted = spans.select(F.col("k").alias("of"), "part", F.explode(F.array(
         F.struct(F.col("lo").alias("i"), F.lit(0).alias("upper")), F.struct(F.col("hi").alias("i"), F.lit(1).alias("upper")))).alias("w")).select("of", "part", "w.*")
-    ends = numbered.join(wanted, "i").groupBy("of").agg(
+    ends = numbered.join(stored(wanted, "report-ranks"), "i").groupBy("of").agg(
         F.first("part").alias("part"), F.max(F.when(F.col("upper") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("upper") == 1, F.col("v"))).alias("b"))
     return ends.select(F.col("of").alias(key), (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("quantile"))
 
@@ -41,17 +41,16 @@ def grouped_quantile(df: DataFrame, key: str, col: str, q: float) -> DataFrame:
 def report_stats(df: DataFrame, key: str, feats: list[str]) -> DataFrame:
     """One row for each report, from one aggregate: rows, whether the guard holds what it needs, and for each feature
     the mean and std of the cleaned and of the finite values (as ``feature_stats`` gives them)."""
-    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs, all_clean = [F.count(F.lit(1)).alias("n")], [finite_or_zero(c) for c in feats]
     for c in feats:
         x, clean = F.col(c).cast("double"), finite_or_zero(c)
         fin = F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(INF)), x)
-        aggs += [F.avg(clean).alias(f"{c}__cm"), F.stddev_pop(clean).alias(f"{c}__cs"), F.min(clean).alias(f"{c}__lo"), F.max(clean).alias(f"{c}__hi"),
-                 F.avg(fin).alias(f"{c}__m"), F.stddev_pop(fin).alias(f"{c}__s"),
+        aggs += [F.avg(clean).alias(f"{c}__cm"), F.stddev_pop(clean).alias(f"{c}__cs"), F.avg(fin).alias(f"{c}__m"), F.stddev_pop(fin).alias(f"{c}__s"),
                  F.count_if(x == F.lit(INF)).alias(f"{c}__pi"), F.count_if(x == F.lit(-INF)).alias(f"{c}__ni")]
-    one = df.groupBy(key).agg(*aggs)
-    ends = lambda f, e: f(*[F.col(f"{c}__{e}") for c in feats]) if len(feats) > 1 else F.col(f"{feats[0]}__{e}")
+    end = lambda f: f(*all_clean) if len(feats) > 1 else all_clean[0]
+    one = df.groupBy(key).agg(*aggs, F.min(end(F.least)).alias("__lo"), F.max(end(F.greatest)).alias("__hi"))
     # one row for each report, read by the flag and the findings: with its true size it is broadcast where it is small
-    return stored(one.withColumn("spread", F.coalesce(ends(F.least, "lo") != ends(F.greatest, "hi"), F.lit(False))), "report-stats")
+    return stored(one.withColumn("spread", F.coalesce(F.col("__lo") != F.col("__hi"), F.lit(False))).drop("__lo", "__hi"), "report-stats")
 
 
 def metric_stats(stats: DataFrame, key: str, feats: list[str]) -> DataFrame:
@@ -65,8 +64,12 @@ def metric_stats(stats: DataFrame, key: str, feats: list[str]) -> DataFrame:
 
 
 def flag_reports(df: DataFrame, key: str, feats: list[str], stats: DataFrame, contamination: float = 0.1, min_rows: int = 10, guard: bool = True,
-                 places: int | None = None) -> DataFrame:
-    """The z-sum score, its threshold in the row's report, and the flag. A report that fails the guard flags nothing."""
+                 places: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The z-sum score, its threshold in the row's report, and the flag. A report that fails the guard flags nothing.
+
+    Scores are worked out once and written; the sort by report, its sample and the flag read them (a score in a filter
+    is inlined with all its parts, again for each reference). ``keep``: columns of ``df`` to return beside the key, default all.
+    """
     clean = [f"{c}__{e}" for c in feats for e in ("cm", "cs")]
     j = df.join(stats.select(key, "n", "spread", *clean), key)
     total = None
@@ -74,10 +77,11 @@ def flag_reports(df: DataFrame, key: str, feats: list[str], stats: DataFrame, co
         m, s = F.col(f"{c}__cm"), F.col(f"{c}__cs")
         z = F.when(s.isNull() | (s == 0) | F.isnan(s), 0.0).otherwise((finite_or_zero(c) - m) / s)
         total = F.pow(z, F.lit(2.0)) if total is None else total + F.pow(z, F.lit(2.0))
-    scored = j.withColumn("score", -total if places is None else roundn(-total, places)).drop(*clean)
     fine = (F.col("n") >= min_rows) & F.col("spread") if guard else F.lit(True)
-    limit = stored(grouped_quantile(scored.where(fine), key, "score", contamination).withColumnRenamed("quantile", "threshold"), "report-limits")
-    out = scored.drop("n", "spread").join(limit, key, "left")
+    kept = [key, *[c for c in (df.columns if keep is None else keep) if c != key]]
+    scored = stored(j.select(*kept, (-total if places is None else roundn(-total, places)).alias("score"), fine.alias("__fine")), "report-scores")
+    limit = stored(grouped_quantile(scored.where("__fine"), key, "score", contamination).withColumnRenamed("quantile", "threshold"), "report-limits")
+    out = scored.drop("__fine").join(limit, key, "left")
     return out.withColumn("is_anomaly", F.coalesce(F.col("score") < F.col("threshold"), F.lit(False)))
 
 
@@ -117,7 +121,11 @@ def platforms_by_report(df: DataFrame, key: str, money=raw_sum) -> DataFrame:
 
 
 def texts_by_report(findings: DataFrame, reports: DataFrame, key: str, k: int = 5) -> DataFrame:
-    """R7 for each row of ``reports``: the count of its findings and the first ``k`` texts, or the fixed sentence."""
+    """R7 for each row of ``reports``: the count of its findings and the first ``k`` texts, or the fixed sentence.
+
+    The findings are written once, and read for the counts and for the first texts.
+    """
+    findings = stored(findings.select(key, "z", "date", "campaign_name", "metric", "value", "description"), "report-findings")
     order = Window.partitionBy(key).orderBy(F.desc("z"), "date", "campaign_name", "metric", "value")
     first = findings.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     bullets = first.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "description"))),

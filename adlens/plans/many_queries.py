@@ -11,7 +11,7 @@ from adlens.operators.metrics import row_metrics
 from adlens.plans import findings_queries as Q
 from adlens.plans import sqltext as S
 from adlens.plans.catalog import register
-from adlens.sources.facts import ad_facts
+from adlens.sources.facts import METRICS, ad_facts
 
 KEY = "report"
 _MONTH = "coalesce(strftime(date, '%Y-%m'), 'undated')"
@@ -21,16 +21,16 @@ def _month():
     return F.coalesce(F.date_format("date", "yyyy-MM"), F.lit("undated"))
 
 
-def _flagged(spark, d, ids):
-    """(flagged facts, statistics, facts); the facts are joined once."""
+def _flagged(spark, d, ids, values=()):
+    """(flagged facts with ``ids`` and ``values``, statistics, facts); the facts are joined and scored once."""
     facts = row_metrics(Q.kept_facts(spark, d, ids)).withColumn(KEY, _month())
     stats = G.report_stats(facts, KEY, Q.FEATS)
-    return G.flag_reports(facts, KEY, Q.FEATS, stats, Q.CONTAMINATION, places=6), stats, facts
+    return G.flag_reports(facts, KEY, Q.FEATS, stats, Q.CONTAMINATION, places=6, keep=[*ids, *values]), stats, facts
 
 
 def _findings(spark, d):
-    flagged, stats, facts = _flagged(spark, d, Q.TEXT_KEYS)
-    return X.finding_text(X.explain_findings(flagged, Q.FEATS, G.metric_stats(stats, KEY, Q.FEATS), by=[KEY])), facts
+    flagged, stats, facts = _flagged(spark, d, Q.TEXT_KEYS, METRICS)  # ratios follow from the metrics, for flagged rows alone
+    return X.finding_text(X.explain_findings(row_metrics(flagged), Q.FEATS, G.metric_stats(stats, KEY, Q.FEATS), by=[KEY])), facts
 
 
 # --------------------------------------------------------------------------- SQL side
