@@ -72,6 +72,11 @@ LARGE_MEAN = {"lean": 100.0, "wide": 1000.0}
 # which every non-null value parses wins, otherwise the column stays text.
 DATE_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy", "dd/MM/yyyy", "yyyy.MM.dd", "dd.MM.yyyy"]
 
+# The same formats as shapes: where each field stands in ten characters, and what else may parse (a signed or longer year).
+_ISO_PARTS = {True: (1, 6, 9), False: (7, 4, 1)}  # year first or last: starts of year, month, day
+_DIGITS = {True: "[0-9]{4}%s[0-9]{2}%s[0-9]{2}", False: "[0-9]{2}%s[0-9]{2}%s[0-9]{4}"}
+_LONGER = {True: "[+-]?[0-9]{4,}%s[0-9]{2}%s[0-9]{2}", False: "[0-9]{2}%s[0-9]{2}%s[+-]?[0-9]{4,}"}
+
 CANONICAL_TYPES = {
     "campaign_id": "string", "campaign_name": "string", "impressions": "bigint", "clicks": "bigint",
     "conversions": "bigint", "spend": "double", "revenue": "double", "region": "string", "platform": "string",
@@ -104,6 +109,20 @@ def _is_dateish(dt) -> bool:
     return isinstance(dt, (DateType, TimestampType, TimestampNTZType))
 
 
+def date_of(x, fmt: str):
+    """``F.try_to_date(x, fmt)`` for ``DATE_FORMATS``, without a parser that fails by an exception for each other text.
+
+    Ten characters of the format's shape are put in ISO order and cast; only text with a signed or longer year goes to the parser.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    first = fmt.startswith("y")
+    sep, (y, m, d) = fmt.strip("yMd")[0], _ISO_PARTS[first]
+    shape = lambda by: f"^{by[first] % ((re.escape(sep),) * 2)}$"
+    here = (F.substring(x, 5 if first else 3, 1) == sep) & x.rlike(shape(_DIGITS))
+    iso = F.concat(F.substring(x, y, 4), F.lit("-"), F.substring(x, m, 2), F.lit("-"), F.substring(x, d, 2)) if (first, sep) != (True, "-") else x
+    return F.when(F.length(x) == 10, F.when(here, iso.try_cast("date"))).when(x.rlike(shape(_LONGER)), F.try_to_date(x, fmt))
+
+
 def infer_profile(df: DataFrame, cols: list[str] | None = None, profile: str = "lean",
                   exact_distinct: bool = False) -> dict[str, dict]:
     """One aggregate job: the data facts N3/N7 need, per column.
@@ -124,7 +143,7 @@ def infer_profile(df: DataFrame, cols: list[str] | None = None, profile: str = "
             aggs += [F.count_if(x.rlike(text)).alias(f"dt{i}_{name}") for name, text in date_re.items()]
             aggs.append((F.count_distinct(x) if exact_distinct else F.approx_count_distinct(x)).alias(f"nd{i}"))
             for j, fmt in enumerate(DATE_FORMATS):
-                aggs.append(F.count_if(x.isNotNull() & F.try_to_date(x, fmt).isNull()).alias(f"bad{i}_{j}"))
+                aggs.append(F.count_if(x.isNotNull() & date_of(x, fmt).isNull()).alias(f"bad{i}_{j}"))
     row = df.agg(*aggs).first().asDict() if aggs else {}
     close = [] if exact_distinct else [i for i, c in enumerate(cols) if isinstance(types[c], StringType) and row[f"nn{i}"] and 0.4 <= row[f"nd{i}"] / row[f"nn{i}"] <= 0.6]
     if close:
@@ -279,7 +298,7 @@ def normalize(df: DataFrame, profile: str = "lean", custom_mapping: dict[str, st
         ok = [j for j, b in enumerate(bad) if b == 0]
         if ok:
             rep.date_format = DATE_FORMATS[ok[0]]
-            out = out.withColumn("date", F.try_to_date("date", rep.date_format))
+            out = out.withColumn("date", date_of("date", rep.date_format))
     elif canonical and isinstance(types["date"], (TimestampType, TimestampNTZType)):
         out = out.withColumn("date", F.col("date").cast("date"))
 

@@ -138,12 +138,13 @@ _MIXED = "CASE WHEN l_orderkey % 2 = 0 THEN strftime(date, '%Y-%m-%d') ELSE strf
     + f" UNION ALL SELECT 'mixed' AS format, {_MIXED} AS day, count(*) AS n FROM ad_facts GROUP BY 2", ad_facts=S.AD_FACTS_SQL))
 def q_normalize_date_formats(spark, d):
     """The same days as text in each format become dates; a column in two formats stays text."""
-    facts, out = stored(ad_facts(spark, d).select("date", "l_orderkey", "impressions"), "dates"), None  # two passes for each format
     mixed = F.when(F.col("l_orderkey") % 2 == 0, F.date_format("date", "yyyy-MM-dd")).otherwise(F.date_format("date", "dd/MM/yyyy"))
-    for name, text in [(f, F.date_format("date", f)) for f in DATE_FORMATS] + [("mixed", mixed)]:
-        feed = facts.select(text.alias("day"), F.lit("1").alias("campaign_id"), "impressions")
+    texts = [(f, F.date_format("date", f)) for f in DATE_FORMATS] + [("mixed", mixed)]
+    feeds, out = stored(ad_facts(spark, d).select("impressions", *[text.alias(f"day{i}") for i, (_, text) in enumerate(texts)]), "dates"), None  # two passes for each text
+    for i, (name, _) in enumerate(texts):
+        feed = feeds.select(F.col(f"day{i}").alias("day"), F.lit("1").alias("campaign_id"), "impressions")
         got, rep = normalize(feed, "lean")
-        part = got.groupBy(F.lit(name).alias("format"), F.col("date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+        part = got.groupBy("date").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("format"), F.col("date").cast("string").alias("day"), "n")
         out = part if out is None else out.unionByName(part)
     return out
 
